@@ -1,7 +1,7 @@
 """All queries of this subpackage."""
 
-from . import simhash
+from . import langid, simhash
 
-MODULES = (simhash,)
+MODULES = (langid, simhash,)
 QUERIES = {k: q for m in MODULES for k, q in m.QUERIES.items()}
 ORACLES = {k: q for m in MODULES for k, q in m.ORACLES.items()}
