@@ -1,7 +1,7 @@
 """All queries of this subpackage."""
 
-from . import langid, simhash
+from . import langid, simhash, urlrules
 
-MODULES = (langid, simhash,)
+MODULES = (langid, simhash, urlrules,)
 QUERIES = {k: q for m in MODULES for k, q in m.QUERIES.items()}
 ORACLES = {k: q for m in MODULES for k, q in m.ORACLES.items()}
