@@ -1,7 +1,7 @@
 """All queries of this subpackage."""
 
-from . import langid, pii, simhash, urlrules
+from . import chat, langid, pii, simhash, urlrules
 
-MODULES = (langid, pii, simhash, urlrules,)
+MODULES = (chat, langid, pii, simhash, urlrules,)
 QUERIES = {k: q for m in MODULES for k, q in m.QUERIES.items()}
 ORACLES = {k: q for m in MODULES for k, q in m.ORACLES.items()}
