@@ -1,7 +1,7 @@
 """All queries of this subpackage."""
 
-from . import chat, langid, media, mixing, paragraphs, pieces, pii, simhash, urlrules
+from . import ann, chat, langid, media, mixing, paragraphs, pieces, pii, simhash, urlrules
 
-MODULES = (chat, langid, media, mixing, paragraphs, pieces, pii, simhash, urlrules,)
+MODULES = (ann, chat, langid, media, mixing, paragraphs, pieces, pii, simhash, urlrules,)
 QUERIES = {k: q for m in MODULES for k, q in m.QUERIES.items()}
 ORACLES = {k: q for m in MODULES for k, q in m.ORACLES.items()}
