@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import fresh, table
 
 WINDOW, WIDTHS, FILTERS, DIM = 256, (2, 3, 4), 8, 8
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -128,29 +128,55 @@ def fit(labelled: DataFrame, per_language: int = 700, id_col: str = "doc_id", te
     return langs, train(x, y, len(langs))
 
 
+def _judge(texts: list[bytes | None], known: np.ndarray, langs: list[str], model: Model | None, tables: list | None) -> tuple[np.ndarray, np.ndarray]:
+    """Label and score of each text; ``known`` are the places of texts with letters."""
+    label, score = np.full(len(texts), "und", object), np.zeros(len(texts))
+    at = 0
+    while tables and at < len(known):
+        part, size = [], 0
+        while at < len(known) and (size < 2_000_000 or not part):
+            part.append(int(known[at]))
+            size += len(texts[part[-1]])
+            at += 1
+        x, first, used = windows([texts[k] for k in part])
+        q = posteriors(x, model, tables).astype(np.float64) * used[:, None]
+        q = np.add.reduceat(q, first, axis=0)
+        q /= q.sum(axis=1, keepdims=True)
+        best = q.argmax(axis=1)
+        label[part], score[part] = np.array(langs, object)[best], q[np.arange(len(best)), best]
+    return label, np.clip(score, 0, 1)
+
+
 def predict(docs: DataFrame, langs: list[str], model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score) of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = folded(model) if model else None
         for b in batches:
-            n = b.num_rows
-            label, score = np.full(n, "und", object), np.zeros(n)
             known = np.flatnonzero(b.column(2).to_numpy(zero_copy_only=False))
-            if tables and len(known):
-                x, first, used = windows([b.column(1)[int(k)].as_py() for k in known])
-                q = posteriors(x, model, tables).astype(np.float64) * used[:, None]
-                q = np.add.reduceat(q, first, axis=0)
-                q /= q.sum(axis=1, keepdims=True)
-                best = q.argmax(axis=1)
-                label[known], score[known] = np.array(langs, object)[best], q[np.arange(len(best)), best]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(label, pa.string()), pa.array(np.clip(score, 0, 1))], names=["id", "lang_pred", "score"])
+            label, score = _judge(b.column(1).to_pylist(), known, langs, model, tables)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(label, pa.string()), pa.array(score)], names=["id", "lang_pred", "score"])
 
     text = F.col(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text.cast("binary").alias("t"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letters"))
     return rows.mapInArrow(run, "id long, lang_pred string, score double")
 
 
+def keep(docs: DataFrame, langs: list[str], model: Model | None, least: float, text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` whose text has a language with a score of ``least`` or more; all columns stay."""
+    names, (letters,) = docs.columns, fresh(docs, "letters")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = folded(model) if model else None
+        for b in batches:
+            known = np.flatnonzero(b.column(letters).to_numpy(zero_copy_only=False))
+            texts = [None if x is None else x.encode() for x in b.column(text_col).to_pylist()]
+            label, score = _judge(texts, known, langs, model, tables)
+            yield b.select(names).filter(pa.array((label != "und") & (score >= least)))
+
+    return docs.withColumn(letters, F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))).mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """Documents that training never sees: crc32 of the id's text leaves 1 at division by 3."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import cut, table
+from .shared import cut, fresh, table
 
 BUCKETS, SMOOTH, EVIDENCE = 1 << 16, 0.5, 8
 TOKEN = r"\p{L}+|[^\p{L}\s]+"
@@ -127,9 +127,10 @@ def resampled(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TA
     _, rates = mixed(docs, labels, targets)
     chance = F.pmod(F.xxhash64("key", F.lit("draw")), F.lit(1_000_000)) / F.lit(1e6)
     times = F.floor("rate").cast("int") + F.when(chance < F.col("rate") - F.floor("rate"), 1).otherwise(0)
-    drawn = rates.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), times.alias("_times")).where("_times > 0")
-    met = docs.join(drawn, F.xxhash64("doc_id", "text").eqNullSafe(F.col("_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
-    return met.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy")).drop("_copy")
+    i, k, n, copy = fresh(docs, "mix_id", "mix_key", "mix_times", "mix_copy")
+    drawn = rates.select(F.col("doc_id").alias(i), F.col("key").alias(k), times.alias(n)).where(F.col(n) > 0)
+    met = docs.join(drawn, F.xxhash64("doc_id", "text").eqNullSafe(F.col(k)) & F.col("doc_id").cast("long").eqNullSafe(F.col(i)))
+    return met.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

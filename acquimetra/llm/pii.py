@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import fresh, table
 
 KEEP, NEAR = 0.6, 40
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
@@ -87,9 +87,9 @@ def with_spans(docs: DataFrame, text_col: str = "text", to: str = "pii_spans") -
     """Adds the spans of all kinds, by kind and then start."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     hint = {"email": F.contains(text, F.lit("@")), "phone": F.contains(text, F.lit("+"))}
-    matches = {f"_{k.name}": F.when(hint.get(k.name, F.lit(True)), F.regexp_extract_all(text, F.lit(k.pattern), F.lit(0))).otherwise(F.array().cast("array<string>")) for k in KINDS}
-    own = docs.withColumns(matches)
-    return own.withColumn(to, F.concat(*[_spans(text, F.col(f"_{k.name}"), k) for k in KINDS])).drop(*matches)
+    names = fresh(docs, *[k.name for k in KINDS])
+    matches = {n: F.when(hint.get(k.name, F.lit(True)), F.regexp_extract_all(text, F.lit(k.pattern), F.lit(0))).otherwise(F.array().cast("array<string>")) for k, n in zip(KINDS, names, strict=True)}
+    return docs.withColumns(matches).withColumn(to, F.concat(*[_spans(text, F.col(n), k) for k, n in zip(KINDS, names, strict=True)])).drop(*names)
 
 
 def redacted(docs: DataFrame, text_col: str = "text", spans_col: str = "pii_spans") -> DataFrame:
@@ -103,11 +103,17 @@ def redacted(docs: DataFrame, text_col: str = "text", spans_col: str = "pii_span
         one = lambda a, b, k: F.array(F.struct(a.alias("start"), b.alias("end"), k.alias("kind"))).cast(shape)
         return F.when(over, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), one(last["start"], F.greatest(last["end"], -s["end"]), last["kind"]))).otherwise(F.concat(acc, one(s["start"], -s["end"], s["kind"])))
 
-    places = F.aggregate(order, F.array().cast(shape), merge)
+    merged = F.aggregate(order, F.array().cast(shape), merge)
+    (places,) = fresh(docs, "places")
     text = F.col(text_col)
-    piece = lambda s, i: F.concat(text.substr(F.coalesce(F.get("_places", i - 1)["end"], F.lit(0)) + 1, s["start"] - F.coalesce(F.get("_places", i - 1)["end"], F.lit(0))), F.lit("<"), F.upper(s["kind"]), F.lit(">"))
-    tail = text.substr(F.element_at("_places", -1)["end"] + 1, F.length(text))
-    return docs.withColumn("_places", F.when(F.size(spans_col) > 0, places)).withColumn(text_col, F.when(F.col("_places").isNotNull(), F.concat(F.array_join(F.transform("_places", piece), ""), tail)).otherwise(text)).drop("_places")
+
+    def piece(s: Column, i: Column) -> Column:
+        begin = F.coalesce(F.get(places, i - 1)["end"], F.lit(0))
+        return F.concat(text.substr(begin + 1, s["start"] - begin), F.lit("<"), F.upper(s["kind"]), F.lit(">"))
+
+    tail = text.substr(F.element_at(places, -1)["end"] + 1, F.length(text))
+    new = F.when(F.col(places).isNotNull(), F.concat(F.array_join(F.transform(places, piece), ""), tail)).otherwise(text)
+    return docs.withColumn(places, F.when(F.size(spans_col) > 0, merged)).withColumn(text_col, new).drop(places)
 
 
 def _listed(spans: Column) -> Column:

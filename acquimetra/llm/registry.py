@@ -1,7 +1,9 @@
 """All queries of this subpackage."""
 
+import corpus_pipeline
+
 from . import ann, chat, langid, media, mixing, paragraphs, pieces, pii, simhash, urlrules
 
 MODULES = (ann, chat, langid, media, mixing, paragraphs, pieces, pii, simhash, urlrules,)
-QUERIES = {k: q for m in MODULES for k, q in m.QUERIES.items()}
+QUERIES = {k: q for m in MODULES for k, q in m.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
 ORACLES = {k: q for m in MODULES for k, q in m.ORACLES.items()}

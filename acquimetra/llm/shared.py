@@ -36,6 +36,17 @@ def drop(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores put before it until ``df`` has no such column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def components(links: DataFrame, max_rounds: int = 60) -> tuple[DataFrame, str]:
     """Connected components of ``links`` (columns a, b: long) by alternating large-star and small-star rounds.
 
