@@ -15,6 +15,7 @@ no component; repeated rows are returned each; an empty table gives an empty res
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from itertools import combinations
 
@@ -26,36 +27,62 @@ from pyspark.sql import functions as F
 
 from .shared import components, cut, table
 
-BLOCKS = 6
-CROWDED = 2048
+CROWDED, LEAF, LONG = 2048, 48, 4
 
 
-def fingerprint(text: bytes | None, words: int) -> int:
-    """The unsigned SimHash of a text's word shingles; 0 without words."""
-    parts = (text or b"").lower().split()
-    if not parts:
-        return 0
+def shingle_hashes(parts: list[bytes], words: int) -> np.ndarray:
+    """XXH64 (seed 42) of each run of ``words`` words, joined by spaces; of all words if there are fewer."""
     line = b" ".join(parts)
-    ends = np.cumsum([len(x) + 1 for x in parts]) - 1
-    starts = (ends - np.fromiter(map(len, parts), np.int64, len(parts))).tolist()
+    length = np.fromiter(map(len, parts), np.int64, len(parts))
+    ends = np.cumsum(length + 1) - 1
+    starts = (ends - length).tolist()
     last = ends[words - 1 :].tolist() or [len(line)]
     of = xxhash.xxh64_intdigest
-    hashes = np.array([of(line[a:b], 42) for a, b in zip(starts, last, strict=False)], np.uint64)
+    return np.array([of(line[a:b], 42) for a, b in zip(starts, last, strict=False)], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The 64 bits that are set in over half the hashes."""
     counts = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 14):
         counts += np.unpackbits(hashes[i : i + (1 << 14)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
 
 
-def with_fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): fp holds the 64 bits as a signed long."""
+def fingerprint(text: bytes | None, words: int) -> int:
+    """The unsigned SimHash of a text's word shingles; 0 without words."""
+    parts = (text or b"").lower().split()
+    return majority(shingle_hashes(parts, words)) if parts else 0
+
+
+def long_fingerprint(text: bytes | None, words: int) -> list[int]:
+    """``LONG`` times 64 bits from the same shingles, each of hashes mixed anew."""
+    parts = (text or b"").lower().split()
+    if not parts:
+        return [0] * LONG
+    h = shingle_hashes(parts, words)
+    out = []
+    for _ in range(LONG):
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(32)
+        out.append(majority(h))
+    return out
+
+
+def with_fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text", long_words: int = 0) -> DataFrame:
+    """(doc_id, fp[, l0, l1, ...]): fp holds 64 bits as a signed long, l0 and on the long fingerprint of shingles of ``long_words`` words."""
+    names = ["doc_id", "fp", *[f"l{i}" for i in range(LONG if long_words else 0)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(x.as_py(), words) for x in b.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["doc_id", "fp"])
+            rows = []
+            for x in b.column(1):
+                t = x.as_py()
+                rows.append([fingerprint(t, words), *(long_fingerprint(t, long_words) if long_words else [])])
+            cols = np.array(rows, np.uint64).reshape(len(rows), -1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(np.ascontiguousarray(cols[:, i])) for i in range(len(names) - 1)]], names=names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -79,8 +106,11 @@ def _unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             root[:] = up
 
 
-def gray_links(codes: np.ndarray, bits: int, fan: int = 8, step: int = 1 << 17) -> np.ndarray:
-    """For each code, the index of its component's first member (in Gray order) among ``codes``, as linked at ``bits`` or fewer differing bits."""
+def gray_links(codes: np.ndarray, bits: int, more: np.ndarray | None = None, far: int = 0, fan: int = 8, step: int = 1 << 17) -> np.ndarray:
+    """For each code, the index of its component's first member (in Gray order) among ``codes``, as linked at ``bits`` or fewer differing bits.
+
+    more: further bits of each code (a row of words), of which at most ``far`` may differ.
+    """
     order = np.argsort(gray_rank(codes), kind="stable")
     x = codes[order]
     root = np.arange(len(x))
@@ -101,12 +131,15 @@ def gray_links(codes: np.ndarray, bits: int, fan: int = 8, step: int = 1 << 17)
         apart = np.bitwise_count((p[i] ^ p[j]) & m[i] & m[j])
         i, j = i[apart <= bits], j[apart <= bits]
         if not k:
+            if more is not None:
+                near = np.bitwise_count(more[order[i]] ^ more[order[j]]).sum(axis=1) <= far
+                i, j = i[near], j[near]
             _unite(root, i, j)
             continue
         width = fan**k
         first, other = i * width, j * width
         free = np.bitwise_count(~(m[i] & m[j]) | (p[i] ^ p[j]))
-        whole = free <= bits  # all members differ in these bits only
+        whole = (free <= bits) & (more is None)  # all members differ in these bits only
         for at in (first[whole], other[whole]):
             for d in range(width):
                 ok = at + d < len(x)
@@ -127,23 +160,32 @@ def gray_links(codes: np.ndarray, bits: int, fan: int = 8, step: int = 1 << 17)
     return out
 
 
-def _node_links(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (node, fp, id), those of a node together, to links (a, b) between ids; a node that runs over a batch's end waits for its rest."""
+def _node_links(bits: int, keys: int, far: int = 0) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (``keys`` columns that name a node, fp, further bits, id), those of a node together, to links (a, b) between ids.
 
-    def solve(node: np.ndarray, fp: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+    A node that runs over a batch's end waits for its rest.
+    """
+
+    def solve(rows: np.ndarray) -> pa.RecordBatch:
+        node, ids = rows[:, :keys], rows[:, -1]
+        fp, more = np.ascontiguousarray(rows[:, keys]).view(np.uint64), np.ascontiguousarray(rows[:, keys + 1 : -1]).view(np.uint64)
         cuts = np.flatnonzero(np.r_[True, (node[1:] != node[:-1]).any(axis=1)])
         sizes = np.diff(np.r_[cuts, len(node)])
-        group = np.repeat(np.arange(len(cuts)), sizes)
-        size = np.repeat(sizes, sizes)
-        a, b = [], []
-        small = np.flatnonzero(size <= 8)
-        g, f, v = group[small], fp[small], ids[small]
-        for d in range(1, 8):  # a single leaf: verify its members directly
-            near = np.flatnonzero((g[d:] == g[:-d]) & (np.bitwise_count(f[d:] ^ f[:-d]) <= bits)) if len(g) > d else []
-            a.append(v[d:][near])
-            b.append(v[:-d][near])
-        for s, n in zip(cuts[sizes > 8].tolist(), sizes[sizes > 8].tolist(), strict=True):
-            root = gray_links(fp[s : s + n], bits)
+        group, size = np.repeat(np.arange(len(cuts)), sizes), np.repeat(sizes, sizes)
+        a, b = [ids[:0]], [ids[:0]]
+        small = np.flatnonzero(size <= LEAF)
+        g, f, v, m = group[small], fp[small], ids[small], more[small]
+        for d in range(1, min(LEAF, len(g))):  # a single leaf: verify its members directly
+            same = np.flatnonzero(g[d:] == g[:-d])
+            if not len(same):
+                break
+            near = same[np.bitwise_count(f[same + d] ^ f[same]) <= bits]
+            if m.shape[1]:
+                near = near[np.bitwise_count(m[near + d] ^ m[near]).sum(axis=1) <= far]
+            a.append(v[near + d])
+            b.append(v[near])
+        for s, n in zip(cuts[sizes > LEAF].tolist(), sizes[sizes > LEAF].tolist(), strict=True):
+            root = gray_links(fp[s : s + n], bits, more[s : s + n] if more.shape[1] else None, far)
             hung = np.flatnonzero(root != np.arange(n))
             a.append(ids[s : s + n][hung])
             b.append(ids[s : s + n][root[hung]])
@@ -155,18 +197,17 @@ def _node_links(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
             if not batch.num_rows:
                 continue
             rows = np.stack([c.to_numpy() for c in batch.columns], axis=1)
-            if kept and (kept[-1][-1, :-2] == rows[-1, :-2]).all():
+            if kept and (kept[-1][-1, :keys] == rows[-1, :keys]).all():
                 kept.append(rows)
                 continue
-            end = np.flatnonzero((rows[:, :-2] != rows[-1, :-2]).any(axis=1))
+            end = np.flatnonzero((rows[:, :keys] != rows[-1, :keys]).any(axis=1))
             end = end[-1] + 1 if len(end) else 0
             whole = np.concatenate([*kept, rows[:end]])
             kept = [rows[end:]]
             if len(whole):
-                yield solve(whole[:, :-2], whole[:, -2].view(np.uint64), whole[:, -1])
+                yield solve(whole)
         if kept:
-            whole = np.concatenate(kept)
-            yield solve(whole[:, :-2], np.ascontiguousarray(whole[:, -2]).view(np.uint64), whole[:, -1])
+            yield solve(np.concatenate(kept))
 
     return run
 
@@ -181,21 +222,25 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def near_components(fps: DataFrame, bits: int = 4) -> tuple[DataFrame, str]:
-    """fps: distinct (fp, id). Returns (id, component) of every id with a link, and the written table's path."""
-    masks = _masks(list(range(64)), BLOCKS, BLOCKS - bits)
-    nodes = fps.select("fp", "id", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("m", "key")).select(F.col("m").cast("long").alias("m"), "key", "fp", "id")
+def near_components(fps: DataFrame, bits: int = 4, blocks: int = 6, far: int = 0) -> tuple[DataFrame, str]:
+    """fps: distinct (fp, further bits, id). Returns (id, component) of every id with a link, and the written table's path.
+
+    Of ``blocks`` blocks, ``blocks - bits`` agree at least, which makes the nodes exact; more blocks than ``bits + 2`` give more and smaller nodes.
+    """
+    masks = _masks(list(range(64)), blocks, blocks - bits)
+    cols = [c for c in fps.columns if c != "id"] + ["id"]
+    nodes = fps.select(*cols, F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("m", "key")).select(F.col("m").cast("long").alias("m"), "key", *cols)
     counted = nodes.selectExpr("*", "count(1) over (partition by m, key) n").where("n > 1")
-    usual = counted.where(F.col("n") <= CROWDED).select("m", "key", "fp", "id").mapInArrow(_node_links(bits), "a long, b long")
+    usual = counted.where(F.col("n") <= CROWDED).select("m", "key", *cols).mapInArrow(_node_links(bits, 2, far), "a long, b long")
     finer = F.array(*[F.array(*[F.lit(_signed(x)) for x in _masks([b for b in range(64) if not m >> b & 1], bits + 1, 1)]) for m in masks])
     crowded = (
         counted.where(F.col("n") > CROWDED)
-        .select("m", "key", "fp", "id", F.posexplode(finer[F.col("m").cast("int")]).alias("s", "under"))
-        .select("m", "key", F.col("s").cast("long").alias("s"), F.col("fp").bitwiseAND(F.col("under")).alias("rest"), "fp", "id")
+        .select("m", "key", *cols, F.posexplode(finer[F.col("m").cast("int")]).alias("s", "under"))
+        .select("m", "key", F.col("s").cast("long").alias("s"), F.col("fp").bitwiseAND(F.col("under")).alias("rest"), *cols)
         .selectExpr("*", "count(1) over (partition by m, key, s, rest) n")
         .where("n > 1")
         .drop("n")
-        .mapInArrow(_node_links(bits), "a long, b long")
+        .mapInArrow(_node_links(bits, 4, far), "a long, b long")
     )
     return components(usual.union(crowded))
 
@@ -211,10 +256,23 @@ def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, id_col: str
     )
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 5, bits: int = 4) -> DataFrame:
-    """Keeps of each group the row whose doc_id names it; of rows with that same doc_id one, and every row without a doc_id."""
-    keep = near_duplicates(docs, words, bits).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.where("doc_id is not null").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Keeps one row of each group of documents whose shingles of ``words`` words are alike to ``similarity`` (Jaccard) or more.
+
+    At that similarity 64 bits of five-word shingles differ in about ten places, too many for an index. Fingerprints of two-word shingles
+    differ in about six, so pairs within eight are looked up by those, and confirmed by ``64 * LONG`` bits of the five-word shingles: for sets
+    of like size the cosine is 2J / (1 + J), and each bit differs with the angle's share of a half turn; the bound allows one standard deviation more.
+    The row whose id names the group stays; of rows with that same id one, and every row without an id.
+    """
+    total = 64 * LONG
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    far = int(total * share + math.sqrt(total * share * (1 - share)))
+    kept = docs.where(F.col(id_col).isNotNull())
+    fps, _ = cut(with_fingerprints(kept, 2, id_col, text_col, words), "fingerprints")
+    distinct = fps.groupBy(*fps.columns[1:]).agg(F.min("doc_id").alias("id"))
+    linked, _ = near_components(distinct, 8, 10, far)
+    named = distinct.join(linked, "id", "left").where("component is null or component = id").select(F.col("id").alias(id_col))
+    return kept.join(named, id_col, "left_semi").dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
