@@ -20,14 +20,19 @@ from pyspark.sql import functions as F
 from .shared import cut, fresh, table
 
 BUCKETS, SMOOTH, EVIDENCE = 1 << 16, 0.5, 8
-TOKEN = r"\p{L}+|[^\p{L}\s]+"
+# Marks after which a word is only known by its end.
+MARKS = tuple(".,;:!?*#$%&|\"')]}>")
 
 
 def tokenized(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, bucket): a row for each token, and one with a null bucket for each row of ``docs``; key is a hash of id and text."""
-    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(TOKEN), F.lit(0))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("key"), F.explode(F.concat(F.array(F.lit(None).cast("string")), words)).alias("w"))
-    return rows.select("doc_id", "key", F.when(F.col("w").isNotNull(), F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int")).alias("bucket"))
+    """(doc_id, key, place, bucket): the words of each row, at least one; bucket is null for an empty word, key a hash of id and text.
+
+    A word is its letters; one that ends with a mark is its last two characters, which tells marks and shouting apart and keeps the vocabulary small.
+    """
+    words = F.split(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" ")), " ")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("key"), F.posexplode(words).alias("place", "w"))
+    token = F.when(F.right("w", F.lit(1)).isin(*MARKS), F.right("w", F.lit(2))).otherwise(F.col("w"))
+    return rows.select("doc_id", "key", "place", F.when(F.col("w") != "", F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int")).alias("bucket"))
 
 
 def domain_labels(labels: DataFrame) -> DataFrame:
@@ -37,7 +42,7 @@ def domain_labels(labels: DataFrame) -> DataFrame:
 
 
 def classifier(docs: DataFrame, labels: DataFrame, labelled_rows: int = 8000) -> tuple[list[str], DataFrame | None, list[float]]:
-    """Domains, a table (bucket, w: log weights by domain) of at most ``BUCKETS`` rows, and log priors."""
+    """Domains, a table (bucket, w0, w1, ...: log weights by domain) of at most ``BUCKETS`` rows, and log priors."""
     counts = {r["domain"]: r["n"] for r in labels.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return [], None, []
@@ -52,7 +57,7 @@ def classifier(docs: DataFrame, labels: DataFrame, labelled_rows: int = 8000) ->
     logs = [F.log((F.col(f"c{i}") + SMOOTH) / F.lit(float((totals[i] or 0) + SMOOTH * BUCKETS))) for i in range(len(domains))]
     mean = sum(logs[1:], logs[0]) / len(logs)
     n = sum(counts.values())
-    return domains, table_.select("bucket", F.array(*[x - mean for x in logs]).alias("w")), [float(np.log(counts[d] / n)) for d in domains]
+    return domains, table_.select("bucket", *[(x - mean).alias(f"w{i}") for i, x in enumerate(logs)]), [float(np.log(counts[d] / n)) for d in domains]
 
 
 def posteriors(docs: DataFrame, domains: list[str], weights: DataFrame, priors: list[float]) -> DataFrame:
@@ -61,8 +66,8 @@ def posteriors(docs: DataFrame, domains: list[str], weights: DataFrame, priors:
     The weights have at most ``BUCKETS`` rows whatever the input, which bounds the broadcast.
     """
     scored = tokenized(docs).join(F.broadcast(weights), "bucket", "left")
-    sums = [F.sum(F.coalesce(F.col("w")[i], F.lit(0.0))).alias(f"s{i}") for i in range(len(domains))]
-    rows = scored.groupBy("doc_id", "key").agg(F.count_if(F.col("bucket").isNull()).alias("copies"), F.count("bucket").alias("all"), *sums)
+    sums = [F.sum(F.coalesce(F.col(f"w{i}"), F.lit(0.0))).alias(f"s{i}") for i in range(len(domains))]
+    rows = scored.groupBy("doc_id", "key").agg(F.count_if(F.col("place") == 0).alias("copies"), F.count("bucket").alias("all"), *sums)
     n = F.col("all") / F.col("copies")
     scale = F.least(F.lit(1.0), F.lit(float(EVIDENCE)) / F.greatest(n, F.lit(1.0))) / F.col("copies")
     rows = rows.select("doc_id", "key", "copies", n.cast("long").alias("n_tokens"), F.array(*[F.col(f"s{i}") * scale + priors[i] for i in range(len(domains))]).alias("z"))
@@ -115,7 +120,7 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
     """Domains, and (doc_id, key, copies, n_tokens, p, rate) of each distinct document; labels: (doc_id, domain)."""
     domains, weights, priors = classifier(docs, labels)
     if weights is None:
-        rows = tokenized(docs).groupBy("doc_id", "key").agg(F.count_if(F.col("bucket").isNull()).alias("copies"), F.count("bucket").alias("all"))
+        rows = tokenized(docs).groupBy("doc_id", "key").agg(F.count_if(F.col("place") == 0).alias("copies"), F.count("bucket").alias("all"))
         return [], rows.select("doc_id", "key", "copies", (F.col("all") / F.col("copies")).cast("long").alias("n_tokens"), F.array().cast("array<double>").alias("p"), F.lit(1.0).alias("rate"))
     rows, _ = cut(posteriors(docs, domains, weights, priors), "posteriors")
     steps, _ = fit_rates(rows, wanted(domains, targets))

@@ -18,6 +18,7 @@ import hashlib
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from .shared import table
 
 MARK, MODEL = "▁", "/opt/tokenizers/piece_bpe_32k.model"
-CHUNK, KEPT = 400_000, 600_000
+CHUNK, KEPT, LONG = 400_000, 600_000, 64
 
 
 @dataclass(frozen=True)
@@ -89,6 +90,11 @@ class Encoder:
         self.names, self.length = names, np.char.str_len(names)
         self.order = np.array([v.ids[p] for p in names.tolist()])
         self.known: dict[str, tuple[int, ...]] = {}
+        single = sorted(p for p in v.ids if len(p) == 1)
+        self.chars, self.char_ids = np.array([ord(p) for p in single], np.uint32), np.array([v.ids[p] for p in single])
+        score = np.full(len(v.texts), -np.inf)
+        score[list(v.scores)] = list(v.scores.values())
+        self.rank = np.unique(-score, return_inverse=True)[1].astype(np.int64)  # equal scores, equal ranks
 
     def edges(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start, length and id of every occurrence of a piece, by start."""
@@ -114,14 +120,65 @@ class Encoder:
                 part.append(words[at])
                 size += len(words[at]) + 1
                 at += 1
-            start, length, ids = self.edges("\0".join(part) + "\0")
+            text = "\0".join(part) + "\0"
+            start, length, ids = self.edges(text)
             begin = np.r_[0, np.cumsum([len(w) + 1 for w in part])]
+            slow = np.arange(len(part))
+            if not self.v.unigram:
+                slow = self.merge_all(text, part, begin, start, length, ids)
             cut = np.searchsorted(start, begin)
-            begin, cut = begin.tolist(), cut.tolist()
             relax = self.best_path if self.v.unigram else self.merged
-            for k, w in enumerate(part):
+            for k in slow.tolist():
                 a, b = cut[k], cut[k + 1]
-                self.known[w] = relax(w, (start[a:b] - begin[k]).tolist(), length[a:b].tolist(), ids[a:b].tolist())
+                self.known[part[k]] = relax(part[k], (start[a:b] - begin[k]).tolist(), length[a:b].tolist(), ids[a:b].tolist())
+
+    def merge_all(self, text: str, words: list[str], begin: np.ndarray, start: np.ndarray, length: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Merges in all words at once, one edge a word and round: the same rule as ``merged``. Returns the places of words that are left to that: long ones and those with bytes."""
+        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        n, width = len(codes), self.v.longest + 1
+        at = np.searchsorted(self.chars, codes)
+        name = np.where(self.chars[np.minimum(at, len(self.chars) - 1)] == codes, self.char_ids[np.minimum(at, len(self.chars) - 1)], -1)
+        edge = np.full((n, width), -1, np.int32)
+        edge[start, length] = ids
+        none, shift = np.int64(1 << 62), np.int64(n).item().bit_length()
+        first, stop = begin[:-1], begin[1:] - 1
+        end_of = np.repeat(stop, np.diff(begin))  # of the word at each place
+        end, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        before[first] = -1
+        inside = np.ones(n, bool)
+        inside[stop] = False
+
+        def key(s: np.ndarray, e: np.ndarray) -> np.ndarray:
+            """What a merge to [s, e) is worth, least first: its rank, then its place."""
+            ok = e - s < width
+            i = np.where(ok, edge[s, np.where(ok, e - s, 0)], -1)
+            return np.where(i >= 0, (self.rank[i] << shift) | s, none)
+
+        value = np.full(n, none)
+        two = np.flatnonzero(inside & (np.arange(n) + 1 < end_of))
+        value[two] = key(two, two + 2)
+        bad = np.logical_or.reduceat((name < 0) & inside, first) | (stop - first > LONG)
+        value[np.repeat(bad, np.diff(begin))] = none
+        while True:
+            least = np.minimum.reduceat(value, first)
+            s = least[least < none] & ((1 << shift) - 1)
+            if not len(s):
+                break
+            mid = end[s]
+            e = end[mid]
+            name[s] = edge[s, e - s]
+            end[s], inside[mid], value[mid], value[s] = e, False, none, none
+            more = e < end_of[s]
+            before[e[more]] = s[more]
+            value[s[more]] = key(s[more], end[e[more]])
+            p = before[s]
+            has = p >= 0
+            value[p[has]] = key(p[has], e[has])
+        shown = np.flatnonzero(inside)
+        got, cuts = name[shown].tolist(), np.searchsorted(shown, begin).tolist()
+        for k in np.flatnonzero(~bad).tolist():
+            self.known[words[k]] = tuple(got[cuts[k] : cuts[k + 1]])
+        return np.flatnonzero(bad)
 
     def symbol(self, c: str) -> tuple[int, ...]:
         i = self.v.ids.get(c)
@@ -202,15 +259,11 @@ class Encoder:
         if len(self.known) > KEPT:
             self.known.clear()
         words = [self.split(t, self.v.prefix) for t in texts]
-        new = {w for ws in words for w in ws if w not in self.known}
-        self.learn(sorted(new))
-        known, out = self.known, []
-        for ws in words:
-            ids: list[int] = []
-            for w in ws:
-                ids += known[w]
-            out.append(ids)
-        return out
+        new: set[str] = set()
+        new.update(*words)
+        self.learn(sorted(new.difference(self.known)))
+        of = self.known.__getitem__
+        return [list(chain.from_iterable(map(of, ws))) for ws in words]
 
     def decode(self, ids: list[int]) -> str:
         texts = self.v.texts
