@@ -2,7 +2,7 @@
 
 A text is read as passages of ``UNIT`` words. They start where sentences start (a capital or the end of a sentence before), thinned
 by winnowing: of any ``GAP`` words the start with the least hash is taken, so two texts that share ``UNIT + GAP`` words with a sentence
-start in the first ``GAP`` share a passage wherever it stands. Texts of fewer words are one passage. Equal passages collapse before
+start in the first ``GAP`` share a passage wherever it stands. Texts of fewer than ``GAP`` words have one passage, of at most ``UNIT`` words. Equal passages collapse before
 anything else; different ones meet where a band of ``ROWS`` minima out of ``BANDS`` is equal: a Jaccard similarity of 0.8 is
 found with probability 1 - (1 - 0.8^2)^3 = 0.95 by each passage, and texts share many. In a band's bucket, members of different
 components are compared by the Jaccard similarity of their five-word shingles (32-bit hashes); only tree edges leave the task.
@@ -99,7 +99,9 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
         keep = [p for p in edge_at.tolist() if low[p - place[p] : p + 1].max() == key[p]]
         at = np.union1d(at[place[at] >= GAP - 1], np.array(keep, np.int64))
     short = first[(n >= SHINGLE) & (n < UNIT)]
-    at = np.r_[at, short].astype(np.int64)
+    middle = first[(n >= UNIT) & (n < GAP)]  # too short for a window: one over all the starts that fit
+    middle = middle + key[middle[:, None] + np.arange(GAP - UNIT)].argmin(axis=1)
+    at = np.r_[at, middle, short].astype(np.int64)
     length = np.minimum(left[at], UNIT)
     within = np.minimum(np.arange(width)[None], (length - SHINGLE)[:, None])
     rows = shingle[at[:, None] + within] if len(at) else np.zeros((0, width), np.uint64)

@@ -107,3 +107,14 @@ def test_query_finds_exact_copies(spark, sf_dir):
     for ids in docs.values():
         if len(ids) > 1:
             assert set.intersection(*(found[i] for i in ids))
+
+
+def test_exact_copies_of_every_length_are_found(spark):
+    rows = []
+    for n in range(5, 61):
+        text = " ".join(f"t{n}x{i}" for i in range(n))
+        rows += [(n, text, "", ""), (1000 + n, text, "", "")]
+    got = {(r.doc_id, r.class_id) for r in paragraphs.repeated(spark.createDataFrame(rows, SHAPE)).collect()}
+    assert got == {(i, n) for n in range(5, 61) for i in (n, 1000 + n)}
+    doc, *_ = paragraphs.passages([t.encode() for _, t, *_ in rows])
+    assert set(doc.tolist()) == set(range(len(rows)))
