@@ -4,9 +4,14 @@ A text is read as passages of ``UNIT`` words. They start where sentences start (
 by winnowing: of any ``GAP`` words the start with the least hash is taken, so two texts that share ``UNIT + GAP`` words with a sentence
 start in the first ``GAP`` share a passage wherever it stands. Texts of fewer than ``GAP`` words have one passage, of at most ``UNIT`` words. Equal passages collapse before
 anything else; different ones meet where a band of ``ROWS`` minima out of ``BANDS`` is equal: a Jaccard similarity of 0.8 is
-found with probability 1 - (1 - 0.8^2)^3 = 0.95 by each passage, and texts share many. In a band's bucket, members of different
+found with probability 1 - (1 - 0.8^2)^3 = 0.95 by each passage. In a band's bucket, members of different
 components are compared by the Jaccard similarity of their five-word shingles (32-bit hashes); only tree edges leave the task.
 
+Equal passages are also read at starts of any kind, of which winnowing takes one in any ``DENSE``: texts that share
+``UNIT + DENSE - 1`` = 24 words share one of them, with or without sentences. That settles near copies of 50 words or more too: of
+m = words - 4 distinct shingles at most m / 9 change at a Jaccard similarity of 0.8, a changed word inside costs five of them and an added or
+missing one four, so the longest run left equal has 24 words or more. These passages meet by their content hash alone and carry no shingles.
+
 Defined results: null, empty and shorter texts than five words have no passages; a null doc_id takes no part; equal rows count once; extra columns are ignored; passages that
 repeat only inside one document are not reported.
 """
@@ -22,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .shared import components, cut, drop, table
 
-SHINGLE, UNIT, GAP, BANDS, ROWS = 5, 20, 30, 3, 2
+SHINGLE, UNIT, GAP, DENSE, BANDS, ROWS = 5, 20, 30, 5, 3, 2
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xD6E8FEB86659FD93)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -53,8 +58,11 @@ def _sliding(v: np.ndarray, width: int, least: bool) -> np.ndarray:
     return out
 
 
-def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of every passage: its text's index, first and end code point, content hash, and row of 32-bit shingle hashes (padded by repetition)."""
+def passages(texts: list[bytes], dense: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of every passage: its text's index, first and end code point, content hash, and row of 32-bit shingle hashes (padded by repetition).
+
+    dense: also those that start at any word; the shingle hashes are left out then.
+    """
     data = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
     none = np.zeros(0, np.int64)
     width = UNIT - SHINGLE + 1
@@ -102,6 +110,13 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     middle = first[(n >= UNIT) & (n < GAP)]  # too short for a window: one over all the starts that fit
     middle = middle + key[middle[:, None] + np.arange(GAP - UNIT)].argmin(axis=1)
     at = np.r_[at, middle, short].astype(np.int64)
+    if dense:
+        fit = left >= UNIT
+        key = np.full(len(s), big)
+        key[fit] = shingle[np.flatnonzero(fit)] >> np.uint64(1)
+        low = _sliding(key, DENSE, True)
+        low[(left < UNIT + DENSE - 1) & ((place > 0) | (n[doc] < UNIT))] = 0  # the tail of a text starts no window, so none reaches the next text
+        at = np.union1d(at, np.flatnonzero(fit & (_sliding(low[::-1], DENSE, False)[::-1] == key)))
     length = np.minimum(left[at], UNIT)
     within = np.minimum(np.arange(width)[None], (length - SHINGLE)[:, None])
     rows = shingle[at[:, None] + within] if len(at) else np.zeros((0, width), np.uint64)
@@ -109,11 +124,11 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     content = _mix((rows * order).sum(axis=1, dtype=np.uint64) + length.astype(np.uint64))
     points = np.r_[0, np.cumsum((data & 0xC0) != 0x80)]
     zero = points[np.r_[0, ends_of[:-1]]][doc[at]]
-    return doc[at], points[s[at]] - zero, points[e[at + length - 1]] - zero, content, np.sort((rows >> np.uint64(32)).astype(np.uint32), axis=1)
+    return doc[at], points[s[at]] - zero, points[e[at + length - 1]] - zero, content, np.zeros((len(at), 0), np.uint32) if dense else np.sort((rows >> np.uint64(32)).astype(np.uint32), axis=1)
 
 
 def with_passages(docs: DataFrame, shingles: bool, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, start, stop, content[, sh]) of all passages."""
+    """(doc_id, start, stop, content[, sh]) of all passages, or with their shingles those that start a sentence."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -124,7 +139,7 @@ def with_passages(docs: DataFrame, shingles: bool, id_col: str = "doc_id", text_
                     texts.append(b.column(1)[j].as_py() or b"")
                     size += len(texts[-1])
                     j += 1
-                doc, start, stop, content, sh = passages(texts)
+                doc, start, stop, content, sh = passages(texts, not shingles)
                 cols = [pa.array(b.column(0).slice(i, j - i).to_numpy(zero_copy_only=False)[doc].astype(np.int64)), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32)), pa.array(content.view(np.int64))]
                 names = ["doc_id", "start", "stop", "content"]
                 if shingles:
@@ -175,7 +190,7 @@ def bucket_links(ids: np.ndarray, sh: np.ndarray, similarity: float) -> list[tup
 
 def _verify(similarity: float):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (band, content, sh), a band's together, to links."""
+        """Rows (band, content, sh, low), a band's together, to links."""
         band, members, out = None, [], []
 
         def solve() -> None:
@@ -188,7 +203,7 @@ def _verify(similarity: float):  # noqa: ANN202
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            for k, c, s in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            for k, c, s, _ in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 if k != band:
                     solve()
                     band, members = k, []
@@ -208,24 +223,25 @@ def repeated(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", t
     the code points they span; all but that least document would lose them.
     """
     spark = docs.sparkSession
-    distinct = with_passages(docs, True, id_col, text_col).groupBy("content").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.any_value("sh").alias("sh"))
+    # Read twice below with the same columns and filter, so that Spark deals it out once.
+    distinct = with_passages(docs, True, id_col, text_col).where("content is not null").groupBy("content").agg(F.min("doc_id").alias("low"), F.any_value("sh").alias("sh"))
+    spots = with_passages(docs, False, id_col, text_col)
     # Buckets of one document alone hold its overlapping passages only.
     bands = distinct.select("content", "low", "sh").mapInArrow(_bands, "band long, content long, low long")
     met = bands.selectExpr("band", "content", "min(low) over (partition by band) l", "max(low) over (partition by band) h").where("l < h").select("band", "content")
-    checked = met.join(distinct.select("content", "sh"), "content").select("band", "content", "sh").repartition("band").sortWithinPartitions("band", "content")
+    checked = met.join(distinct, "content").select("band", "content", "sh", "low").repartition("band").sortWithinPartitions("band", "content")
     links = checked.mapInArrow(_verify(similarity), "a long, b long").distinct()
     # One run writes the links, the contents of several documents (a = b), and whose the linked contents are.
-    held = distinct.select("content", "low", "high")
-    own = held.where("low < high").select(F.col("content").alias("a"), F.col("content").alias("b"), "low", "high")
-    far = held.join(met.select("content").distinct(), "content", "left_semi").where("low = high").select(F.col("content").alias("a"), F.col("content").alias("b"), "low", "high")
-    found, path = cut(links.select("a", "b", F.lit(None).cast("long").alias("low"), F.lit(None).cast("long").alias("high")).union(own).union(far), "passages")
+    held = spots.groupBy("content").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    whose = held.join(met.select("content", F.lit(True).alias("met")).distinct(), "content", "left").where("low < high or met")
+    whose = whose.select(F.col("content").alias("a"), F.col("content").alias("b"), "low", "high")
+    found, path = cut(links.select("a", "b", F.lit(None).cast("long").alias("low"), F.lit(None).cast("long").alias("high")).union(whose), "passages")
     near, _ = components(found.where("low is null").select("a", "b"))
     named = found.where("low is not null").select(F.col("a").alias("content"), "low", "high").join(near.withColumnRenamed("id", "content"), "content", "left")
     named = named.select("content", "low", "high", F.coalesce("component", "content").alias("component"))
     classes = named.groupBy("component").agg(F.min("low").alias("class_id"), F.max("high").alias("last")).where("class_id < last")
     of, _ = cut(named.join(classes, "component").select("content", "class_id"), "passage-classes")
     drop(spark, path)
-    spots = with_passages(docs, False, id_col, text_col)
     return spots.join(of, "content").groupBy("doc_id", "class_id").agg(
         F.count_distinct("start").alias("passages"), F.min("start").cast("long").alias("start"), F.max("stop").cast("long").alias("stop")
     ).withColumn("removed", F.col("doc_id") != F.col("class_id"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pytest
 
 from acquimetra.llm import paragraphs
 from acquimetra.llm.registry import QUERIES
@@ -118,3 +119,41 @@ def test_exact_copies_of_every_length_are_found(spark):
     assert got == {(i, n) for n in range(5, 61) for i in (n, 1000 + n)}
     doc, *_ = paragraphs.passages([t.encode() for _, t, *_ in rows])
     assert set(doc.tolist()) == set(range(len(rows)))
+
+
+def test_near_copies_with_a_changed_middle_word_are_found(spark):
+    rng = random.Random(17)
+    rows, want = [], set()
+    for g in range(60):  # passages of 50 to 70 words in longer texts, one word changed, added or taken out at any place
+        words = prose(rng, 70 if g % 3 == 0 else 50 + g % 21)
+        at = 35 if g % 3 == 0 else g % len(words)
+        near = words[:at] + [["altered"], ["altered", words[at]], []][g % 9 // 3] + words[at + 1 :]
+        for k, piece in enumerate((words, near)):
+            rows.append((2 * g + k, " ".join(prose(rng, 120) + piece + prose(rng, 100)), "", ""))
+        want |= {(2 * g, 2 * g), (2 * g + 1, 2 * g)}
+    assert {(r.doc_id, r.class_id) for r in paragraphs.repeated(spark.createDataFrame(rows, SHAPE)).collect()} == want
+
+
+def test_runs_without_sentences_are_found(spark):
+    rng = random.Random(18)
+    plain = lambda n: [f"p{rng.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for g in range(40):
+        run = plain(24 + g)
+        rows += [(2 * g + k, " ".join(plain(80) + run + plain(90)), "", "") for k in range(2)]
+    got = {(r.doc_id, r.class_id) for r in paragraphs.repeated(spark.createDataFrame(rows, SHAPE)).collect()}
+    assert got == {(2 * g + k, 2 * g) for g in range(40) for k in range(2)}
+
+
+@pytest.mark.parametrize("words", [1, 19, 20, 21, 23, 24, 25, 29, 30, 200])
+def test_dense_starts_equal_a_plain_loop(words):
+    rng = random.Random(words)
+    texts = [" ".join(f"q{rng.randrange(10**6)}" for _ in range(words)).encode() for _ in range(3)]
+    doc, start, *_ = paragraphs.passages(texts, True)
+    for d, t in enumerate(texts):
+        places = sorted(t[:a].count(b" ") for a in start[doc == d].tolist())
+        fits = max(0, words - paragraphs.UNIT + 1)
+        assert len(places) == len(set(places)) and bool(places) == (words >= paragraphs.SHINGLE)
+        assert all(any(a <= p < a + paragraphs.DENSE for p in places) for a in range(max(0, fits - paragraphs.DENSE + 1)))
+        alone, *_ = paragraphs.passages([t], True)
+        assert len(alone) == len(places)
