@@ -3,19 +3,25 @@
 A frame is a baseline JPEG in grey whose 8x8 blocks are flat: each block's DC coefficient is one sample, so any decoder
 gets the samples back exactly. The Huffman table gives the longer codes to the smaller differences, so that a code and its
 difference always fill ``BITS`` bits: the scan then decodes in numpy without a walk from bit to bit. Frames are ``COLUMNS`` blocks wide and up to
-``ROWS`` high; the last may be lower. Reading takes frame places from ``idx1``. A shot starts where the histogram difference to the frame
+``ROWS`` high; the last may be lower. Reading takes frame places from ``idx1``. Frames in any other baseline coding (colour, AC coefficients, own or
+left-out Huffman tables, restart markers, several scans) are decoded by the general way, and their samples are all pixels of the first component
+(the brightness). A shot starts where the histogram difference to the frame
 before exceeds the mean of the differences around it by ``DEVIATIONS`` standard deviations.
 
 Defined results: a null or empty text is 64 zero bytes; texts of any length give as many frames as they need; equal texts give equal values; a null id
-and repeated rows are returned each; extra columns are ignored.
+and repeated rows are returned each; extra columns are ignored. A null media value, and a file or frame that can't be read (cut short, without an
+index or frames, or not baseline), gives one row: ``clips`` has 0 frames and nulls, ``digests`` the file's size and hash, nulls, and the feature
+``unreadable``.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -113,35 +119,197 @@ def read_index(avi: bytes) -> tuple[float, list[tuple[int, int]]]:
     return rate, [(movi + start + 8, size) for name, _, start, size in entries if name[2:] in (b"dc", b"db")]
 
 
+_ZIGZAG = np.array(sorted(range(64), key=lambda i: (i // 8 + i % 8, i // 8 if (i // 8 + i % 8) % 2 else i % 8)))
+_COS = np.array([[(0.5 if u else 8**-0.5) * np.cos((2 * x + 1) * u * np.pi / 16) for u in range(8)] for x in range(8)])
+_BROKEN = (ValueError, IndexError, KeyError, struct.error, OverflowError)
+#: The standard's tables (class and number, counts by length, symbols), which motion-JPEG files may leave out.
+_STANDARD = [
+    bytes.fromhex(x)
+    for x in (
+        "00" "00010501010101010100000000000000" "000102030405060708090a0b",
+        "01" "00030101010101010101010000000000" "000102030405060708090a0b",
+        "10" "0002010303020403050504040000017d" "01020300041105122131410613516107227114328191a1082342b1c11552d1f02433627282090a161718191a25262728292a3435363738393a434445464748494a535455565758595a636465666768696a737475767778797a838485868788898a92939495969798999aa2a3a4a5a6a7a8a9aab2b3b4b5b6b7b8b9bac2c3c4c5c6c7c8c9cad2d3d4d5d6d7d8d9dae1e2e3e4e5e6e7e8e9eaf1f2f3f4f5f6f7f8f9fa",
+        "11" "00020102040403040705040400010277" "000102031104052131061241510761711322328108144291a1b1c109233352f0156272d10a162434e125f11718191a262728292a35363738393a434445464748494a535455565758595a636465666768696a737475767778797a82838485868788898a92939495969798999aa2a3a4a5a6a7a8a9aab2b3b4b5b6b7b8b9bac2c3c4c5c6c7c8c9cad2d3d4d5d6d7d8d9dae2e3e4e5e6e7e8e9eaf2f3f4f5f6f7f8f9fa",
+    )
+]
+
+
+@lru_cache(64)
+def _book(counts: bytes, symbols: bytes) -> list[int]:
+    """For each 16 bits, the length of the code they begin with and its symbol as length << 8 | symbol; 0 where there is none."""
+    out, code, k = [0] * 65536, 0, 0
+    for size in range(1, 17):
+        for _ in range(counts[size - 1]):
+            if code >> size:
+                raise ValueError("too many codes")
+            at, width = code << (16 - size), 1 << (16 - size)
+            out[at : at + width] = [size << 8 | symbols[k]] * width
+            code, k = code + 1, k + 1
+        code <<= 1
+    return out
+
+
+def _walk(data: bytes, units: list[tuple[int, list[int], list[int], list[int]]], coefs: list[list[list[int]]]) -> None:
+    """Decodes blocks from one restart interval; units: (component, its DC book, its AC book, block numbers) in the order of the scan."""
+    end, data, k = len(data) * 8, data + b"\0" * 8, 0
+    last = [0] * len(coefs)
+
+    def value(size: int) -> int:
+        nonlocal k
+        v = (int.from_bytes(data[k >> 3 : (k >> 3) + 4], "big") >> (32 - (k & 7) - size)) & ((1 << size) - 1)
+        k += size
+        return v if not size or v >> (size - 1) else v - (1 << size) + 1
+
+    def symbol(book: list[int]) -> int:
+        nonlocal k
+        hit = book[(int.from_bytes(data[k >> 3 : (k >> 3) + 4], "big") >> (16 - (k & 7))) & 0xFFFF]
+        if not hit or k >= end:
+            raise ValueError("no code" if k < end else "a scan ends early")
+        k += hit >> 8
+        return hit & 255
+
+    for c, dc, ac, block in units:
+        size = symbol(dc)
+        if size > 15:
+            raise ValueError("a difference of more than 15 bits")
+        last[c] += value(size)
+        out = coefs[c][block]
+        out[0], z = last[c], 1
+        while z < 64:
+            rs = symbol(ac)
+            if not rs & 15:
+                if rs != 0xF0:
+                    break
+                z += 16
+                continue
+            z += rs >> 4
+            out[z] = value(rs & 15)
+            z += 1
+    if k > end:
+        raise ValueError("a scan ends early")
+
+
+def decode_jpeg(data: bytes) -> list[np.ndarray]:
+    """The planes of a baseline JPEG, a (height, width) array for each component at its own resolution."""
+    quant: dict[int, np.ndarray] = {}
+    books = {t[0]: _book(t[1:17], t[17:]) for t in _STANDARD}
+    restart, parts, coefs, at = 0, [], [], 2
+    if data[:2] != b"\xff\xd8":
+        raise ValueError("not a JPEG")
+    seen: set[int] = set()
+    while at + 4 <= len(data):
+        if data[at] != 255:
+            raise ValueError("no marker")
+        marker = data[at + 1]
+        if marker == 0xFF:  # fill
+            at += 1
+            continue
+        if marker == 0xD9:
+            break
+        length = struct.unpack_from(">H", data, at + 2)[0]
+        body = data[at + 4 : at + 2 + length]
+        at += 2 + length
+        if marker == 0xDB:
+            while body:
+                wide = body[0] >> 4
+                quant[body[0] & 15] = np.frombuffer(body[1 : 65 + 64 * wide], ">u2" if wide else np.uint8).astype(np.float64)
+                body = body[65 + 64 * wide :]
+        elif marker == 0xC4:
+            while body:
+                n = sum(body[1:17])
+                books[body[0]] = _book(body[1:17], body[17 : 17 + n])
+                body = body[17 + n :]
+        elif marker == 0xDD:
+            restart = struct.unpack(">H", body[:2])[0]
+        elif marker in (0xC0, 0xC1):
+            bits, height, width, n = struct.unpack_from(">BHHB", body)
+            parts = [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(n)]
+            if bits != 8 or not height or not width or not parts or not all(1 <= x <= 4 for p in parts for x in p[1:3]):
+                raise ValueError("a frame header out of range")
+            hmax, vmax = max(p[1] for p in parts), max(p[2] for p in parts)
+            mx, my = -(-width // (8 * hmax)), -(-height // (8 * vmax))
+            if mx * my * 4 > 64 * len(data):
+                raise ValueError("more blocks than the data can hold")
+            coefs = [[[0] * 64 for _ in range(mx * h * my * v)] for _, h, v, _ in parts]
+        elif 0xC2 <= marker <= 0xCF and marker != 0xCC:
+            raise ValueError("not baseline")
+        elif marker == 0xDA:
+            if not parts:
+                raise ValueError("a scan before its frame")
+            chosen = [([p[0] for p in parts].index(body[1 + 2 * i]), body[2 + 2 * i]) for i in range(body[0])]
+            seen |= {c for c, _ in chosen}
+            pick = [(c, books[t >> 4], books[0x10 | t & 15], parts[c][1], parts[c][2]) for c, t in chosen]
+            if len(pick) == 1:  # not interleaved: only blocks that the picture reaches
+                c, dc, ac, h, v = pick[0]
+                across, down = -(-(-(-width * h // hmax)) // 8), -(-(-(-height * v // vmax)) // 8)
+                groups = [[(c, dc, ac, y * mx * h + x)] for y in range(down) for x in range(across)]
+            else:
+                groups = [[(c, dc, ac, (Y * v + y) * mx * h + X * h + x) for c, dc, ac, h, v in pick for y in range(v) for x in range(h)] for Y in range(my) for X in range(mx)]
+            stop = re.compile(rb"\xff[^\x00\xd0-\xd7\xff]", re.DOTALL).search(data, at)
+            end = stop.start() if stop else len(data)
+            step = restart or len(groups)
+            runs = re.split(rb"\xff+[\xd0-\xd7]", data[at:end])
+            if len(runs) < -(-len(groups) // step):
+                raise ValueError("a restart interval is missing")
+            for i, run in zip(range(0, len(groups), step), runs, strict=False):
+                _walk(run.replace(b"\xff\x00", b"\xff"), [u for g in groups[i : i + step] for u in g], coefs)
+            at = end
+        # all other segments say nothing about the samples
+    if not parts or len(seen) < len(parts):
+        raise ValueError("no scan of some component")
+    planes = []
+    for (_, h, v, q), blocks in zip(parts, coefs, strict=True):
+        flat = np.zeros((len(blocks), 64))
+        flat[:, _ZIGZAG] = np.array(blocks, np.float64) * quant[q]
+        pixels = np.clip(np.rint(_COS @ flat.reshape(-1, 8, 8) @ _COS.T + 128), 0, 255).astype(np.uint8)
+        plane = pixels.reshape(my * v, mx * h, 8, 8).swapaxes(1, 2).reshape(my * v * 8, mx * h * 8)
+        planes.append(plane[: -(-height * v // vmax), : -(-width * h // hmax)])
+    return planes
+
+
 def decode_frames(avi: bytes, places: list[tuple[int, int]]) -> list[np.ndarray]:
-    """Samples of each frame (one a block): heights come from the frame's own header, tables have to be those of ``write_avi``."""
-    scans, blocks = [], []
-    for start, size in places:
-        at, n = start + 2, 0
-        while True:
-            marker, length = avi[at + 1], struct.unpack_from(">H", avi, at + 2)[0]
-            if marker == 0xC0:
-                n = (struct.unpack_from(">H", avi, at + 5)[0] // 8) * (struct.unpack_from(">H", avi, at + 7)[0] // 8)
-            at += 2 + length
-            if marker == 0xDA:
-                break
-        scans.append(avi[at : start + size - 2].replace(b"\xff\x00", b"\xff"))
-        blocks.append(n)
-    out: list[np.ndarray] = []
+    """Samples of each frame: one a block in the coding of ``write_avi``, all pixels of the first component in any other."""
+    out: list[np.ndarray] = [None] * len(places)  # type: ignore[list-item]
+    scans, blocks, which = [], [], []
+    head, sof = b"\xff\xd8" + _TABLES, _segment(0xC0, struct.pack(">BHHB", 8, 0, 0, 1) + bytes([1, 0x11, 0]))
+    for i, (start, size) in enumerate(places):
+        frame = avi[start : start + size]
+        at = len(head) + len(sof) + len(_SCAN)
+        own = len(frame) > at and frame.startswith(head + sof[:5]) and frame[len(head) + 9 : at] == sof[9:] + _SCAN and frame[-2:] == b"\xff\xd9"
+        if own:
+            h, w = struct.unpack_from(">HH", frame, len(head) + 5)
+            scan, n = frame[at:-2].replace(b"\xff\x00", b"\xff"), (h // 8) * (w // 8)
+            own = not (h % 8 or w % 8) and n > 0 and len(scan) * 8 == n * BITS
+        if own:
+            scans.append(scan)
+            blocks.append(n)
+            which.append(i)
+        else:
+            out[i] = decode_jpeg(frame)[0].ravel()
     for i in range(0, len(scans), 512):
         data, counts = b"".join(scans[i : i + 512]), np.array(blocks[i : i + 512])
         bits = np.unpackbits(np.frombuffer(data, np.uint8)).reshape(-1, BITS)
         value = np.packbits(np.pad(bits, ((0, 0), (16 - BITS, 0))), axis=1).view(">u2").ravel()
         diff = _BACK[value].astype(np.int64)
-        if len(diff) != counts.sum() or (diff == 999).any():
-            raise ValueError("a scan in another coding")
+        if (diff == 999).any():
+            raise ValueError("a scan with unknown codes")
         ends = np.cumsum(counts)
         total = np.cumsum(diff)
         level = total - np.repeat(np.r_[0, total[ends[:-1] - 1]], counts)
-        out += np.split((level + 128).astype(np.uint8), ends[:-1])
+        for j, f in zip(which[i : i + 512], np.split((level + 128).astype(np.uint8), ends[:-1]), strict=True):
+            out[j] = f
     return out
 
 
+def _read(avi: bytes | None) -> tuple[float, list[np.ndarray]] | None:
+    """Seconds a frame, and the frames' samples; None for a file that can't be read."""
+    try:
+        rate, places = read_index(avi or b"")
+        return (rate, decode_frames(avi, places)) if places else None
+    except _BROKEN:
+        return None
+
+
 def shots(frames: list[np.ndarray]) -> list[tuple[int, int]]:
     """First and one past the last frame of each shot."""
     n = len(frames)
@@ -182,9 +350,11 @@ def clips(media: DataFrame) -> DataFrame:
         for b in batches:
             rows = []
             for k, m in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                avi = m.as_py()
-                rate, places = read_index(avi)
-                frames = decode_frames(avi, places)
+                read = _read(m.as_py())
+                if read is None:
+                    rows.append((k, None, None, None, 0, None))
+                    continue
+                rate, frames = read
                 rows += [(k, c, s * rate, e * rate, e - s, float(np.mean(np.concatenate(frames[s:e])))) for c, (s, e) in enumerate(shots(frames))]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 6, (pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.int64(), pa.float64()), strict=True)], names=["id", "clip", "start_s", "end_s", "frames", "mean_level"])
 
@@ -199,8 +369,11 @@ def digests(media: DataFrame) -> DataFrame:
             rows = []
             for m in b.column(1):
                 avi = m.as_py()
-                rate, places = read_index(avi)
-                frames = decode_frames(avi, places)
+                read = _read(avi)
+                if read is None:
+                    rows.append((None, None, None, None if avi is None else len(avi), None if avi is None else hashlib.sha256(avi).hexdigest(), "unreadable"))
+                    continue
+                rate, frames = read
                 payload = b"".join([f.tobytes() for f in frames])
                 found = shots(frames)
                 feature = f"frames={len(frames)};shots={len(found)};clips=" + "|".join([f"{s * rate:.2f}-{e * rate:.2f}" for s, e in found])

@@ -110,3 +110,114 @@ def test_nulls_and_empty_table(spark, tmp_path):
     assert len(rows) == 3 and {(r.n_bytes, r.payload_bytes) for r in rows} == {(0, 64)}
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/b/documents.parquet")
     assert QUERIES["op9_media"](spark, f"{tmp_path}/b").count() == 0
+
+
+class Bits:
+    """Entropy-coded bits by the standard's rules, for a plain encoder of any coefficients."""
+
+    def __init__(self, tables):
+        self.out, self.codes = "", {}
+        for t in tables:
+            code, k = 0, 17
+            for size in range(1, 17):
+                for _ in range(t[size]):
+                    self.codes[t[0], t[k]] = f"{code:0{size}b}"
+                    code, k = code + 1, k + 1
+                code <<= 1
+
+    def put(self, table, zeros, v):
+        size = abs(v).bit_length()
+        self.out += self.codes[table, zeros << 4 | size] + (f"{v if v > 0 else v + (1 << size) - 1:0{size}b}" if size else "")
+
+    def block(self, coefs, before, table):
+        self.put(table, 0, coefs[0] - before)
+        zeros = 0
+        last = max([i for i in range(1, 64) if coefs[i]], default=0)
+        for i in range(1, last + 1):
+            if coefs[i]:
+                while zeros > 15:
+                    self.out, zeros = self.out + self.codes[0x10 | table, 0xF0], zeros - 16
+                self.put(0x10 | table, zeros, coefs[i])
+                zeros = 0
+            else:
+                zeros += 1
+        if last < 63:
+            self.out += self.codes[0x10 | table, 0]
+
+    def take(self):
+        self.out += "1" * (-len(self.out) % 8)
+        data, self.out = bytes(int(self.out[i : i + 8], 2) for i in range(0, len(self.out), 8)), ""
+        return data.replace(b"\xff", b"\xff\x00")
+
+
+def plain_idct(coefs, quant):
+    """One block's 64 pixels by the defining sum over the zigzag walk."""
+    f, x, y, up = np.zeros((8, 8)), 0, 0, True
+    for c, q in zip(coefs, quant, strict=True):
+        f[y, x] = c * q
+        if up:
+            x, y, up = (x + 1, y, False) if y == 0 and x < 7 else (x, y + 1, False) if x == 7 else (x + 1, y - 1, True)
+        else:
+            x, y, up = (x, y + 1, True) if x == 0 and y < 7 else (x + 1, y, True) if y == 7 else (x - 1, y + 1, False)
+    scale = lambda u: 0.5**0.5 if u == 0 else 1.0
+    out = [[sum(scale(u) * scale(v) * f[v, u] * np.cos((2 * i + 1) * u * np.pi / 16) * np.cos((2 * j + 1) * v * np.pi / 16) for u in range(8) for v in range(8)) / 4 for i in range(8)] for j in range(8)]
+    return np.clip(np.rint(np.array(out) + 128), 0, 255)
+
+
+def colour_jpeg(seed, restart, tables):
+    """A 4:2:0 picture of 40 x 24 pixels with AC coefficients, and its brightness."""
+    rng = np.random.default_rng(seed)
+    quant = rng.integers(1, 12, (2, 64))
+    bits = Bits(media._STANDARD)
+    luma, scan, before, done = np.zeros((32, 48)), b"", [0, 0, 0], 0
+    for k in range(6):  # 3 x 2 groups of four blocks of brightness and two of colour
+        if restart and k and k % restart == 0:
+            scan, before = scan + bits.take() + bytes([255, 0xD0 + (k // restart - 1) % 8]), [0, 0, 0]
+        for c, table in ((0, 0), (0, 0), (0, 0), (0, 0), (1, 1), (2, 1)):
+            coefs = [int(rng.integers(-60, 60)), *[int(rng.integers(-9, 10)) if rng.random() < 0.1 else 0 for _ in range(63)]]
+            bits.block(coefs, before[c], table)
+            before[c] = coefs[0]
+            if c == 0:
+                i = done % 4
+                y, x = (k // 3 * 2 + i % 4 // 2) * 8, (k % 3 * 2 + i % 2) * 8
+                luma[y : y + 8, x : x + 8] = plain_idct(coefs, quant[0])
+                done += 1
+    head = b"".join(media._segment(0xDB, bytes([i, *quant[i].tolist()])) for i in range(2)) + media._segment(0xC0, struct.pack(">BHHB", 8, 24, 40, 3) + bytes([1, 0x22, 0, 2, 0x11, 1, 3, 0x11, 1]))
+    if tables:
+        head += media._segment(0xC4, b"".join(media._STANDARD))
+    if restart:
+        head += media._segment(0xDD, struct.pack(">H", restart))
+    return b"\xff\xd8" + head + media._segment(0xDA, bytes([3, 1, 0x00, 2, 0x11, 3, 0x11, 0, 63, 0])) + scan + bits.take() + b"\xff\xd9", luma[:24, :40]
+
+
+def avi_of(monkeypatch, frames):
+    with monkeypatch.context() as m:
+        m.setattr(media, "_jpegs", lambda _: frames)
+        return media.write_avi(bytes(64))
+
+
+@pytest.mark.parametrize(("restart", "tables"), [(0, True), (2, True), (1, False), (0, False)])
+def test_colour_frames_with_all_coefficients(monkeypatch, restart, tables):
+    made = [colour_jpeg(s, restart, tables) for s in range(3)]
+    avi = avi_of(monkeypatch, [f for f, _ in made])
+    for got, (_, want) in zip(media.decode_frames(avi, media.read_index(avi)[1]), made, strict=True):
+        assert np.abs(got.reshape(24, 40).astype(int) - want).max() <= 1
+
+
+def test_standard_tables_hold_every_symbol():
+    for t in media._STANDARD:
+        want = set(range(12)) if t[0] < 16 else {0, 0xF0} | {r << 4 | s for r in range(16) for s in range(1, 11)}
+        assert sum(t[1:17]) == len(t) - 17 and set(t[17:]) == want
+
+
+def test_null_and_broken_media_have_a_row(spark, monkeypatch):
+    good, (jpeg, luma) = media.write_avi(b"\x14" * 1024), colour_jpeg(1, 0, True)
+    bad = [None, b"", b"RIFF", good[: len(good) // 2], avi_of(monkeypatch, [jpeg[:-60]]), avi_of(monkeypatch, [jpeg.replace(b"\xff\xc0", b"\xff\xc2", 1)])]
+    rows = [(i, None if m is None else bytearray(m), 5) for i, m in enumerate([*bad, good, avi_of(monkeypatch, [jpeg])])]
+    df = spark.createDataFrame(rows, "id long, media binary, n_bytes long")
+    got = {r.id: r for r in media.clips(df).collect()}
+    assert len(got) == len(rows) and all((got[i].clip, got[i].frames, got[i].mean_level) == (None, 0, None) for i in range(len(bad)))
+    assert got[len(bad)].mean_level == 20.0 and abs(got[len(bad) + 1].mean_level - luma.mean()) < 1
+    got = {r.doc_id: r for r in media.digests(df).collect()}
+    assert [got[i].feature == "unreadable" for i in range(len(rows))] == [True] * len(bad) + [False] * 2
+    assert got[0].media_bytes is None and got[2].media_bytes == 4
