@@ -6,7 +6,8 @@ difference always fill ``BITS`` bits: the scan then decodes in numpy without a w
 ``ROWS`` high; the last may be lower. Reading takes frame places from ``idx1``. Frames in any other baseline coding (colour, AC coefficients, own or
 left-out Huffman tables, restart markers, several scans) are decoded by the general way, and their samples are all pixels of the first component
 (the brightness). A shot starts where the histogram difference to the frame
-before exceeds the mean of the differences around it by ``DEVIATIONS`` standard deviations.
+before exceeds ``FLOOR`` and the lower median of the differences around it, itself left out, by ``DEVIATIONS`` deviations (median, scaled to a normal
+one), or exceeds ``HARD`` whatever stands around it.
 
 Defined results: a null or empty text is 64 zero bytes; texts of any length give as many frames as they need; equal texts give equal values; a null id
 and repeated rows are returned each; extra columns are ignored. A null media value, and a file or frame that can't be read (cut short, without an
@@ -32,7 +33,7 @@ from .shared import table
 
 COLUMNS, ROWS, FPS, BITS = 64, 16, 25, 10
 FRAME = COLUMNS * ROWS
-AROUND, DEVIATIONS, FLOOR = 8, 2.0, 0.25
+AROUND, DEVIATIONS, FLOOR, HARD = 8, 2.0, 0.25, 0.75
 
 
 def _segment(marker: int, body: bytes) -> bytes:
@@ -310,6 +311,16 @@ def _read(avi: bytes | None) -> tuple[float, list[np.ndarray]] | None:
         return None
 
 
+def _usual(d: np.ndarray) -> np.ndarray:
+    """What each difference has to exceed: lower median and deviation of those up to ``AROUND`` before and after it; 0 without any."""
+    around = np.lib.stride_tricks.sliding_window_view(np.pad(d, AROUND, constant_values=np.nan), 2 * AROUND + 1)
+    around = np.delete(around, AROUND, axis=1)
+    middle = np.maximum(0, (~np.isnan(around)).sum(axis=1) - 1) // 2
+    low = lambda x: np.nan_to_num(np.sort(x, axis=1)[np.arange(len(x)), middle])
+    m = low(around)
+    return m + DEVIATIONS * 1.4826 * low(np.abs(around - m[:, None]))
+
+
 def shots(frames: list[np.ndarray]) -> list[tuple[int, int]]:
     """First and one past the last frame of each shot."""
     n = len(frames)
@@ -317,11 +328,7 @@ def shots(frames: list[np.ndarray]) -> list[tuple[int, int]]:
         return [(0, n)]
     hist = np.stack([np.bincount(f >> 4, minlength=16) / len(f) for f in frames])
     d = np.abs(np.diff(hist, axis=0)).sum(axis=1) / 2
-    pad = np.r_[0, np.cumsum(d)], np.r_[0, np.cumsum(d * d)]
-    lo, hi = np.maximum(0, np.arange(n - 1) - AROUND), np.minimum(n - 1, np.arange(n - 1) + AROUND + 1)
-    mean = (pad[0][hi] - pad[0][lo]) / (hi - lo)
-    sd = np.sqrt(np.maximum(0, (pad[1][hi] - pad[1][lo]) / (hi - lo) - mean**2))
-    cuts = np.flatnonzero((d > mean + DEVIATIONS * sd) & (d > FLOOR)) + 1
+    cuts = np.flatnonzero((d > FLOOR) & ((d > _usual(d)) | (d > HARD))) + 1
     edges = [0, *cuts.tolist(), n]
     return list(zip(edges[:-1], edges[1:], strict=True))
 

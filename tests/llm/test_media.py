@@ -221,3 +221,18 @@ def test_null_and_broken_media_have_a_row(spark, monkeypatch):
     got = {r.doc_id: r for r in media.digests(df).collect()}
     assert [got[i].feature == "unreadable" for i in range(len(rows))] == [True] * len(bad) + [False] * 2
     assert got[0].media_bytes is None and got[2].media_bytes == 4
+
+
+def test_short_and_fast_cut_clips():
+    a, b, c = (np.full(1024, v, np.uint8) for v in (20, 120, 220))
+    assert media.shots([a, b]) == [(0, 1), (1, 2)] and media.shots([a, a]) == [(0, 2)]
+    assert media.shots([a, b, c]) == [(0, 1), (1, 2), (2, 3)]
+    assert media.shots([a, a, a, b, b, b]) == [(0, 3), (3, 6)]
+    for length in (2, 3, 4):
+        frames = [x for k in range(9) for x in [(a, b, c)[k % 3]] * length]
+        assert media.shots(frames) == [(k * length, (k + 1) * length) for k in range(9)]
+    half = np.r_[a[:500], b[:524]]  # a cut that changes half of the picture
+    assert media.shots([a, a, half, half, a, a, half, half]) == [(0, 2), (2, 4), (4, 6), (6, 8)]
+    rng = np.random.default_rng(4)
+    moving = [np.clip(rng.normal(100 + 12 * np.sin(i), 25, 1024), 0, 255).astype(np.uint8) for i in range(40)]
+    assert media.shots(moving) == [(0, 40)]
