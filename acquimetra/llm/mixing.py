@@ -20,18 +20,20 @@ from pyspark.sql import functions as F
 from .shared import cut, fresh, table
 
 BUCKETS, SMOOTH, EVIDENCE = 1 << 16, 0.5, 8
-# Marks after which a word is only known by its end.
-MARKS = tuple(".,;:!?*#$%&|\"')]}>")
+# Marks that a word loses at both ends, and what separates words.
+MARKS = ".,;:!?*#$%&|\"'()[]{}<>"
+SPACES = "[\\s\\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
 
 
 def tokenized(docs: DataFrame) -> DataFrame:
     """(doc_id, key, place, bucket): the words of each row, at least one; bucket is null for an empty word, key a hash of id and text.
 
-    A word is its letters; one that ends with a mark is its last two characters, which tells marks and shouting apart and keeps the vocabulary small.
+    Words stand between white space of any kind and lose the marks at their ends; one of marks alone stays as it is.
     """
-    words = F.split(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" ")), " ")
+    words = F.split(F.coalesce("text", F.lit("")), SPACES)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("key"), F.posexplode(words).alias("place", "w"))
-    token = F.when(F.right("w", F.lit(1)).isin(*MARKS), F.right("w", F.lit(2))).otherwise(F.col("w"))
+    bare = F.btrim("w", F.lit(MARKS))
+    token = F.when(bare != "", bare).otherwise(F.col("w"))
     return rows.select("doc_id", "key", "place", F.when(F.col("w") != "", F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int")).alias("bucket"))
 
 

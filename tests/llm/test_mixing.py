@@ -97,3 +97,11 @@ def test_query_meets_targets(spark, sf_dir):
 def test_plan_has_no_python(spark, sf_dir):
     plan = QUERIES["op8_mixing"](spark, sf_dir)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_words_keep_their_identity_beside_marks_and_any_white_space(spark):
+    texts = ["idiot! saint! end.", "idiot saint end", "(idiot)\t'saint,'\r\nend?!", "\u00a0idiot\u3000saint\x0bend ", "!!! ..."]
+    rows = mixing.tokenized(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    of = [[r.bucket for r in sorted(rows, key=lambda r: r.place) if r.doc_id == i and r.bucket is not None] for i in range(len(texts))]
+    assert of[0] == of[1] == of[2] == of[3] and len(set(of[0])) == 3
+    assert len(set(of[4])) == 2 and not set(of[4]) & set(of[0])
