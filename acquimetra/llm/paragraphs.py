@@ -1,19 +1,23 @@
-"""Substring dedup: MinHash banding of passages, exact Jaccard checks, components.
-
-A text is read as passages of ``UNIT`` words. They start where sentences start (a capital or the end of a sentence before), thinned
-by winnowing: of any ``GAP`` words the start with the least hash is taken, so two texts that share ``UNIT + GAP`` words with a sentence
-start in the first ``GAP`` share a passage wherever it stands. Texts of fewer than ``GAP`` words have one passage, of at most ``UNIT`` words. Equal passages collapse before
-anything else; different ones meet where a band of ``ROWS`` minima out of ``BANDS`` is equal: a Jaccard similarity of 0.8 is
-found with probability 1 - (1 - 0.8^2)^3 = 0.95 by each passage. In a band's bucket, members of different
-components are compared by the Jaccard similarity of their five-word shingles (32-bit hashes); only tree edges leave the task.
-
-Equal passages are also read at starts of any kind, of which winnowing takes one in any ``DENSE``: texts that share
-``UNIT + DENSE - 1`` = 24 words share one of them, with or without sentences. That settles near copies of 50 words or more too: of
-m = words - 4 distinct shingles at most m / 9 change at a Jaccard similarity of 0.8, a changed word inside costs five of them and an added or
-missing one four, so the longest run left equal has 24 words or more. These passages meet by their content hash alone and carry no shingles.
-
-Defined results: null, empty and shorter texts than five words have no passages; a null doc_id takes no part; equal rows count once; extra columns are ignored; passages that
-repeat only inside one document are not reported.
+"""Substring dedup: MinHash banding of paragraphs, exact Jaccard checks, removals clustered by components.
+
+A text is read as words; a run of more than ``RUN`` bytes without white space is cut by its content, so scripts without spaces have words too.
+Two kinds of units are read from whole texts:
+
+Paragraphs are lines of at least ``LEAST`` words (of a text with fewer words, the whole text). Equal ones collapse; different ones meet where
+a band of ``ROWS`` minima out of ``BANDS`` is equal: at a Jaccard similarity of 0.8 (distinct five-word shingles) a pair is found with
+probability 1 - (1 - 0.8^3)^10 = 0.999. In a band's bucket, members of different components are compared by exact Jaccard (of 32-bit
+shingle hashes, so exact up to their collisions); only tree edges leave the task. A crowded bucket is dealt out in pairs of salted blocks, which together hold all its pairs.
+
+Windows of ``UNIT`` words start wherever in a text; winnowing takes one start in any ``GAP``, chosen by the words at it. Texts that share
+``UNIT + GAP - 1`` = 24 words in a row share a window wherever it stands, with or without sentences or lines. Windows that other documents hold as well are merged
+into spans; unequal words between two of them do not end a span while they are fewer than ``BRIDGE``: one changed word in a run of 50 leaves 24 equal ones at least on one
+side and 16 or more in windows on both. A span counts when its windows reach over ``LEAST`` words but for the ``2 * (GAP - 1)`` that winnowing may leave at its
+ends, or over all of a shorter text but for as many.
+
+Documents are then linked to the least document that holds a window or paragraph of a span, and the components of these links are the classes.
+
+Defined results: null and empty texts and those of fewer than five words have no passages; a null doc_id takes no part; equal rows count once; extra columns are ignored; passages that
+repeat only inside one document are not reported; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,16 +27,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .shared import components, cut, drop, table
 
-SHINGLE, UNIT, GAP, DENSE, BANDS, ROWS = 5, 20, 30, 5, 3, 2
+SHINGLE, UNIT, GAP, LEAST, BANDS, ROWS, RUN = 5, 16, 9, 50, 10, 3, 32
+BRIDGE, CROWDED, BLOCKS = 19, 2048, 64
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xD6E8FEB86659FD93)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
-_END = np.isin(np.arange(256), [33, 46, 63])
+_PLACE = np.uint64((1 << 24) - 1)
+SCHEMA = "doc_id long, word int, start int, stop int, content long, need int, bands array<long>, sh binary"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -41,214 +47,267 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _powers(n: int, base: np.uint64) -> np.ndarray:
-    return np.cumprod(np.r_[np.uint64(1), np.full(n, base)], dtype=np.uint64)
+_SEEDS = _mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_POWERS: dict[int, np.ndarray] = {}
 
 
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+def _powers(n: int, base: np.uint64) -> np.ndarray:
+    """The first ``n`` powers of ``base``, kept for the next call."""
+    have = _POWERS.get(int(base))
+    if have is None or len(have) < n:
+        have = _POWERS[int(base)] = np.cumprod(np.r_[np.uint64(1), np.full(max(n, 1 << 21), base)], dtype=np.uint64)
+    return have[:n]
 
 
-def _sliding(v: np.ndarray, width: int, least: bool) -> np.ndarray:
-    """Least (or greatest) of ``width`` values from each place on; places near the end see fewer."""
-    f, out, have = np.minimum if least else np.maximum, v.copy(), 1
+def words_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and end byte of every word in ``data``, which ends with white space."""
+    space = (data == 32) | ((data >= 9) & (data <= 13))
+    edge = np.diff(space.view(np.int8), prepend=1)
+    s, e = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    long = np.flatnonzero(e - s > RUN)
+    if not len(long):
+        return s, e
+    size = (e - s)[long]
+    at = np.repeat(s[long] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())  # the bytes of long runs
+    at = at[(at - np.repeat(s[long], size) >= 3) & (at + 1 < np.repeat(e[long], size))]
+    four = data[at].astype(np.uint32) | data[at - 1].astype(np.uint32) << 8 | data[at - 2].astype(np.uint32) << 16 | data[at - 3].astype(np.uint32) << 24
+    here = at[((four * np.uint32(0x9E3779B1)) >> 29 == 0) & ((data[at + 1] & 0xC0) != 0x80)] + 1
+    return np.sort(np.r_[s, here]), np.sort(np.r_[e, here])
+
+
+def _sliding_least(v: np.ndarray, width: int) -> np.ndarray:
+    """Least of ``width`` values from each place on; places near the end see fewer."""
+    out, have = v.copy(), 1
     while have < width:
         step = min(have, width - have)
-        out[:-step] = f(out[:-step], out[step:])
+        out[:-step] = np.minimum(out[:-step], out[step:])
         have += step
     return out
 
 
-def passages(texts: list[bytes], dense: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of every passage: its text's index, first and end code point, content hash, and row of 32-bit shingle hashes (padded by repetition).
+def winnowed(shingle: np.ndarray, local: np.ndarray, valid: np.ndarray) -> np.ndarray:
+    """Of the starts ``valid`` (where a window of ``GAP`` starts begins), the places of the least shingles; equal ones by their local place."""
+    if not len(valid):
+        return valid
+    here = np.arange(len(shingle), dtype=np.uint64)
+    key = shingle >> np.uint64(28) << np.uint64(28) | (local % GAP).astype(np.uint64) << np.uint64(24) | here & _PLACE
+    low = _sliding_least(key, GAP)[valid] & _PLACE
+    picked = (valid & ~int(_PLACE)) | low.astype(np.int64)
+    picked += np.where(picked < valid, int(_PLACE) + 1, 0)
+    return np.unique(picked)
 
-    dense: also those that start at any word; the shingle hashes are left out then.
-    """
+
+def units(texts: list[bytes]) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """Windows (text, word, start, stop, content, need) and paragraphs (text, start, stop, content, bands, sh as offsets and values) of all texts."""
     data = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
-    none = np.zeros(0, np.int64)
-    width = UNIT - SHINGLE + 1
-    if not len(data):
-        return none, none, none, none.astype(np.uint64), np.zeros((0, width), np.uint32)
-    ends_of = np.cumsum([len(t) + 1 for t in texts])
-    space = _SPACE[data]
-    edge = np.diff(space.astype(np.int8), prepend=1)
-    s, e = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    e = np.r_[e, len(data)] if len(e) < len(s) else e
+    none = {k: np.zeros(0, np.int64) for k in ("text", "word", "start", "stop", "content", "need", "bands", "offsets", "sh")}
+    s, e = words_of(data) if len(data) else (np.zeros(0, np.int64),) * 2
     if len(s) < SHINGLE:
-        return none, none, none, none.astype(np.uint64), np.zeros((0, width), np.uint32)
-    power = _powers(len(data), _BASE)
-    total = np.r_[np.uint64(0), np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * power[:-1], dtype=np.uint64)]
+        return none, none
+    ends_of = np.cumsum([len(t) + 1 for t in texts])
+    total = np.r_[np.uint64(0), np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * _powers(len(data), _BASE), dtype=np.uint64)]
     word = _mix((total[e] - total[s]) * _powers(len(data), _INVERSE)[s])
-    del power, total
+    points = np.r_[0, np.cumsum((data & 0xC0) != 0x80)]
     doc = np.searchsorted(ends_of, s, side="right")
-    first = np.searchsorted(doc, np.arange(len(texts)))  # first word of each text
+    first = np.searchsorted(doc, np.arange(len(texts)))
     n = np.diff(np.r_[first, len(s)])
-    lead, follow = data[s], data[np.minimum(s + 1, len(data) - 1)]
-    capital = ((lead >= 65) & (lead <= 90)) | ((lead == 0xC3) & (follow >= 0x80) & (follow <= 0x9E))
-    starts = capital | np.r_[True, _END[data[e[:-1] - 1]]]
-    starts[first[n > 0]] = True
+    zero = points[np.r_[0, ends_of[:-1]]]
+    local = np.arange(len(s)) - first[doc]
+    left = n[doc] - local
     m = len(s) - SHINGLE + 1
-    shingle = np.zeros(m, np.uint64)
+    shingle = np.zeros(len(s), np.uint64)
     for k in range(SHINGLE):
-        shingle = shingle * _BASE + word[k : k + m]
+        shingle[:m] = shingle[:m] * _BASE + word[k : k + m]
     shingle = _mix(shingle)
-    place = np.arange(len(s)) - first[doc]
-    left = n[doc] - place
-    big = np.uint64(0xFFFFFFFFFFFFFFFF)
-    key = np.full(len(s), big)
-    fit = starts & (left >= UNIT)
-    key[fit] = shingle[np.flatnonzero(fit)] >> np.uint64(1)
-    low = _sliding(key, GAP, True)
-    low[left < GAP] = 0
-    reach = _sliding(low[::-1], GAP, False)[::-1]
-    begun = _sliding(np.where(place == 0, 1, 0)[::-1].astype(np.uint8), GAP, False)[::-1]  # windows may not reach back over a text's start
-    at = np.flatnonzero(fit & (reach == key))
-    if begun.any():  # near a start, look only at windows of the text itself
-        edge_at = np.flatnonzero(fit & (place < GAP - 1))
-        keep = [p for p in edge_at.tolist() if low[p - place[p] : p + 1].max() == key[p]]
-        at = np.union1d(at[place[at] >= GAP - 1], np.array(keep, np.int64))
-    short = first[(n >= SHINGLE) & (n < UNIT)]
-    middle = first[(n >= UNIT) & (n < GAP)]  # too short for a window: one over all the starts that fit
-    middle = middle + key[middle[:, None] + np.arange(GAP - UNIT)].argmin(axis=1)
-    at = np.r_[at, middle, short].astype(np.int64)
-    if dense:
-        fit = left >= UNIT
-        key = np.full(len(s), big)
-        key[fit] = shingle[np.flatnonzero(fit)] >> np.uint64(1)
-        low = _sliding(key, DENSE, True)
-        low[(left < UNIT + DENSE - 1) & ((place > 0) | (n[doc] < UNIT))] = 0  # the tail of a text starts no window, so none reaches the next text
-        at = np.union1d(at, np.flatnonzero(fit & (_sliding(low[::-1], DENSE, False)[::-1] == key)))
-    length = np.minimum(left[at], UNIT)
-    within = np.minimum(np.arange(width)[None], (length - SHINGLE)[:, None])
-    rows = shingle[at[:, None] + within] if len(at) else np.zeros((0, width), np.uint64)
-    order = _powers(width, _BASE)[:width]
-    content = _mix((rows * order).sum(axis=1, dtype=np.uint64) + length.astype(np.uint64))
-    points = np.r_[0, np.cumsum((data & 0xC0) != 0x80)]
-    zero = points[np.r_[0, ends_of[:-1]]][doc[at]]
-    return doc[at], points[s[at]] - zero, points[e[at + length - 1]] - zero, content, np.zeros((len(at), 0), np.uint32) if dense else np.sort((rows >> np.uint64(32)).astype(np.uint32), axis=1)
-
 
-def with_passages(docs: DataFrame, shingles: bool, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, start, stop, content[, sh]) of all passages, or with their shingles those that start a sentence."""
+    at = winnowed(shingle, local, np.flatnonzero(left >= UNIT + GAP - 1))
+    small = first[(n >= SHINGLE) & (n < UNIT + GAP - 1)]
+    long, short = word[at[:, None] + np.arange(UNIT)] if len(at) else np.zeros((0, UNIT), np.uint64), []
+    content = [_mix((long * _powers(UNIT, _BASE)).sum(axis=1, dtype=np.uint64))]
+    for p in small.tolist():
+        w = word[p : p + n[doc[p]]]
+        short.append((w * _powers(len(w), _BASE)).sum(dtype=np.uint64) + np.uint64(len(w)))
+    content.append(_mix(np.array(short, np.uint64)))
+    every = np.r_[at, small].astype(np.int64)
+    length = np.r_[np.full(len(at), UNIT), n[doc[small]]].astype(np.int64)
+    t = doc[every]
+    edge = 2 * (GAP - 1)
+    need = np.where(n[t] < UNIT + GAP - 1, n[t], np.minimum(LEAST, n[t]) - edge)
+    windows = {"text": t, "word": local[every], "start": points[s[every]] - zero[t], "stop": points[e[every + length - 1]] - zero[t], "content": np.concatenate(content).view(np.int64), "need": need}
+
+    breaks = np.cumsum(data == 10)[s]
+    line = np.where(n[doc] >= LEAST, breaks, 0)
+    new = np.r_[True, (doc[1:] != doc[:-1]) | (line[1:] != line[:-1])]
+    begin = np.flatnonzero(new)
+    size = np.diff(np.r_[begin, len(s)])
+    fit = (size >= LEAST) | ((size >= SHINGLE) & (n[doc[begin]] < LEAST))
+    begin, size = begin[fit], size[fit]
+    if not len(begin):
+        return windows, none
+    count = size - SHINGLE + 1
+    which = np.repeat(np.arange(len(begin)), count)
+    places = np.repeat(begin - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
+    both = np.unique(which.astype(np.uint64) << np.uint64(32) | shingle[places] >> np.uint64(32))
+    sh = both & np.uint64(0xFFFFFFFF)
+    offsets = np.searchsorted(both, np.arange(len(begin), dtype=np.uint64) << np.uint64(32))
+    least = [np.minimum.reduceat((sh * seed) ^ (sh * seed) >> np.uint64(29), offsets) for seed in _SEEDS]
+    bands = np.empty((len(begin), BANDS), np.uint64)
+    for k in range(BANDS):
+        h = np.full(len(begin), k, np.uint64)
+        for r in range(ROWS):
+            h = _mix(h * _BASE + least[k * ROWS + r])
+        bands[:, k] = h
+    whole = _mix(np.add.reduceat(_mix(sh), offsets) + np.diff(np.r_[offsets, len(sh)]).astype(np.uint64))
+    t = doc[begin]
+    paragraphs = {"text": t, "start": points[s[begin]] - zero[t], "stop": points[e[begin + size - 1]] - zero[t], "content": whole.view(np.int64), "bands": bands.view(np.int64), "offsets": np.r_[offsets, len(sh)], "sh": sh.astype(np.uint32)}
+    return windows, paragraphs
+
+
+def read(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The windows (``sh`` is null) and paragraphs of all texts, as ``SCHEMA`` says."""
+    arrow = pa.schema([("doc_id", pa.int64()), *[(k, pa.int32()) for k in ("word", "start", "stop")], ("content", pa.int64()), ("need", pa.int32()), ("bands", pa.list_(pa.int64())), ("sh", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             i = 0
             while i < b.num_rows:
                 texts, size, j = [], 0, i
-                while j < b.num_rows and (size < 4_000_000 or j == i):
+                while j < b.num_rows and (size < 1_000_000 or j == i):
                     texts.append(b.column(1)[j].as_py() or b"")
                     size += len(texts[-1])
                     j += 1
-                doc, start, stop, content, sh = passages(texts, not shingles)
-                cols = [pa.array(b.column(0).slice(i, j - i).to_numpy(zero_copy_only=False)[doc].astype(np.int64)), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32)), pa.array(content.view(np.int64))]
-                names = ["doc_id", "start", "stop", "content"]
-                if shingles:
-                    flat = np.ascontiguousarray(sh)
-                    cols.append(pa.Array.from_buffers(pa.binary(flat.shape[1] * 4), len(flat), [None, pa.py_buffer(flat.tobytes())]).cast(pa.binary()))
-                    names.append("sh")
-                yield pa.RecordBatch.from_arrays(cols, names=names)
+                w, p = units(texts)
+                ids = b.column(0).slice(i, j - i).to_numpy(zero_copy_only=False).astype(np.int64)
+                ints = lambda x: pa.array(x.astype(np.int32))
+                nulls = lambda n, t: pa.nulls(n, t)
+                k = len(w["text"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[w["text"]]), ints(w["word"]), ints(w["start"]), ints(w["stop"]), pa.array(w["content"]), ints(w["need"]), nulls(k, pa.list_(pa.int64())), nulls(k, pa.binary())], schema=arrow)
+                k = len(p["text"])
+                if k:
+                    bands = pa.ListArray.from_arrays(pa.array(np.arange(0, k * BANDS + 1, BANDS, dtype=np.int32)), pa.array(p["bands"].ravel()))
+                    sh = pa.Array.from_buffers(pa.binary(), k, [None, pa.py_buffer((p["offsets"] * 4).astype(np.int32).tobytes()), pa.py_buffer(p["sh"].tobytes())])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[p["text"]]), nulls(k, pa.int32()), ints(p["start"]), ints(p["stop"]), pa.array(p["content"]), nulls(k, pa.int32()), bands, sh], schema=arrow)
                 i = j
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t")).where("doc_id is not null and t is not null")
-    return rows.mapInArrow(run, "doc_id long, start int, stop int, content long" + ", sh binary" * shingles)
-
-
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(content, low, sh) to (band, content, low), a row for each band."""
-    seeds = _mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
-    for b in batches:
-        for i in range(0, b.num_rows, 20_000):
-            part = b.slice(i, 20_000)
-            if not part.num_rows:
-                continue
-            sh = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint32).reshape(part.num_rows, -1).astype(np.uint64)
-            least = [_mix(sh ^ s).min(axis=1) for s in seeds]
-            for k in range(BANDS):
-                h = np.full(part.num_rows, k, np.uint64)
-                for r in range(ROWS):
-                    h = _mix(h * _BASE + least[k * ROWS + r])
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), part.column(0), part.column(1)], names=["band", "content", "low"])
-
-
-def bucket_links(ids: np.ndarray, sh: np.ndarray, similarity: float) -> list[tuple[int, int]]:
-    """Tree edges between members (rows of sorted shingle hashes) at that Jaccard similarity or more; each pair of different components is compared."""
-    root, out = np.arange(len(ids)), []
-    new = np.ones(sh.shape, bool)
-    new[:, 1:] = sh[:, 1:] != sh[:, :-1]
-    size = new.sum(axis=1)
-    for i in range(len(ids) - 1):
-        rest = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1
-        if not len(rest):
-            continue
-        both = (np.isin(sh[rest], sh[i]) & new[rest]).sum(axis=1)
-        for j in rest[both >= similarity * (size[i] + size[rest] - both)].tolist():
+    return rows.mapInArrow(run, SCHEMA)
+
+
+def bucket_links(ids: list[int], sets: list[np.ndarray], side: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Tree edges between members (sorted distinct shingle hashes) of that Jaccard similarity or more. Every pair of different components is compared,
+    but for pairs within one of two ``side``s where both are present, which another task compares."""
+    n = len(ids)
+    sizes = np.array([len(x) for x in sets])
+    root, out = np.arange(n), []
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(n), sizes)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    mixed = side.min() != side.max()
+    for i in range(n - 1):
+        a = sets[i]
+        lo, hi = np.searchsorted(flat, a, "left"), np.searchsorted(flat, a, "right")
+        reps = hi - lo
+        met = owner[np.repeat(lo - np.r_[0, np.cumsum(reps)[:-1]], reps) + np.arange(reps.sum())]
+        both = np.bincount(met, minlength=n)
+        ok = (both >= similarity * (sizes + sizes[i] - both)) & (np.arange(n) > i)
+        if mixed:
+            ok &= side != side[i]
+        for j in np.flatnonzero(ok & (root != root[i])).tolist():
             if root[j] != root[i]:
-                out.append((int(ids[i]), int(ids[j])))
+                out.append((ids[i], ids[j]))
                 root[root == root[j]] = root[i]
+        if (root == root[0]).all():
+            break
     return out
 
 
 def _verify(similarity: float):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (band, content, sh, low), a band's together, to links."""
-        band, members, out = None, [], []
-
-        def solve() -> None:
-            if len(members) > 1:
-                out.extend(bucket_links(np.array([m[0] for m in members]), np.frombuffer(b"".join([m[1] for m in members]), np.uint32).reshape(len(members), -1), similarity))
-
-        def flush() -> pa.RecordBatch:
-            a, b = [x for x, _ in out], [y for _, y in out]
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-        for batch in batches:
-            for k, c, s, _ in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if k != band:
-                    solve()
-                    band, members = k, []
-                members.append((c, s))
-            if out:
-                yield flush()
-        solve()
-        yield flush()
+        """Rows (band, x, y, side, content, sh), those of a band and block pair together, to links."""
+        at, ids, sets, side = None, [], [], []
+
+        def solve() -> list[tuple[int, int]]:
+            return bucket_links(ids, sets, np.array(side), similarity) if len(ids) > 1 else []
+
+        def batch(out: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
+
+        for b in batches:
+            for k, x, y, z, c, s in zip(*(v.to_pylist() for v in b.columns), strict=True):
+                if (k, x, y) != at:
+                    if found := solve():
+                        yield batch(found)
+                    at, ids, sets, side = (k, x, y), [], [], []
+                ids.append(c)
+                sets.append(np.frombuffer(s, np.uint32))
+                side.append(z)
+        yield batch(solve())
 
     return run
 
 
+def near_paragraphs(paragraphs: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """Links (a, b) between contents of different paragraphs; paragraphs: (doc_id, content, bands, sh)."""
+    distinct = paragraphs.groupBy("content").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.any_value("bands").alias("bands"))
+    rows = distinct.select("content", "low", "high", F.explode("bands").alias("band"))
+    # Buckets of one document alone hold its own lines only.
+    full = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).where("n > 1 and low < high")
+    blocks = F.least(F.lit(BLOCKS), F.ceil(F.col("n") / CROWDED)).cast("int")
+    met = rows.select("band", "content").join(full.select("band", blocks.alias("blocks")), "band")
+    # Each block meets every other; a member stands on the side of its own block.
+    own = F.pmod(F.xxhash64("content"), F.col("blocks")).cast("int")
+    dealt = met.withColumn("own", own).select("band", "content", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("band", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "content")
+    sets = paragraphs.select("content", "sh").join(met.select("content").distinct(), "content", "left_semi").groupBy("content").agg(F.any_value("sh").alias("sh"))
+    checked = dealt.join(sets, "content").select("band", "x", "y", "side", "content", "sh").repartition("band", "x", "y").sortWithinPartitions("band", "x", "y", "content")
+    return checked.mapInArrow(_verify(similarity), "a long, b long").distinct()
+
+
+def _merged(spots: DataFrame, place: str, end: F.Column, bridge: int) -> DataFrame:
+    """Numbers (``g``) the runs of each document's spots; a spot goes on with the run if it starts less than ``bridge`` after what went before."""
+    reach = F.max(end).over(_by(place).rowsBetween(W.unboundedPreceding, -1))
+    return spots.withColumn("_new", F.when(F.col(place) < reach + bridge, 0).otherwise(1)).withColumn("g", F.sum("_new").over(_by(place).rowsBetween(W.unboundedPreceding, 0))).drop("_new")
+
+
+def _by(place: str):  # noqa: ANN202
+    return W.partitionBy("doc_id").orderBy(place, "stop")
+
+
 def repeated(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, class_id, passages, start, stop, removed): documents that share passages.
+    """(doc_id, class_id, passages, spans, removed): a row for each document with passages that other documents hold too.
 
-    class_id is the least doc_id that holds a passage of the class; a document has a row for each class_id, with the number of its passages and
-    the code points they span; all but that least document would lose them.
+    class_id is the least doc_id of the component; spans are code points with the least document that holds the span (or a part of it), its
+    owner; removed says whether a span of the document belongs to another owner, and would be taken out.
     """
     spark = docs.sparkSession
-    # Read twice below with the same columns and filter, so that Spark deals it out once.
-    distinct = with_passages(docs, True, id_col, text_col).where("content is not null").groupBy("content").agg(F.min("doc_id").alias("low"), F.any_value("sh").alias("sh"))
-    spots = with_passages(docs, False, id_col, text_col)
-    # Buckets of one document alone hold its overlapping passages only.
-    bands = distinct.select("content", "low", "sh").mapInArrow(_bands, "band long, content long, low long")
-    met = bands.selectExpr("band", "content", "min(low) over (partition by band) l", "max(low) over (partition by band) h").where("l < h").select("band", "content")
-    checked = met.join(distinct, "content").select("band", "content", "sh", "low").repartition("band").sortWithinPartitions("band", "content")
-    links = checked.mapInArrow(_verify(similarity), "a long, b long").distinct()
-    # One run writes the links, the contents of several documents (a = b), and whose the linked contents are.
-    held = spots.groupBy("content").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    whose = held.join(met.select("content", F.lit(True).alias("met")).distinct(), "content", "left").where("low < high or met")
-    whose = whose.select(F.col("content").alias("a"), F.col("content").alias("b"), "low", "high")
-    found, path = cut(links.select("a", "b", F.lit(None).cast("long").alias("low"), F.lit(None).cast("long").alias("high")).union(whose), "passages")
-    near, _ = components(found.where("low is null").select("a", "b"))
-    named = found.where("low is not null").select(F.col("a").alias("content"), "low", "high").join(near.withColumnRenamed("id", "content"), "content", "left")
-    named = named.select("content", "low", "high", F.coalesce("component", "content").alias("component"))
-    classes = named.groupBy("component").agg(F.min("low").alias("class_id"), F.max("high").alias("last")).where("class_id < last")
-    of, _ = cut(named.join(classes, "component").select("content", "class_id"), "passage-classes")
-    drop(spark, path)
-    return spots.join(of, "content").groupBy("doc_id", "class_id").agg(
-        F.count_distinct("start").alias("passages"), F.min("start").cast("long").alias("start"), F.max("stop").cast("long").alias("stop")
-    ).withColumn("removed", F.col("doc_id") != F.col("class_id"))
+    found, path = cut(read(docs, id_col, text_col), "passages")
+    windows, paragraphs = found.where("sh is null"), found.where("sh is not null")
+    held = windows.groupBy("content").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("high")).where("owner < high").select("content", "owner")
+    spots = windows.select("doc_id", "word", "start", "stop", "need", "content").join(held, "content").drop("content")
+    runs = _merged(spots, "word", F.col("word") + UNIT, BRIDGE).groupBy("doc_id", "g").agg(
+        F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("owner").alias("owner"), F.max("need").alias("need"), (F.max("word") + UNIT - F.min("word")).alias("words")
+    )
+    runs = runs.where("words >= need").select("doc_id", "start", "stop", "owner")
+    links, near_path = cut(near_paragraphs(paragraphs, similarity), "paragraph-links")
+    near, near_components = components(links)
+    of = paragraphs.groupBy("content").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).join(near.withColumnRenamed("id", "content"), "content", "left")
+    of = of.withColumn("component", F.coalesce("component", "content"))
+    least = of.groupBy("component").agg(F.min("low").alias("owner"), F.max("high").alias("last")).where("owner < last").select("component", "owner")
+    lines = paragraphs.select("doc_id", "start", "stop", "content").join(of.join(least, "component").select("content", "owner"), "content").select("doc_id", "start", "stop", "owner")
+    spans, spans_path = cut(_merged(runs.union(lines), "start", F.col("stop"), 0).groupBy("doc_id", "g").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("owner").alias("owner"), F.collect_set("owner").alias("owners")), "spans")
+    classes, _ = components(spans.select(F.col("doc_id").alias("a"), F.explode("owners").alias("b")))
+    drop(spark, path, near_path, near_components)
+    span = F.struct(F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), "owner")
+    each = spans.groupBy("doc_id").agg(F.count(F.lit(1)).alias("passages"), F.array_sort(F.collect_list(span)).alias("spans"))
+    out = each.join(classes.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    return out.select("doc_id", F.coalesce("component", "doc_id").alias("class_id"), "passages", "spans", F.exists("spans", lambda x: x["owner"] != F.col("doc_id")).alias("removed"))
 
 
 def op1_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated(table(spark, sf_dir, "documents"))
+    """Spans are returned as text, ``start:stop:owner`` joined by commas."""
+    listed = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["start"], x["stop"], x["owner"])), ",")
+    return repeated(table(spark, sf_dir, "documents")).withColumn("spans", listed)
 
 
 QUERIES = {"op1_paragraphs": op1_paragraphs}
