@@ -5,7 +5,7 @@ Two kinds of units are read from whole texts:
 
 Paragraphs are lines of at least ``LEAST`` words (of a text with fewer words, the whole text). Equal ones collapse; different ones meet where
 a band of ``ROWS`` minima out of ``BANDS`` is equal: at a Jaccard similarity of 0.8 (distinct five-word shingles) a pair is found with
-probability 1 - (1 - 0.8^3)^10 = 0.999. In a band's bucket, members of different components are compared by exact Jaccard (of 32-bit
+probability 1 - (1 - 0.8^3)^7 = 0.993. In a band's bucket, members of different components are compared by exact Jaccard (of 32-bit
 shingle hashes, so exact up to their collisions); only tree edges leave the task. A crowded bucket is dealt out in pairs of salted blocks, which together hold all its pairs.
 
 Windows of ``UNIT`` words start wherever in a text; winnowing takes one start in any ``GAP``, chosen by the words at it. Texts that share
@@ -14,7 +14,7 @@ into spans; unequal words between two of them do not end a span while they are f
 side and 16 or more in windows on both. A span counts when its windows reach over ``LEAST`` words but for the ``2 * (GAP - 1)`` that winnowing may leave at its
 ends, or over all of a shorter text but for as many.
 
-Documents are then linked to the least document that holds a window or paragraph of a span, and the components of these links are the classes.
+Documents are then linked to the least document that holds a window or paragraph of a span (or a near copy of the paragraph), and the components of these links are the classes.
 
 Defined results: null and empty texts and those of fewer than five words have no passages; a null doc_id takes no part; equal rows count once; extra columns are ignored; passages that
 repeat only inside one document are not reported; an empty table gives an empty result.
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .shared import components, cut, drop, table
 
-SHINGLE, UNIT, GAP, LEAST, BANDS, ROWS, RUN = 5, 16, 9, 50, 10, 3, 32
+SHINGLE, UNIT, GAP, LEAST, BANDS, ROWS, RUN = 5, 16, 9, 50, 7, 3, 32
 BRIDGE, CROWDED, BLOCKS = 19, 2048, 64
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xD6E8FEB86659FD93)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -249,10 +249,8 @@ def _verify(similarity: float):  # noqa: ANN202
 
 def near_paragraphs(paragraphs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """Links (a, b) between contents of different paragraphs; paragraphs: (doc_id, content, bands, sh)."""
-    distinct = paragraphs.groupBy("content").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.any_value("bands").alias("bands"))
-    rows = distinct.select("content", "low", "high", F.explode("bands").alias("band"))
-    # Buckets of one document alone hold its own lines only.
-    full = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).where("n > 1 and low < high")
+    rows = paragraphs.groupBy("content").agg(F.any_value("bands").alias("bands")).select("content", F.explode("bands").alias("band"))
+    full = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     blocks = F.least(F.lit(BLOCKS), F.ceil(F.col("n") / CROWDED)).cast("int")
     met = rows.select("band", "content").join(full.select("band", blocks.alias("blocks")), "band")
     # Each block meets every other; a member stands on the side of its own block.
@@ -284,20 +282,26 @@ def repeated(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", t
     found, path = cut(read(docs, id_col, text_col), "passages")
     windows, paragraphs = found.where("sh is null"), found.where("sh is not null")
     held = windows.groupBy("content").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("high")).where("owner < high").select("content", "owner")
-    spots = windows.select("doc_id", "word", "start", "stop", "need", "content").join(held, "content").drop("content")
+    # Two numbers in one column each, for the shuffle's sake.
+    packed = windows.select("doc_id", "content", (F.col("word") * F.lit(64).cast("long") + F.col("need")).alias("word"), (F.shiftleft(F.col("start").cast("long"), 32) + F.col("stop")).alias("place"))
+    spots = packed.join(held, "content").select(
+        "doc_id", F.shiftright("word", 6).alias("word"), F.shiftright("place", 32).alias("start"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("stop"), F.col("word").bitwiseAND(F.lit(63)).alias("need"), "owner"
+    )
     runs = _merged(spots, "word", F.col("word") + UNIT, BRIDGE).groupBy("doc_id", "g").agg(
         F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("owner").alias("owner"), F.max("need").alias("need"), (F.max("word") + UNIT - F.min("word")).alias("words")
     )
     runs = runs.where("words >= need").select("doc_id", "start", "stop", "owner")
     links, near_path = cut(near_paragraphs(paragraphs, similarity), "paragraph-links")
-    near, near_components = components(links)
-    of = paragraphs.groupBy("content").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).join(near.withColumnRenamed("id", "content"), "content", "left")
-    of = of.withColumn("component", F.coalesce("component", "content"))
-    least = of.groupBy("component").agg(F.min("low").alias("owner"), F.max("high").alias("last")).where("owner < last").select("component", "owner")
-    lines = paragraphs.select("doc_id", "start", "stop", "content").join(of.join(least, "component").select("content", "owner"), "content").select("doc_id", "start", "stop", "owner")
+    of = paragraphs.groupBy("content").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    ends = links.select(F.col("a").alias("content"), F.col("b").alias("other")).union(links.select("b", "a"))
+    met = ends.join(of.select(F.col("content").alias("other"), F.col("low").alias("their_low"), F.col("high").alias("their_high")), "other")
+    kin = met.groupBy("content").agg(F.min("their_low").alias("their_low"), F.max("their_high").alias("their_high"))
+    owned = of.join(kin, "content", "left").select("content", F.least("low", "their_low").alias("owner"), F.greatest("high", "their_high").alias("last")).where("owner < last")
+    lines = paragraphs.select("doc_id", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), "content").join(owned.select("content", "owner"), "content").drop("content")
     spans, spans_path = cut(_merged(runs.union(lines), "start", F.col("stop"), 0).groupBy("doc_id", "g").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("owner").alias("owner"), F.collect_set("owner").alias("owners")), "spans")
-    classes, _ = components(spans.select(F.col("doc_id").alias("a"), F.explode("owners").alias("b")))
-    drop(spark, path, near_path, near_components)
+    near = met.join(of.select("content", "low"), "content").select(F.col("low").alias("a"), F.col("their_low").alias("b"))
+    classes, _ = components(spans.select(F.col("doc_id").alias("a"), F.explode("owners").alias("b")).union(near))
+    drop(spark, path, near_path)
     span = F.struct(F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), "owner")
     each = spans.groupBy("doc_id").agg(F.count(F.lit(1)).alias("passages"), F.array_sort(F.collect_list(span)).alias("spans"))
     out = each.join(classes.withColumnRenamed("id", "doc_id"), "doc_id", "left")

@@ -14,9 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a temporary one only where that is unset (tests)."""
+    """The folder that ``spark.checkpoint.dir`` names; a temporary one only where that is unset and driver and executors are one machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="acquimetra-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -69,10 +71,11 @@ def components(links: DataFrame, max_rounds: int = 60) -> tuple[DataFrame, str]:
         after = moved.select(F.col("u").alias("v"), F.col("m").alias("u")).where("v <> u").union(low.select("v", F.col("m").alias("u"))).distinct()
         new, new_path = cut(after, "links")
         # Done when every node hangs on one root and no root hangs on another.
-        state = new.groupBy("v").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count() or new.select("u").distinct().join(new.select(F.col("v").alias("u")), "u", "left_semi").limit(1).count()
+        ends = new.select(F.col("v").alias("x"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).union(new.select("u", F.lit(0), F.lit(1)))
+        unsettled = ends.groupBy("x").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds")).where("hangs + holds > 1 and hangs > 0").limit(1).count()
         drop(spark, path)
         edges, path = new, new_path
-        if not state:
+        if not unsettled:
             break
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
