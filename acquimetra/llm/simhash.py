@@ -4,10 +4,11 @@ Fingerprints are collapsed first, so copies never meet each other. Two fingerpri
 on at least two of six blocks of the word (pigeonhole), so the upper nodes of the index are the fifteen masked
 patterns (mask, bits under the mask): Spark deals fingerprints to these nodes, and only nodes with at least two
 members go on. Crowded nodes are refined by five masks over their free bits, of which one must agree, which is exact as
-well. Inside a node the members are sorted by Gray rank; runs of eight become leaves, eight nodes become one above, and each
-keeps the bits that all its members share. Pairs of nodes are descended from the root: differences in shared bits
-accumulate from level to level, a pair beyond 4 is pruned with all its members, and a pair whose free bits are
-at most 4 is linked as a whole. Only links to a node's local root leave a task, so the output is linear.
+well. The nodes of a task form one tree below: members are sorted by node and Gray rank, runs of eight become leaves, eight nodes become one above, and each
+keeps the bits that all its members share and the range of upper nodes it covers. Pairs of tree nodes are descended from the root: pairs of different upper nodes
+are pruned, differences in shared bits accumulate from level to level, a pair beyond 4 is pruned with all its members, and a pair whose free bits are
+at most 4 is linked as a whole. Only links to a node's local root leave a task, so the output is linear. A node has to fit in a task: with distinct
+fingerprints, two masks of about 21 and 9 bits leave one in 2^30 of them.
 
 Defined results: null, empty and blank texts have fingerprint zero and link like any other; a null doc_id gets a fingerprint and
 no component; repeated rows are returned each; an empty table gives an empty result; extra columns are ignored.
@@ -25,9 +26,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import components, cut, table
+from .shared import components, cut, drop, table
 
-CROWDED, LEAF, LONG = 2048, 48, 4
+CROWDED, LONG, MASKS, MASK_BITS = 2048, 4, 60, 16
 
 
 def shingle_hashes(parts: list[bytes], words: int) -> np.ndarray:
@@ -55,34 +56,25 @@ def fingerprint(text: bytes | None, words: int) -> int:
     return majority(shingle_hashes(parts, words)) if parts else 0
 
 
-def long_fingerprint(text: bytes | None, words: int) -> list[int]:
-    """``LONG`` times 64 bits from the same shingles, each of hashes mixed anew."""
-    parts = (text or b"").lower().split()
-    if not parts:
-        return [0] * LONG
-    h = shingle_hashes(parts, words)
+def long_majority(h: np.ndarray) -> list[int]:
+    """``LONG`` times 64 bits from shingle hashes, each of hashes mixed anew; zeros without any."""
     out = []
     for _ in range(LONG):
         h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(32)
-        out.append(majority(h))
+        out.append(majority(h) if len(h) else 0)
     return out
 
 
-def with_fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text", long_words: int = 0) -> DataFrame:
-    """(doc_id, fp[, l0, l1, ...]): fp holds 64 bits as a signed long, l0 and on the long fingerprint of shingles of ``long_words`` words."""
-    names = ["doc_id", "fp", *[f"l{i}" for i in range(LONG if long_words else 0)]]
+def with_fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fp): fp holds 64 bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for x in b.column(1):
-                t = x.as_py()
-                rows.append([fingerprint(t, words), *(long_fingerprint(t, long_words) if long_words else [])])
-            cols = np.array(rows, np.uint64).reshape(len(rows), -1).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(np.ascontiguousarray(cols[:, i])) for i in range(len(names) - 1)]], names=names)
+            fp = np.array([fingerprint(x.as_py(), words) for x in b.column(1)], np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -106,30 +98,31 @@ def _unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             root[:] = up
 
 
-def gray_links(codes: np.ndarray, bits: int, more: np.ndarray | None = None, far: int = 0, fan: int = 8, step: int = 1 << 17) -> np.ndarray:
-    """For each code, the index of its component's first member (in Gray order) among ``codes``, as linked at ``bits`` or fewer differing bits.
+def gray_links(codes: np.ndarray, bits: int, group: np.ndarray | None = None, more: np.ndarray | None = None, far: int = 0, fan: int = 8, step: int = 1 << 16) -> np.ndarray:
+    """For each code, the index of its component's first member (in Gray order) among the ``codes`` of its group, as linked at ``bits`` or fewer differing bits.
 
     more: further bits of each code (a row of words), of which at most ``far`` may differ.
     """
-    order = np.argsort(gray_rank(codes), kind="stable")
-    x = codes[order]
+    group = np.zeros(len(codes), np.int64) if group is None else group
+    order = np.lexsort((gray_rank(codes), group))
+    x, g = codes[order], group[order]
     root = np.arange(len(x))
-    levels = [(x, np.full(len(x), ~np.uint64(0)))]  # pattern and mask of shared bits; members themselves at the bottom
+    levels = [(x, np.full(len(x), ~np.uint64(0)), g, g)]  # pattern and mask of shared bits, first and last group; members themselves at the bottom
     while len(levels[-1][0]) > 1:
-        low, mask = levels[-1]
+        low, mask, begin, end = levels[-1]
         at = np.arange(0, len(low), fan)
         every, some = np.bitwise_and.reduceat(low & mask, at), np.bitwise_or.reduceat(low | ~mask, at)
         shared = ~(every ^ some)
-        levels.append((every & shared, shared))
+        levels.append((every & shared, shared, begin[at], np.maximum.reduceat(end, at)))
     todo = [(len(levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
     while todo:
         k, i, j = todo.pop()
         if len(i) > step:
             todo += [(k, i[step:], j[step:])]
             i, j = i[:step], j[:step]
-        p, m = levels[k]
-        apart = np.bitwise_count((p[i] ^ p[j]) & m[i] & m[j])
-        i, j = i[apart <= bits], j[apart <= bits]
+        p, m, begin, end = levels[k]
+        ok = (begin[j] <= end[i]) & (np.bitwise_count((p[i] ^ p[j]) & m[i] & m[j]) <= bits)
+        i, j = i[ok], j[ok]
         if not k:
             if more is not None:
                 near = np.bitwise_count(more[order[i]] ^ more[order[j]]).sum(axis=1) <= far
@@ -137,13 +130,13 @@ def gray_links(codes: np.ndarray, bits: int, more: np.ndarray | None = None, far
             _unite(root, i, j)
             continue
         width = fan**k
-        first, other = i * width, j * width
         free = np.bitwise_count(~(m[i] & m[j]) | (p[i] ^ p[j]))
-        whole = (free <= bits) & (more is None)  # all members differ in these bits only
-        for at in (first[whole], other[whole]):
+        whole = (free <= bits) & (begin[i] == end[j]) & (more is None)  # all members differ in these bits only
+        first = i[whole] * width
+        for at in (first, j[whole] * width):
             for d in range(width):
                 ok = at + d < len(x)
-                _unite(root, first[whole][ok], at[ok] + d)
+                _unite(root, first[ok], at[ok] + d)
         i, j = i[~whole], j[~whole]
         a = (i[:, None, None] * fan + np.arange(fan)[None, :, None] + np.zeros((1, 1, fan), np.int64)).ravel()
         b = (j[:, None, None] * fan + np.arange(fan)[None, None, :] + np.zeros((1, fan, 1), np.int64)).ravel()
@@ -163,33 +156,16 @@ def gray_links(codes: np.ndarray, bits: int, more: np.ndarray | None = None, far
 def _node_links(bits: int, keys: int, far: int = 0) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows (``keys`` columns that name a node, fp, further bits, id), those of a node together, to links (a, b) between ids.
 
-    A node that runs over a batch's end waits for its rest.
+    A node that runs over a batch's end waits for its rest; all others of a batch go through one tree.
     """
 
     def solve(rows: np.ndarray) -> pa.RecordBatch:
         node, ids = rows[:, :keys], rows[:, -1]
         fp, more = np.ascontiguousarray(rows[:, keys]).view(np.uint64), np.ascontiguousarray(rows[:, keys + 1 : -1]).view(np.uint64)
-        cuts = np.flatnonzero(np.r_[True, (node[1:] != node[:-1]).any(axis=1)])
-        sizes = np.diff(np.r_[cuts, len(node)])
-        group, size = np.repeat(np.arange(len(cuts)), sizes), np.repeat(sizes, sizes)
-        a, b = [ids[:0]], [ids[:0]]
-        small = np.flatnonzero(size <= LEAF)
-        g, f, v, m = group[small], fp[small], ids[small], more[small]
-        for d in range(1, min(LEAF, len(g))):  # a single leaf: verify its members directly
-            same = np.flatnonzero(g[d:] == g[:-d])
-            if not len(same):
-                break
-            near = same[np.bitwise_count(f[same + d] ^ f[same]) <= bits]
-            if m.shape[1]:
-                near = near[np.bitwise_count(m[near + d] ^ m[near]).sum(axis=1) <= far]
-            a.append(v[near + d])
-            b.append(v[near])
-        for s, n in zip(cuts[sizes > LEAF].tolist(), sizes[sizes > LEAF].tolist(), strict=True):
-            root = gray_links(fp[s : s + n], bits, more[s : s + n] if more.shape[1] else None, far)
-            hung = np.flatnonzero(root != np.arange(n))
-            a.append(ids[s : s + n][hung])
-            b.append(ids[s : s + n][root[hung]])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+        group = np.cumsum(np.r_[False, (node[1:] != node[:-1]).any(axis=1)])
+        root = gray_links(fp, bits, group, more if more.shape[1] else None, far)
+        hung = np.flatnonzero(root != np.arange(len(root)))
+        return pa.RecordBatch.from_arrays([pa.array(ids[hung]), pa.array(ids[root[hung]])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] = []
@@ -222,27 +198,29 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def near_components(fps: DataFrame, bits: int = 4, blocks: int = 6, far: int = 0) -> tuple[DataFrame, str]:
-    """fps: distinct (fp, further bits, id). Returns (id, component) of every id with a link, and the written table's path.
+def _shared(nodes: DataFrame, *keys: str) -> DataFrame:
+    """Rows of nodes with two members or more, each node's rows together, with the count ``n``; counted before any node's rows meet."""
+    counts = nodes.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return nodes.join(counts, list(keys))
+
+
+def _together(nodes: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
+    return nodes.select(*keys, *cols).repartition(*keys).sortWithinPartitions(*keys)
+
+
+def near_components(fps: DataFrame, bits: int = 4, blocks: int = 6) -> tuple[DataFrame, str]:
+    """fps: distinct (fp, id). Returns (id, component) of every id with a link, and the written table's path.
 
     Of ``blocks`` blocks, ``blocks - bits`` agree at least, which makes the nodes exact; more blocks than ``bits + 2`` give more and smaller nodes.
     """
-    masks = _masks(list(range(64)), blocks, blocks - bits)
-    cols = [c for c in fps.columns if c != "id"] + ["id"]
-    nodes = fps.select(*cols, F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("m", "key")).select(F.col("m").cast("long").alias("m"), "key", *cols)
-    counted = nodes.selectExpr("*", "count(1) over (partition by m, key) n").where("n > 1")
-    usual = counted.where(F.col("n") <= CROWDED).select("m", "key", *cols).mapInArrow(_node_links(bits, 2, far), "a long, b long")
+    masks, cols = _masks(list(range(64)), blocks, blocks - bits), ["fp", "id"]
+    nodes = fps.select(*cols, F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("m", "key")).withColumn("m", F.col("m").cast("long"))
+    counted = _shared(nodes, "m", "key")
+    usual = _together(counted.where(F.col("n") <= CROWDED), ["m", "key"], cols).mapInArrow(_node_links(bits, 2), "a long, b long")
     finer = F.array(*[F.array(*[F.lit(_signed(x)) for x in _masks([b for b in range(64) if not m >> b & 1], bits + 1, 1)]) for m in masks])
-    crowded = (
-        counted.where(F.col("n") > CROWDED)
-        .select("m", "key", *cols, F.posexplode(finer[F.col("m").cast("int")]).alias("s", "under"))
-        .select("m", "key", F.col("s").cast("long").alias("s"), F.col("fp").bitwiseAND(F.col("under")).alias("rest"), *cols)
-        .selectExpr("*", "count(1) over (partition by m, key, s, rest) n")
-        .where("n > 1")
-        .drop("n")
-        .mapInArrow(_node_links(bits, 4, far), "a long, b long")
-    )
-    return components(usual.union(crowded))
+    crowded = counted.where(F.col("n") > CROWDED).select("m", "key", *cols, F.posexplode(finer[F.col("m").cast("int")]).alias("s", "under"))
+    crowded = crowded.select("m", "key", F.col("s").cast("long").alias("s"), F.col("fp").bitwiseAND(F.col("under")).alias("rest"), *cols)
+    return components(usual.union(_together(_shared(crowded, "m", "key", "s", "rest"), ["m", "key", "s", "rest"], cols).mapInArrow(_node_links(bits, 4), "a long, b long")))
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -256,23 +234,94 @@ def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, id_col: str
     )
 
 
+def patterns(count: int = MASKS, width: int = MASK_BITS, seed: int = 5) -> list[tuple[int, int]]:
+    """(word, mask) of each pattern over the long fingerprint: ``width`` bits of one word, the words in turn."""
+    rng = np.random.default_rng(seed)
+    return [(k % LONG, sum(1 << int(b) for b in rng.choice(64, width, replace=False))) for k in range(count)]
+
+
+def bits_apart(similarity: float, deviations: float) -> int:
+    """Bits of a long fingerprint that differ at a Jaccard similarity at most, but for a share of pairs beyond so many deviations: for sets of like size
+    the cosine is 2J / (1 + J), and each bit differs with the angle's share of a half turn."""
+    total, share = 64 * LONG, math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(total * share + deviations * math.sqrt(total * share * (1 - share)))
+
+
+def _verified(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The links (a, b) whose shingle sets (id, sh: sorted distinct 32-bit hashes) have that Jaccard similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = np.zeros(b.num_rows, bool)
+            for k, (x, y) in enumerate(zip(b.column(2), b.column(3), strict=True)):
+                u, v = np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)
+                both = len(np.intersect1d(u, v, assume_unique=True))
+                ok[k] = both >= similarity * (len(u) + len(v) - both)
+            yield pa.RecordBatch.from_arrays(b.columns[:2], names=["a", "b"]).filter(pa.array(ok))
+
+    one, two = sets.select(F.col("id").alias("a"), F.col("sh").alias("x")), sets.select(F.col("id").alias("b"), F.col("sh").alias("y"))
+    return links.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def with_shingles(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, l0, l1, ..., sh): the long fingerprint of each row and its distinct shingle hashes."""
+    names = ["doc_id", *[f"l{i}" for i in range(LONG)], "sh"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            longs, sets = [], []
+            for x in b.column(1):
+                parts = (x.as_py() or b"").lower().split()
+                h = shingle_hashes(parts, words) if parts else np.zeros(0, np.uint64)
+                longs.append(long_majority(h))
+                sets.append(np.unique((h >> np.uint64(32)).astype(np.uint32)).tobytes())
+            cols = np.array(longs, np.uint64).reshape(b.num_rows, LONG).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(np.ascontiguousarray(cols[:, i])) for i in range(LONG)], pa.array(sets, pa.binary())], names=names)
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, ", ".join(f"{n} long" for n in names[:-1]) + ", sh binary")
+
+
+def similar_links(fps: DataFrame, similarity: float) -> DataFrame:
+    """Candidate links (a, b) of distinct (l0, l1, ..., id) through the Gray index whose upper nodes are the masked bit patterns of ``patterns``.
+
+    At a similarity of 0.8 a bit differs with probability 0.15, so one pattern of 16 bits agrees with 0.074 and one of 60 at least with 0.95 (0.999 at a similarity of 0.87).
+    Below the node the tree runs on the first word, and all bits confirm.
+    """
+    cols = [f"l{i}" for i in range(LONG)]
+    nodes = fps.select(*cols, "id", F.posexplode(F.array(*[F.col(f"l{w}").bitwiseAND(F.lit(_signed(m))) for w, m in patterns()])).alias("m", "key"))
+    # The pattern's place goes into the key, for the shuffle's sake; two patterns of one key would only meet more often.
+    nodes = nodes.select(F.xxhash64("m", "key").alias("key"), *cols, "id")
+    first, every = bits_apart(similarity, 0) // LONG + 14, bits_apart(similarity, 2.5)
+    return _together(nodes, ["key"], [*cols, "id"]).mapInArrow(_node_words(first, every), "a long, b long").distinct()
+
+
+def _node_words(bits: int, far: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``_node_links`` for rows (key, l0, l1, ..., id): the tree's word is l0, and counts among the further bits too."""
+    inner = _node_links(bits, 1, far)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return inner(pa.RecordBatch.from_arrays([b.column(0), b.column(1), *b.columns[1:]], names=["key", "fp", *b.schema.names[1:]]) for b in batches)
+
+    return run
+
+
 def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Keeps one row of each group of documents whose shingles of ``words`` words are alike to ``similarity`` (Jaccard) or more.
 
-    At that similarity 64 bits of five-word shingles differ in about ten places, too many for an index. Fingerprints of two-word shingles
-    differ in about six, so pairs within eight are looked up by those, and confirmed by ``64 * LONG`` bits of the five-word shingles: for sets
-    of like size the cosine is 2J / (1 + J), and each bit differs with the angle's share of a half turn; the bound allows one standard deviation more.
-    The row whose id names the group stays; of rows with that same id one, and every row without an id.
+    Documents of equal long fingerprints collapse; candidates come from ``similar_links`` and are confirmed by the exact Jaccard similarity of their
+    shingle sets (32-bit hashes). The row whose id names the group stays; of rows with that id and equal texts one, and every row without an id.
     """
-    total = 64 * LONG
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    far = int(total * share + math.sqrt(total * share * (1 - share)))
     kept = docs.where(F.col(id_col).isNotNull())
-    fps, _ = cut(with_fingerprints(kept, 2, id_col, text_col, words), "fingerprints")
-    distinct = fps.groupBy(*fps.columns[1:]).agg(F.min("doc_id").alias("id"))
-    linked, _ = near_components(distinct, 8, 10, far)
-    named = distinct.join(linked, "id", "left").where("component is null or component = id").select(F.col("id").alias(id_col))
-    return kept.join(named, id_col, "left_semi").dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
+    fps, path = cut(with_shingles(kept, words, id_col, text_col), "fingerprints")
+    longs = [f"l{i}" for i in range(LONG)]
+    distinct, distinct_path = cut(fps.groupBy(*longs).agg(F.min("doc_id").alias("id")), "distinct")
+    links, links_path = cut(similar_links(distinct, similarity), "near-links")
+    ids = links.select(F.col("a").alias("id")).union(links.select("b")).distinct()
+    sets = fps.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi").groupBy("id").agg(F.min("sh").alias("sh"))
+    linked, _ = components(_verified(links, sets, similarity))
+    named, _ = cut(distinct.join(linked, "id", "left").where("component is null or component = id").select(F.col("id").alias(id_col)).distinct(), "kept")
+    drop(docs.sparkSession, path, distinct_path, links_path)
+    return kept.join(named, id_col, "left_semi").dropDuplicates([id_col, text_col]).unionByName(docs.where(F.col(id_col).isNull()))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

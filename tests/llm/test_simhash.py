@@ -138,3 +138,40 @@ def test_query(spark, sf_dir):
     fps = [slow_fingerprint(docs[i]) for i in ids]
     want = forest(len(ids), [(i, j) for i in range(len(ids)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4])
     assert {tuple(r) for r in got} == {(ids[k], f"{fps[k]:016x}", ids[want[k]]) for k in range(len(ids))}
+
+
+def test_near_copies_from_the_similarity_on_are_dropped(spark):
+    """Scattered changes and a block in one place, at a Jaccard similarity of 0.8 to 0.83: at least 93 of 100 are found; below 0.8 none is dropped."""
+    rng = random.Random(8)
+    rows, near, far = [], 0, 0
+    for g in range(240):
+        base = [f"n{rng.randrange(10**6)}" for _ in range(240)]
+        other, changes = list(base), 5 if g < 80 else 20 if g < 160 else 14 if g < 200 else 60
+        at = rng.sample(range(0, 235, 10), changes) if g < 80 or 160 <= g < 200 else range(100, 100 + changes)
+        for k in at:
+            other[k] = f"c{rng.randrange(10**6)}"
+        sets = [{tuple(x[k : k + 5]) for k in range(236)} for x in (base, other)]
+        j = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+        assert (0.8 <= j <= 0.9 if g < 160 else j < 0.7), j
+        near += j >= 0.8
+        far += j < 0.8
+        rows += [(2 * g, " ".join(base), "", "", ""), (2 * g + 1, " ".join(other), "", "", "")]
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, DOC)).collect()}
+    dropped = len(rows) - len(kept)
+    assert near == 160 and far == 80 and 0.93 * near <= dropped <= near
+    assert {2 * g + k for g in range(160, 240) for k in range(2)} <= kept
+
+
+def test_one_tree_keeps_nodes_apart():
+    rng = np.random.default_rng(9)
+    sizes = [1, 2, 7, 8, 9, 64, 65, 500, 3000]
+    codes = rng.integers(0, 1 << 20, sum(sizes), dtype=np.uint64) * np.uint64(1 << 40)
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    got = simhash.gray_links(codes, 4, group)
+    assert (group[got] == group).all()
+    for k, n in enumerate(sizes):
+        at = np.flatnonzero(group == k)
+        near = np.argwhere(np.triu(np.bitwise_count(codes[at][:, None] ^ codes[at][None]) <= 4, 1))
+        want = forest(n, near.tolist())
+        assert len(set(want)) == len(set(got[at].tolist()))
+        assert len({(w, r) for w, r in zip(want, got[at].tolist(), strict=True)}) == len(set(want))
