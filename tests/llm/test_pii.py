@@ -126,3 +126,24 @@ def test_plan_has_no_python(spark, sf_dir):
 
 def test_empty_table(spark):
     assert pii.with_spans(spark.createDataFrame([], "doc_id long, text string")).select(F.size("pii_spans")).count() == 0
+
+
+def test_many_spans_take_time_in_proportion(spark):
+    import time
+
+    times = []
+    for n in (4_000, 32_000):
+        text = "a1@b.co +49 30 1234567 " * (n // 2) + "end"
+        docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        began = time.time()
+        r = pii.redacted(pii.with_spans(docs)).first()
+        times.append(time.time() - began)
+        assert r.text == "<EMAIL> <PHONE> " * (n // 2) + "end" and len(r.pii_spans) == n
+        assert [s.start for s in r.pii_spans[: n // 2]] == list(range(0, 23 * (n // 2), 23))
+    assert times[1] < 20
+
+
+def test_context_lowers_a_score(spark):
+    rows = [(1, "bank DE89 3704 0044 0532 0130 00"), (2, "serial DE89 3704 0044 0532 0130 00"), (3, "version 10.2.3.4"), (4, "ip 10.2.3.4")]
+    got = {r.doc_id: [(s.kind, s.score) for s in r.pii_spans if s.kind != "card"] for r in pii.with_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: [("iban", 1.0)], 2: [], 3: [("ip", 0.3)], 4: [("ip", 0.9)]}
