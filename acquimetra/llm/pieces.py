@@ -97,7 +97,14 @@ class Encoder:
         self.rank = np.unique(-score, return_inverse=True)[1].astype(np.int64)  # equal scores, equal ranks
 
     def edges(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start, length and id of every occurrence of a piece, by start."""
+        """Start, length and id of every occurrence of a piece, by start; a text far beyond ``CHUNK`` in parts that overlap by the longest piece."""
+        if len(text) > 2 * CHUNK:
+            parts = []
+            for at in range(0, len(text), CHUNK):
+                start, length, ids = self.edges(text[at : at + CHUNK + self.v.longest])
+                own = start < CHUNK
+                parts.append((start[own] + at, length[own], ids[own]))
+            return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
         codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         depth = self.v.longest
         sa = suffixes(codes, depth)
@@ -123,17 +130,36 @@ class Encoder:
             text = "\0".join(part) + "\0"
             start, length, ids = self.edges(text)
             begin = np.r_[0, np.cumsum([len(w) + 1 for w in part])]
-            slow = np.arange(len(part))
-            if not self.v.unigram:
-                slow = self.merge_all(text, part, begin, start, length, ids)
-            cut = np.searchsorted(start, begin)
             relax = self.best_path if self.v.unigram else self.merged
+            first = self.safe(begin, start, length)
+            stop = np.r_[first[1:], len(text)]
+            stop -= np.isin(stop, begin[1:])  # what keeps words apart belongs to none
+            slow, found = np.arange(len(first)), {}
+            if not self.v.unigram:
+                slow = self.merge_all(text, first, stop, start, length, ids, found)
             for k in slow.tolist():
-                a, b = cut[k], cut[k + 1]
-                self.known[part[k]] = relax(part[k], (start[a:b] - begin[k]).tolist(), length[a:b].tolist(), ids[a:b].tolist())
-
-    def merge_all(self, text: str, words: list[str], begin: np.ndarray, start: np.ndarray, length: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """Merges in all words at once, one edge a word and round: the same rule as ``merged``. Returns the places of words that are left to that: long ones and those with bytes."""
+                a, b = np.searchsorted(start, (first[k], stop[k]))
+                found[k] = relax(text[first[k] : stop[k]], (start[a:b] - first[k]).tolist(), length[a:b].tolist(), ids[a:b].tolist())
+            ends = np.searchsorted(first, begin).tolist()
+            for w, a, b in zip(part, ends, ends[1:], strict=False):
+                self.known[w] = found[a] if b == a + 1 else tuple(chain.from_iterable(found[k] for k in range(a, b)))
+
+    def safe(self, begin: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Where words begin, and in words of more than ``LONG`` characters every place that no piece runs over: what stands on both sides is encoded on its own."""
+        long = np.flatnonzero(np.diff(begin) - 1 > LONG)
+        if not len(long):
+            return begin[:-1]
+        over = np.zeros(begin[-1] + 1, np.int64)
+        many = length > 1
+        np.add.at(over, start[many] + 1, 1)
+        np.add.at(over, start[many] + length[many], -1)
+        free = np.flatnonzero(np.cumsum(over)[:-1] == 0)
+        word = np.searchsorted(begin, free, side="right") - 1
+        inner = np.isin(word, long) & (free < begin[word + 1] - 1)
+        return np.union1d(begin[:-1], free[inner])
+
+    def merge_all(self, text: str, first: np.ndarray, stop: np.ndarray, start: np.ndarray, length: np.ndarray, ids: np.ndarray, found: dict[int, tuple[int, ...]]) -> np.ndarray:
+        """Merges in all stretches at once, one edge a stretch and round: the same rule as ``merged``. Returns the places of those that are left to that: long ones and those with bytes."""
         codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         n, width = len(codes), self.v.longest + 1
         at = np.searchsorted(self.chars, codes)
@@ -141,12 +167,11 @@ class Encoder:
         edge = np.full((n, width), -1, np.int32)
         edge[start, length] = ids
         none, shift = np.int64(1 << 62), np.int64(n).item().bit_length()
-        first, stop = begin[:-1], begin[1:] - 1
-        end_of = np.repeat(stop, np.diff(begin))  # of the word at each place
+        begin = np.r_[first, n]
+        end_of = np.repeat(stop, np.diff(begin))  # of the stretch at each place
         end, before = np.arange(1, n + 1), np.arange(-1, n - 1)
         before[first] = -1
-        inside = np.ones(n, bool)
-        inside[stop] = False
+        inside = np.arange(n) < end_of
 
         def key(s: np.ndarray, e: np.ndarray) -> np.ndarray:
             """What a merge to [s, e) is worth, least first: its rank, then its place."""
@@ -177,7 +202,7 @@ class Encoder:
         shown = np.flatnonzero(inside)
         got, cuts = name[shown].tolist(), np.searchsorted(shown, begin).tolist()
         for k in np.flatnonzero(~bad).tolist():
-            self.known[words[k]] = tuple(got[cuts[k] : cuts[k + 1]])
+            found[k] = tuple(got[cuts[k] : cuts[k + 1]])
         return np.flatnonzero(bad)
 
     def symbol(self, c: str) -> tuple[int, ...]:

@@ -91,3 +91,23 @@ def test_suffixes_are_sorted():
     order = pieces.suffixes(codes, 32)
     tails = [codes[i:].tolist() for i in order]
     assert tails == sorted(tails)
+
+
+def test_long_words_are_cut_where_no_piece_runs_over():
+    """Words of mixed scripts, digits and marks, far over LONG, and one over two chunks: the same ids as the reference encoder."""
+    import random
+
+    import sentencepiece as sp
+
+    rng = random.Random(4)
+    model = sp.SentencePieceProcessor(model_file=pieces.MODEL)
+    texts = ["".join(rng.choice("abcdefgh0123456789/=?&%.-_ÄßЖ漢字") for _ in range(n)) for n in (65, 300, 5000)]
+    texts += ["https://example.org/" + "/".join(f"seg{i}?q={i * 7919}" for i in range(400)), "x" * 3000, "漢字仮名" * 500 + "\0" + "tail" * 40]
+    encoder = pieces.Encoder(pieces.load())
+    for t, ids in zip(texts, encoder.encode(texts), strict=True):
+        assert ids == model.encode(t)
+    begin = np.array([0, 2 * pieces.CHUNK + 10])
+    big = ("ab0" * pieces.CHUNK)[: begin[1] - 1]
+    start, length, ids = encoder.edges(big + "\0")
+    assert len(start) == len(set(zip(start.tolist(), length.tolist(), strict=True))) and (np.diff(start) >= 0).all()
+    assert set(ids.tolist()) == set(encoder.edges("ab0" * 20 + "\0")[2].tolist())
