@@ -111,16 +111,16 @@ def posteriors(x: np.ndarray, p: Model, tables: list, step: int = 256) -> np.nda
     return out
 
 
-def fit(labelled: DataFrame, per_language: int = 700, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], Model | None]:
-    """Languages and a network from rows with a text and a language; ids only choose the sample."""
+def fit(labelled: DataFrame, per_language: int = 700, most: int = 400, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], Model | None]:
+    """The ``most`` frequent languages and a network from rows with a text and a language; ids only choose the sample."""
     rows = labelled.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).where("i is not null and t is not null and l is not null")
     rows = rows.where(F.col("t").rlike(r"\p{L}"))
-    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(most).collect()}
     langs = sorted(counts)
     if not langs:
         return [], None
     share = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1.0, per_language / counts[k])))])
-    chosen = rows.where(F.pmod(F.xxhash64("i", F.lit("sample")), F.lit(1_000_000)) < share[F.col("l")] * 1_000_000)
+    chosen = rows.where(F.col("l").isin(langs) & (F.pmod(F.xxhash64("i", F.lit("sample")), F.lit(1_000_000)) < share[F.col("l")] * 1_000_000))
     place = F.expr("substring(t, cast(1 + pmod(xxhash64(i), greatest(1, length(t) - 700)) as int), 760)")
     texts = chosen.select("l", place.cast("binary").alias("t")).limit(4 * per_language * len(langs)).toPandas()
     x, first, _ = windows([bytes(t)[: 3 * WINDOW] for t in texts["t"]])
@@ -163,7 +163,9 @@ def predict(docs: DataFrame, langs: list[str], model: Model | None, id_col: str
 
 
 def keep(docs: DataFrame, langs: list[str], model: Model | None, least: float, text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` whose text has a language with a score of ``least`` or more; all columns stay."""
+    """Rows of ``docs`` whose text has a language with a score of ``least`` or more; all columns stay, and all rows where there is no model."""
+    if model is None:
+        return docs
     names, (letters,) = docs.columns, fresh(docs, "letters")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -69,3 +69,22 @@ def test_run_equals_the_stages_in_a_row(spark, sf_dir, tmp_path):
     want = sorted((r.doc_id, hashlib.sha256(r.text.encode()).hexdigest()) for r in docs.collect())
     got = sorted((r.doc_id, r.decoded_sha256) for r in corpus_pipeline.run(spark, sf_dir).collect())
     assert got == want and 0 < len({i for i, _ in got}) <= before
+
+
+def test_all_stay_where_no_language_is_known(spark, sf_dir):
+    docs = spark.createDataFrame([(i, "some text" if i else None, None, "s", 9) for i in range(20)], table(spark, sf_dir, "documents").schema)
+    assert STAGES["language_id"](spark, docs, sf_dir).count() == 20
+
+
+def test_stages_on_empty_tables_equal_rows_and_extra_columns(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0, name
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, text, "en", "s", 0, "a", "b", "c"), (1, text, "en", "s", 0, "a", "b", "c"), (2, "one two three", "en", "s", 0, None, "", "d"), (None, text, "en", "s", 0, "x", "y", "z")]
+    more = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, letters string, fp string, pii_spans string")
+    counts = {"near_duplicates": 3, "personal_data": 4}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, more, sf_dir)
+        assert got.columns == more.columns and got.count() == counts.get(name, got.count()), name
+    assert [r.n_tokens for r in corpus_pipeline.encode(spark, more, sf_dir).where("doc_id = 1").collect()] == [corpus_pipeline.encode(spark, more.where("doc_id is null"), sf_dir).first().n_tokens] * 2
