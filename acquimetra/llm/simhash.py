@@ -6,8 +6,8 @@ patterns (mask, bits under the mask): Spark deals fingerprints to these nodes, a
 members go on. Crowded nodes are refined by five masks over their free bits, of which one must agree, which is exact as
 well. The nodes of a task form one tree below: members are sorted by node and Gray rank, runs of eight become leaves, eight nodes become one above, and each
 keeps the bits that all its members share and the range of upper nodes it covers. Pairs of tree nodes are descended from the root: pairs of different upper nodes
-are pruned, differences in shared bits accumulate from level to level, a pair beyond 4 is pruned with all its members, and a pair whose free bits are
-at most 4 is linked as a whole. Only links to a node's local root leave a task, so the output is linear. A node has to fit in a task: with distinct
+and pairs whose members are joined already are pruned, differences in shared bits accumulate from level to level, a pair beyond 4 is pruned with all its members, and a pair whose free bits are
+at most 4 is linked as a whole. Only links to the least id of a node's group leave a task, so the output is linear. A node has to fit in a task: with distinct
 fingerprints, two masks of about 21 and 9 bits leave one in 2^30 of them.
 
 Defined results: null, empty and blank texts have fingerprint zero and link like any other; a null doc_id gets a fingerprint and
@@ -85,13 +85,15 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Joins the trees of a[i] and b[i] in place; a root is the least index of its tree."""
+def _unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> bool:
+    """Joins the trees of a[i] and b[i] in place; a root is the least index of its tree. Tells whether anything was new."""
+    new = False
     while True:
         x, y = root[a], root[b]
         open_ = x != y
         if not open_.any():
-            return
+            return new
+        new = True
         a, b, x, y = a[open_], b[open_], x[open_], y[open_]
         np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
         while (up := root[root]).tobytes() != root.tobytes():
@@ -114,6 +116,12 @@ def gray_links(codes: np.ndarray, bits: int, group: np.ndarray | None = None, mo
         every, some = np.bitwise_and.reduceat(low & mask, at), np.bitwise_or.reduceat(low | ~mask, at)
         shared = ~(every ^ some)
         levels.append((every & shared, shared, begin[at], np.maximum.reduceat(end, at)))
+    for d in range(1, fan):  # neighbours first: what they join is not descended into again
+        i = np.flatnonzero((g[d:] == g[:-d]) & (np.bitwise_count(x[d:] ^ x[:-d]) <= bits))
+        if more is not None:
+            i = i[np.bitwise_count(more[order[i]] ^ more[order[i + d]]).sum(axis=1) <= far]
+        _unite(root, i, i + d)
+    joined: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # least and greatest root below each node of a level
     todo = [(len(levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
     while todo:
         k, i, j = todo.pop()
@@ -127,16 +135,24 @@ def gray_links(codes: np.ndarray, bits: int, group: np.ndarray | None = None, mo
             if more is not None:
                 near = np.bitwise_count(more[order[i]] ^ more[order[j]]).sum(axis=1) <= far
                 i, j = i[near], j[near]
-            _unite(root, i, j)
+            if _unite(root, i, j):
+                joined.clear()
             continue
+        if k not in joined:
+            at = np.arange(0, len(x), fan**k)
+            joined[k] = np.minimum.reduceat(root, at), np.maximum.reduceat(root, at)
+        least, most = joined[k]
+        one = (least[i] == most[i]) & (least[j] == most[j]) & (least[i] == least[j])
+        i, j = i[~one], j[~one]
         width = fan**k
         free = np.bitwise_count(~(m[i] & m[j]) | (p[i] ^ p[j]))
         whole = (free <= bits) & (begin[i] == end[j]) & (more is None)  # all members differ in these bits only
         first = i[whole] * width
-        for at in (first, j[whole] * width):
+        for at in (first, j[whole] * width) if len(first) else ():
             for d in range(width):
                 ok = at + d < len(x)
-                _unite(root, first[ok], at[ok] + d)
+                if _unite(root, first[ok], at[ok] + d):
+                    joined.clear()
         i, j = i[~whole], j[~whole]
         a = (i[:, None, None] * fan + np.arange(fan)[None, :, None] + np.zeros((1, 1, fan), np.int64)).ravel()
         b = (j[:, None, None] * fan + np.arange(fan)[None, None, :] + np.zeros((1, fan, 1), np.int64)).ravel()
@@ -164,8 +180,11 @@ def _node_links(bits: int, keys: int, far: int = 0) -> Callable[[Iterator[pa.Rec
         fp, more = np.ascontiguousarray(rows[:, keys]).view(np.uint64), np.ascontiguousarray(rows[:, keys + 1 : -1]).view(np.uint64)
         group = np.cumsum(np.r_[False, (node[1:] != node[:-1]).any(axis=1)])
         root = gray_links(fp, bits, group, more if more.shape[1] else None, far)
-        hung = np.flatnonzero(root != np.arange(len(root)))
-        return pa.RecordBatch.from_arrays([pa.array(ids[hung]), pa.array(ids[root[hung]])], names=["a", "b"])
+        least = np.full(len(ids), np.iinfo(np.int64).max)
+        np.minimum.at(least, root, ids)
+        hub = least[root]  # the least id, the same in most nodes that a group meets in, so that few links differ
+        hung = np.flatnonzero(ids != hub)
+        return pa.RecordBatch.from_arrays([pa.array(ids[hung]), pa.array(hub[hung])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] = []
