@@ -10,8 +10,11 @@ ACCENTED = "áàâãäéèêëíìîïóòôõöúùûüçñ"
 PLAIN = "aaaaaeeeeiiiiooooouuuucn"
 # Words that carry no meaning in object descriptions.
 STOPWORDS = ("a", "o", "de", "da", "do", "das", "dos", "e", "em", "no", "na", "para", "por", "com", "the", "of", "and", "to", "in", "is")
-# Abbreviations in agency names, longest first.
-ABBREVIATIONS = (("PREF MUN", "PREFEITURA MUNICIPAL"), ("SEC MUN", "SECRETARIA MUNICIPAL"), ("FUND", "FUNDO"), ("PREF", "PREFEITURA"), ("MUN", "MUNICIPAL"), ("SEC", "SECRETARIA"), ("STA", "SANTA"), ("STO", "SANTO"))
+# Abbreviations in agency names and what they stand for.
+ABBREVIATIONS = {
+    "SEC": "SECRETARIA", "MUN": "MUNICIPIO", "FUNDO MUN": "FUNDO MUNICIPAL", "CAMARA": "CAMARA", "CM": "CAMARA MUNICIPAL", "FMS": "FUNDO MUNICIPAL DE SAUDE", "FME": "FUNDO MUNICIPAL DE EDUCACAO", "PM": "PREFEITURA MUNICIPAL",
+    "GOV": "GOVERNO", "DEP": "DEPARTAMENTO", "DEPT": "DEPARTAMENTO", "ADM": "ADMINISTRACAO", "REG": "REGIONAL", "HOSP": "HOSPITAL", "UNIV": "UNIVERSIDADE", "INST": "INSTITUTO", "FUND": "FUNDACAO", "AUT": "AUTARQUIA", "CONS": "CONSORCIO",
+}
 
 
 def digits_only(c: Column) -> Column:
@@ -42,7 +45,7 @@ def normalize_name(c: Column) -> Column:
     x = F.regexp_replace(x, r"(^| )[0-9]{8,14}( |$)", " ")
     x = F.trim(F.regexp_replace(x, " +", " "))
     x = F.concat(F.lit(" "), x, F.lit(" "))
-    for short, full in ABBREVIATIONS:
+    for short, full in sorted(ABBREVIATIONS.items(), key=lambda x: -len(x[0])):  # those of two words first
         x = F.replace(x, F.lit(f" {short} "), F.lit(f" {full} "))
     return F.trim(x)
 

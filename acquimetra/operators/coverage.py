@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 SLA_HOURS = {"tenders": 24, "contracts": 168}
 # Allowed moves between lifecycle states.
 TRANSITIONS = {
-    "never_checked": ("pending", "blocked"), "pending": ("success_with_data", "success_zero", "partial", "error", "blocked"), "success_with_data": ("stale", "pending"), "success_zero": ("stale", "pending"),
-    "partial": ("pending", "error"), "error": ("pending", "blocked"), "stale": ("pending",), "blocked": ("pending",), "not_applicable": (),
+    "not_applicable": (), "pending": ("running", "blocked", "not_applicable"), "running": ("success_with_data", "success_zero", "partial", "error", "blocked", "pending"),
+    "success_with_data": ("stale", "running", "partial"), "success_zero": ("stale", "running", "success_with_data"), "partial": ("running", "success_with_data", "success_zero", "error", "stale"),
+    "error": ("pending", "running", "blocked"), "blocked": ("pending", "not_applicable"), "stale": ("running", "pending"),
 }
 # Which state of a group's members shows, first to last.
 PRECEDENCE = ("blocked", "error", "partial", "stale", "never_checked", "pending", "success_zero", "success_with_data")
@@ -73,8 +74,9 @@ def stratified_recall(sample: DataFrame, strata: list[str], found: str, weight:
 def applicability(entities: DataFrame, rules: DataFrame, sources: list[str], attribute: str) -> DataFrame:
     """(entity columns, source, applicable, reason): rules (source, filter, applies, reason, priority) with ``*`` for all; the highest priority gives the reason."""
     spark = entities.sparkSession
-    grid = entities.crossJoin(F.broadcast(spark.createDataFrame([(s,) for s in sources], "source string")))
+    grid = entities.crossJoin(F.broadcast(spark.createDataFrame([(s,) for s in sources], "source string"))).select("*", F.struct(*[F.col(c) for c in entities.columns], "source").alias("_row"))
     r = rules.select("source", F.col("filter").alias("_f"), "applies", "reason", "priority")
     met = grid.join(r, "source", "left").where(F.col("_f").isNull() | (F.col("_f") == "*") | (F.col("_f") == F.col(attribute)))
-    g = met.groupBy(*entities.columns, "source").agg(F.max("applies").alias("_a"), F.max_by("reason", "priority").alias("reason"))
-    return grid.join(g, [*entities.columns, "source"], "left").select(*entities.columns, "source", F.coalesce("_a", F.lit(False)).alias("applicable"), F.coalesce("reason", F.lit("no_rule")).alias("reason"))
+    # Rows are compared as structs, null for null, so an entity with an unknown attribute keeps its rules.
+    g = met.groupBy("_row").agg(F.max("applies").alias("_a"), F.max_by("reason", "priority").alias("reason")).withColumnRenamed("_row", "_met")
+    return grid.join(g, F.col("_row").eqNullSafe(F.col("_met")), "left").select(*entities.columns, "source", F.coalesce("_a", F.lit(False)).alias("applicable"), F.coalesce("reason", F.lit("no_rule")).alias("reason"))

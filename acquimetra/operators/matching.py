@@ -39,7 +39,9 @@ def reconcile(left: DataFrame, right: DataFrame, left_id: str, right_id: str, ru
     lk = left.select(F.col(left_id), keyed(left, 1).alias("k")).select(left_id, "k.rank", "k.rule", "k.key")
     prefer = F.col(preferred).cast("int") if preferred else F.lit(0)
     rk = right.select(F.col(right_id), prefer.alias("_p"), keyed(right, 2).alias("k")).select(right_id, "_p", "k.rank", "k.key")
-    found = lk.join(rk, ["rank", "key"]).groupBy(left_id, "rank", "rule").agg(F.count_distinct(right_id).alias("candidates"), F.min(F.struct((-F.col("_p")).alias("p"), F.col(right_id).alias("id"))).alias("b"))
+    # A row of right for each rule and key before the join, so that a key with many rows on both sides does not multiply them.
+    rk = rk.groupBy("rank", "key").agg(F.count_distinct(right_id).alias("candidates"), F.min(F.struct((-F.col("_p")).alias("p"), F.col(right_id).alias("id"))).alias("b"))
+    found = lk.join(rk, ["rank", "key"])
     best = found.withColumn("_rn", F.row_number().over(W.partitionBy(left_id).orderBy("rank"))).where("_rn = 1")
     picked = best.select(left_id, "rule", F.col("b.id").alias(right_id), "candidates", F.when(F.col("candidates") == 1, "matched").otherwise("review").alias("decision"))
     return left.select(left_id).join(picked, left_id, "left").fillna({"decision": "unmatched", "candidates": 0})

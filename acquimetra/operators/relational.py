@@ -51,8 +51,28 @@ def share_concentration(df: DataFrame, owner: str, member: str, value: str | Non
 
 
 def quantiles(df: DataFrame, keys: By, value: str, at: Sequence[float], prefix: str = "p", kind: str = "double") -> DataFrame:
-    """Count and exact interpolated percentiles of each group, as ``kind``."""
-    return df.groupBy(*keys).agg(F.count(value).alias("n"), *[F.percentile(F.col(value).cast("double"), F.lit(p)).cast(kind).alias(f"{prefix}{round(p * 100)}") for p in at])
+    """Count and exact interpolated percentiles of each group, as ``kind``.
+
+    Equal values of a group collapse before the shuffle; running counts over a group's distinct values, sorted and spilled by Spark, then show the two values
+    next to each percentile, for all percentiles at once. Groups with a null key are groups; null values are not counted.
+    """
+    names = [k if isinstance(k, str) else df.select(k).columns[0] for k in keys]
+    rows = df.select(*keys, F.col(value).cast("double").alias("_v"))
+    counts = rows.groupBy(*names, "_v").agg(F.count("_v").alias("_c"))
+    group = F.struct(*[F.col(c) for c in names]) if names else F.lit(0)
+    keyed = counts.select("*", group.alias("_g"))
+    by = W.partitionBy("_g")
+    ranked = keyed.select("*", F.sum("_c").over(by.orderBy("_v").rowsBetween(W.unboundedPreceding, 0)).alias("_to"), F.sum("_c").over(by).alias("_n"))
+    place = lambda p: (F.col("_n") - 1) * F.lit(float(p))
+    holds = lambda k: (F.col("_to") > k) & (F.col("_to") - F.col("_c") <= k) & (F.col("_c") > 0)
+
+    def at_place(p: float) -> Column:
+        low = F.max(F.when(holds(F.floor(place(p))), F.col("_v")))
+        high = F.max(F.when(holds(F.ceil(place(p))), F.col("_v")))
+        part = F.max(place(p)) - F.floor(F.max(place(p)))
+        return F.when(part == 0, low).otherwise((1 - part) * low + part * high)
+
+    return ranked.groupBy(*names).agg(F.max("_n").alias("n"), *[at_place(p).cast(kind).alias(f"{prefix}{round(p * 100)}") for p in at])
 
 
 def completeness(df: DataFrame, fields: dict[str, Column]) -> DataFrame:
@@ -76,7 +96,8 @@ def outliers(df: DataFrame, keys: By, value: str, least: int = 5, k: float = 1.5
     """Price panel: n, quartiles, rows outside the fences; groups below ``least`` rows are too small to judge."""
     g = quantiles(df, keys, value, (0.25, 0.5, 0.75), kind=kind)
     names = [c for c in g.columns if c not in ("n", "p25", "p50", "p75")]
-    fenced = df.select(*keys, F.col(value).cast("double").alias("_v")).join(g, names)
+    h = g.select(F.struct(*names).alias("_h"), "n", "p25", "p50", "p75")
+    fenced = df.select(*keys, F.col(value).cast("double").alias("_v")).join(h, F.struct(*names).eqNullSafe(F.col("_h"))).drop("_h")
     low, high = F.col("p25").cast("double"), F.col("p75").cast("double")
     wide = (high - low) * k
     out = (F.col("_v") < low - wide) | (F.col("_v") > high + wide)

@@ -7,10 +7,17 @@ from pyspark.sql import functions as F
 
 from acquimetra.functions.text import fold
 
-# Portal statuses and what they mean.
+# Portal statuses, without accents, and what they mean.
 STATUS_WORDS = {
-    "divulgada": "open", "publicada": "open", "aberta": "open", "em andamento": "open", "recebendo propostas": "open", "encerrada": "closed", "homologada": "closed", "concluida": "closed", "suspensa": "suspended", "revogada": "revoked",
-    "anulada": "annulled", "deserta": "failed", "fracassada": "failed",
+    "recebendo proposta": "open", "aberto": "open", "aberta": "open", "abertos": "open", "abertas": "open", "em aberto": "open", "em andamento": "open", "em analise": "open", "publicado": "open", "publicada": "open",
+    "agendado": "upcoming", "agendada": "upcoming", "divulgado": "upcoming", "divulgada": "upcoming", "previsto": "upcoming",
+    "encerrado": "closed", "encerrada": "closed", "concluido": "closed", "concluida": "closed", "finalizado": "closed", "finalizada": "closed", "homologado": "closed", "homologada": "closed", "adjudicada": "closed",
+    "suspenso": "suspended", "suspensa": "suspended", "revogado": "revoked", "revogada": "revoked", "cancelado": "revoked", "cancelada": "revoked", "anulado": "annulled", "anulada": "annulled",
+    "deserto": "failed", "deserta": "failed", "fracassado": "failed", "fracassada": "failed", "frustrado": "failed", "frustrada": "failed",
+}
+# The same for the official gazette, whose words go before the others.
+GAZETTE_WORDS = {
+    "publicado": "open", "autopublicacao nova": "open", "autopublicacao assinada": "open", "autopublicacao publicada": "open", "acervo publico": "unknown", "cancelado": "revoked", "publicado equivocadamente": "revoked", "acervo removido": "revoked",
 }
 # Weights of the ranking.
 RANK = {"open": 30, "upcoming": 21, "opens_30d": 15, "agency": 10, "value": 10, "competitive": 10, "notice_and_files": 15, "notice": 7, "radius": 15, "trusted": 5, "complete": 10}
@@ -23,9 +30,15 @@ def _days(a: Column, b: Column) -> Column:
     return F.datediff(a, b)
 
 
+def status_word(status: Column, gazette: Column | None = None) -> Column:
+    """What a portal's status word means; null for an unknown one. gazette: whether the row comes from the official gazette."""
+    known = lambda words: F.create_map(*[x for k, v in words.items() for x in (F.lit(k), F.lit(v))])[fold(F.trim(status))]
+    return known(STATUS_WORDS) if gazette is None else F.coalesce(F.when(gazette, known(GAZETTE_WORDS)), known(STATUS_WORDS))
+
+
 def canonical_status(status: Column, opening: Column, deadline: Column, published: Column, text: Column, as_of: Column) -> Column:
     """The source's word, else the dates, else the age; null dates fall through to the next rule."""
-    word = F.create_map(*[x for k, v in STATUS_WORDS.items() for x in (F.lit(k), F.lit(v))])[fold(F.trim(status))]
+    word = status_word(status)
     by_deadline = F.when(opening.isNotNull(), F.when((deadline > as_of) & (opening <= as_of), "open").when(deadline <= as_of, "closed").when(opening > as_of, "upcoming")).otherwise(F.when(deadline > as_of, "open").otherwise("closed"))
     age = _days(as_of, published)
     opened = F.when(opening > as_of, "upcoming").when(published.isNull(), "unknown").when(age <= 90, "open").when(age <= 365, "unknown").otherwise("closed")

@@ -143,12 +143,12 @@ def cascade_match(spark: SparkSession, d: str) -> DataFrame:
     return X.cascade(_left(spark, d), r, "id", "entity", levels)
 
 
-@query("priority_rule_reconcile", """WITH l AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey END AS number, o_custkey, CAST(o_orderdate AS DATE) AS day, CAST(o_totalprice AS DECIMAL(18,2)) AS value FROM orders WHERE o_orderkey % 2 = 0), r AS (SELECT o_orderkey AS act, o_custkey, CAST(o_orderdate AS DATE) AS day, CAST(o_totalprice AS DECIMAL(18,2)) AS value FROM orders WHERE o_orderkey % 3 <> 0),
+@query("priority_rule_reconcile", """WITH l AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey END AS number, o_custkey, CAST(o_orderdate AS DATE) AS day, CAST(o_totalprice AS DECIMAL(18,2)) AS value FROM orders), r AS (SELECT o_orderkey AS act, o_custkey, CAST(o_orderdate AS DATE) AS day, CAST(o_totalprice AS DECIMAL(18,2)) AS value FROM orders WHERE o_orderstatus <> 'P'),
 m AS (SELECT id, act, 0 AS rank, 'number' AS rule FROM l JOIN r ON number = act UNION ALL SELECT id, act, 1, 'buyer_day' FROM l JOIN r ON l.o_custkey = r.o_custkey AND l.day = r.day UNION ALL SELECT id, act, 2, 'buyer' FROM l JOIN r ON l.o_custkey = r.o_custkey), g AS (SELECT id, rank, rule, count(DISTINCT act) AS candidates, min(act) AS act FROM m GROUP BY 1, 2, 3), b AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY id ORDER BY rank) = 1)
 SELECT l.id, b.rule, b.act, coalesce(b.candidates, 0) AS candidates, CASE WHEN b.id IS NULL THEN 'unmatched' WHEN b.candidates = 1 THEN 'matched' ELSE 'review' END AS decision FROM l LEFT JOIN b ON l.id = b.id""")
 def priority_rule_reconcile(spark: SparkSession, d: str) -> DataFrame:
-    o = Tables(spark, d).orders.select(F.col("o_orderkey").alias("id"), "o_custkey", F.col("o_orderdate").cast("date").alias("day"))
-    left, right = o.where("id % 2 = 0"), o.where("id % 3 <> 0").withColumnRenamed("id", "act")
+    o = Tables(spark, d).orders.select(F.col("o_orderkey").alias("id"), "o_custkey", F.col("o_orderdate").cast("date").alias("day"), "o_orderstatus")
+    left, right = o.drop("o_orderstatus"), o.where("o_orderstatus <> 'P'").drop("o_orderstatus").withColumnRenamed("id", "act")
     day = F.concat_ws("|", "o_custkey", "day")
     rules = [("number", F.when(F.col("id") % 4 == 0, F.col("id")), F.col("act")), ("buyer_day", day, day), ("buyer", F.col("o_custkey"), F.col("o_custkey"))]
     return X.reconcile(left, right, "id", "act", rules)
