@@ -21,3 +21,9 @@ def content_sha256(*cols: Column) -> Column:
 def cross_source(modality: Column, subject: Column, agency: Column, published: Column, value: Column) -> Column:
     """The same tender has the same key in every portal: folded subject, agency root, date, value with two digits."""
     return F.sha2(F.concat_ws("|", F.lower(modality), F.trim(F.regexp_replace(fold(subject), "[^a-z0-9]+", " ")), agency, published.cast("string"), value.cast("decimal(18,2)").cast("string")), 256)
+
+
+def portal_hash(state: Column, town: Column, value: Column, subject: Column, prefixes: str) -> Column:
+    """State, town, value and the first 150 characters of the subject without a portal's own prefix (one of ``prefixes``, joined by ``|``); null counts as empty."""
+    bare = F.substring(F.regexp_replace(F.lower(subject), f"^({prefixes})[#: -]*", ""), 1, 150)
+    return content_md5(state, town, value.cast("decimal(18,2)"), bare)
