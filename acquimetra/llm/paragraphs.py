@@ -38,7 +38,7 @@ _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xD6E8FEB86659FD93)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _PLACE = np.uint64((1 << 24) - 1)
-SCHEMA = "doc_id long, word int, start int, stop int, content long, need int, bands array<long>, sh binary"
+SCHEMA = "doc_id long, word int, start int, length int, content long, need int, bands array<long>, sh binary"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -166,7 +166,7 @@ def units(texts: list[bytes]) -> tuple[dict[str, np.ndarray], dict[str, np.ndarr
 
 def read(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The windows (``sh`` is null) and paragraphs of all texts, as ``SCHEMA`` says."""
-    arrow = pa.schema([("doc_id", pa.int64()), *[(k, pa.int32()) for k in ("word", "start", "stop")], ("content", pa.int64()), ("need", pa.int32()), ("bands", pa.list_(pa.int64())), ("sh", pa.binary())])
+    arrow = pa.schema([("doc_id", pa.int64()), *[(k, pa.int32()) for k in ("word", "start", "length")], ("content", pa.int64()), ("need", pa.int32()), ("bands", pa.list_(pa.int64())), ("sh", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -182,12 +182,12 @@ def read(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 ints = lambda x: pa.array(x.astype(np.int32))
                 nulls = lambda n, t: pa.nulls(n, t)
                 k = len(w["text"])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[w["text"]]), ints(w["word"]), ints(w["start"]), ints(w["stop"]), pa.array(w["content"]), ints(w["need"]), nulls(k, pa.list_(pa.int64())), nulls(k, pa.binary())], schema=arrow)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[w["text"]]), ints(w["word"]), ints(w["start"]), ints(w["stop"] - w["start"]), pa.array(w["content"]), ints(w["need"]), nulls(k, pa.list_(pa.int64())), nulls(k, pa.binary())], schema=arrow)
                 k = len(p["text"])
                 if k:
                     bands = pa.ListArray.from_arrays(pa.array(np.arange(0, k * BANDS + 1, BANDS, dtype=np.int32)), pa.array(p["bands"].ravel()))
                     sh = pa.Array.from_buffers(pa.binary(), k, [None, pa.py_buffer((p["offsets"] * 4).astype(np.int32).tobytes()), pa.py_buffer(p["sh"].tobytes())])
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[p["text"]]), nulls(k, pa.int32()), ints(p["start"]), ints(p["stop"]), pa.array(p["content"]), nulls(k, pa.int32()), bands, sh], schema=arrow)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[p["text"]]), nulls(k, pa.int32()), ints(p["start"]), ints(p["stop"] - p["start"]), pa.array(p["content"]), nulls(k, pa.int32()), bands, sh], schema=arrow)
                 i = j
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t")).where("doc_id is not null and t is not null")
@@ -283,9 +283,9 @@ def repeated(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", t
     windows, paragraphs = found.where("sh is null"), found.where("sh is not null")
     held = windows.groupBy("content").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("high")).where("owner < high").select("content", "owner")
     # Two numbers in one column each, for the shuffle's sake.
-    packed = windows.select("doc_id", "content", (F.col("word") * F.lit(64).cast("long") + F.col("need")).alias("word"), (F.shiftleft(F.col("start").cast("long"), 32) + F.col("stop")).alias("place"))
+    packed = windows.select("doc_id", "content", (F.col("word") * F.lit(64).cast("long") + F.col("need")).alias("word"), (F.shiftleft(F.col("start").cast("long"), 32) + F.col("length")).alias("place"))
     spots = packed.join(held, "content").select(
-        "doc_id", F.shiftright("word", 6).alias("word"), F.shiftright("place", 32).alias("start"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("stop"), F.col("word").bitwiseAND(F.lit(63)).alias("need"), "owner"
+        "doc_id", F.shiftright("word", 6).alias("word"), F.shiftright("place", 32).alias("start"), (F.shiftright("place", 32) + F.col("place").bitwiseAND(F.lit(0xFFFFFFFF))).alias("stop"), F.col("word").bitwiseAND(F.lit(63)).alias("need"), "owner"
     )
     runs = _merged(spots, "word", F.col("word") + UNIT, BRIDGE).groupBy("doc_id", "g").agg(
         F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("owner").alias("owner"), F.max("need").alias("need"), (F.max("word") + UNIT - F.min("word")).alias("words")
@@ -297,7 +297,7 @@ def repeated(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", t
     met = ends.join(of.select(F.col("content").alias("other"), F.col("low").alias("their_low"), F.col("high").alias("their_high")), "other")
     kin = met.groupBy("content").agg(F.min("their_low").alias("their_low"), F.max("their_high").alias("their_high"))
     owned = of.join(kin, "content", "left").select("content", F.least("low", "their_low").alias("owner"), F.greatest("high", "their_high").alias("last")).where("owner < last")
-    lines = paragraphs.select("doc_id", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), "content").join(owned.select("content", "owner"), "content").drop("content")
+    lines = paragraphs.select("doc_id", F.col("start").cast("long").alias("start"), (F.col("start") + F.col("length")).cast("long").alias("stop"), "content").join(owned.select("content", "owner"), "content").drop("content")
     spans, spans_path = cut(_merged(runs.union(lines), "start", F.col("stop"), 0).groupBy("doc_id", "g").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("owner").alias("owner"), F.collect_set("owner").alias("owners")), "spans")
     near = met.join(of.select("content", "low"), "content").select(F.col("low").alias("a"), F.col("their_low").alias("b"))
     classes, _ = components(spans.select(F.col("doc_id").alias("a"), F.explode("owners").alias("b")).union(near))
