@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,23 +12,29 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from acquimetra.functions.geo import haversine_km, near_box
-from acquimetra.functions.text import jaccard, tokens
+from acquimetra.functions.text import tokens
+from acquimetra.sources.tables import checkpointed
+
+
+def _keyed(df: DataFrame, cols: Sequence[Column | str], keys: Sequence[Column]) -> DataFrame:
+    """A row of (cols, rank, key) for each key that isn't null."""
+    each = F.array(*[F.struct(F.lit(i).alias("rank"), k.cast("string").alias("key")) for i, k in enumerate(keys)])
+    return df.select(*cols, F.explode(F.filter(each, lambda x: x["key"].isNotNull())).alias("_k")).select("*", "_k.rank", "_k.key").drop("_k")
 
 
 def cascade(left: DataFrame, right: DataFrame, left_id: str, right_id: str, levels: Sequence[tuple[str, float, Column, Column]]) -> DataFrame:
     """(left_id, right_id, match_method, match_score): the first level that finds a partner decides; ties go to the least right_id.
 
-    levels: (name, score, key of left, key of right). Each level first collapses the right side to one row a key, so no
-    level multiplies rows, and meets only what the levels before have left over.
+    levels: (name, score, key of left, key of right). One equi-join over (level, key) whatever the number of levels; the right side is
+    collapsed to one row a level and key before it, so no level multiplies rows.
     """
-    rest, out = left, None
-    for name, score, lk, rk in levels:
-        keys = right.select(rk.alias("_k"), F.col(right_id)).where("_k is not null").groupBy("_k").agg(F.min(right_id).alias(right_id))
-        hit = rest.withColumn("_k", lk).join(keys, "_k").select(left_id, right_id, F.lit(name).alias("match_method"), F.lit(score).alias("match_score"))
-        out = hit if out is None else out.unionByName(hit)
-        rest = rest.join(hit.select(left_id), left_id, "left_anti")
-    none = rest.select(left_id, F.lit(None).cast(right.schema[right_id].dataType).alias(right_id), F.lit("none").alias("match_method"), F.lit(0.0).alias("match_score"))
-    return out.unionByName(none)
+    names, scores = F.array(*[F.lit(x[0]) for x in levels]), F.array(*[F.lit(float(x[1])) for x in levels])
+    keys = _keyed(right, [right_id], [x[3] for x in levels]).groupBy("rank", "key").agg(F.min(right_id).alias(right_id))
+    hits = _keyed(left, [left_id], [x[2] for x in levels]).join(keys, ["rank", "key"])
+    best = hits.groupBy(left_id).agg(F.min(F.struct("rank", right_id)).alias("_b"))
+    rank = F.col("_b.rank")
+    method, score = F.coalesce(F.get(names, rank), F.lit("none")), F.coalesce(F.get(scores, rank), F.lit(0.0))
+    return left.select(left_id).join(best, left_id, "left").select(left_id, F.col(f"_b.{right_id}").alias(right_id), method.alias("match_method"), score.alias("match_score"))
 
 
 def reconcile(left: DataFrame, right: DataFrame, left_id: str, right_id: str, rules: Sequence[tuple[str, Column, Column]], preferred: str | None = None) -> DataFrame:
@@ -35,10 +42,10 @@ def reconcile(left: DataFrame, right: DataFrame, left_id: str, right_id: str, ru
 
     More than one candidate under the winning rule asks for review; ``preferred`` names a boolean column of right whose rows come first.
     """
-    keyed = lambda df, side: F.explode(F.filter(F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(r[0]).alias("rule"), r[side].cast("string").alias("key")) for i, r in enumerate(rules)]), lambda x: x["key"].isNotNull()))  # noqa: E731, ARG005
-    lk = left.select(F.col(left_id), keyed(left, 1).alias("k")).select(left_id, "k.rank", "k.rule", "k.key")
+    names = F.array(*[F.lit(r[0]) for r in rules])
+    lk = _keyed(left, [left_id], [r[1] for r in rules]).withColumn("rule", F.get(names, F.col("rank")))
     prefer = F.col(preferred).cast("int") if preferred else F.lit(0)
-    rk = right.select(F.col(right_id), prefer.alias("_p"), keyed(right, 2).alias("k")).select(right_id, "_p", "k.rank", "k.key")
+    rk = _keyed(right, [right_id, prefer.alias("_p")], [r[2] for r in rules])
     # A row of right for each rule and key before the join, so that a key with many rows on both sides does not multiply them.
     rk = rk.groupBy("rank", "key").agg(F.count_distinct(right_id).alias("candidates"), F.min(F.struct((-F.col("_p")).alias("p"), F.col(right_id).alias("id"))).alias("b"))
     found = lk.join(rk, ["rank", "key"])
@@ -55,22 +62,46 @@ def conflicts(status: tuple[Column, Column], date: tuple[Column, Column], value:
     return F.array_join(F.filter(found, lambda x: x.isNotNull()), ",")
 
 
+def _token_sets(df: DataFrame, id_col: str, text_col: str, blocks: Sequence[str]) -> DataFrame:
+    """(id, block, t): each text's tokens as sorted 64-bit hashes, cut and hashed once for all that follows."""
+    t = F.sort_array(F.transform(tokens(F.col(text_col)), lambda w: F.xxhash64(w)))
+    return checkpointed(df.select(F.col(id_col).alias("id"), F.struct(*blocks).alias("block"), t.alias("t")))
+
+
+def _set_links(own: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """Distinct sets (rep: the least id that has it, block, t), and the links (a, b, similarity), a < b, of sets of a block that are alike.
+
+    Equal sets collapse first. Sets with a Jaccard similarity of s share one of their n - ceil(s n) + 1 rarest tokens, so only those are joined on; a pair
+    whose place in both sets leaves too few tokens for the overlap it needs is not looked at again.
+    """
+    reps = own.where(F.size("t") > 0).groupBy("block", "t").agg(F.min("id").alias("rep"))
+    each = reps.select("rep", "block", F.explode("t").alias("w"))
+    rarity = each.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    ordered = each.join(rarity, "w").groupBy("rep", "block").agg(F.sort_array(F.collect_list(F.struct("df", "w"))).alias("o"))
+    sets = checkpointed(ordered.select("rep", "block", F.size("o").alias("n"), F.col("o.w").alias("t")))
+    prefix = (F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).cast("int")
+    first = sets.select("rep", "block", "n", F.posexplode(F.slice("t", F.lit(1), prefix)).alias("p", "w"))
+    a, b = (first.select("block", "w", F.col("rep").alias(x), F.col("n").alias(f"n{x}"), (F.col("n") - F.col("p")).alias(f"left_{x}")) for x in "ab")
+    needs = (F.col("na") + F.col("nb")) * (least / (1 + least)) - 1e-9
+    close = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * least - 1e-9) & (F.least("left_a", "left_b") >= needs)
+    pairs = a.join(b, ["block", "w"]).where(close).select("a", "b").distinct()
+    full = pairs.join(sets.select(F.col("rep").alias("a"), F.col("t").alias("ta")), "a").join(sets.select(F.col("rep").alias("b"), F.col("t").alias("tb")), "b")
+    both = F.size(F.array_intersect("ta", "tb"))
+    return reps, full.select("a", "b", (both / (F.size("ta") + F.size("tb") - both)).alias("similarity")).where(F.col("similarity") >= least)
+
+
 def similar_pairs(df: DataFrame, id_col: str, text_col: str, blocks: Sequence[str], least: float = 0.75, remove: float = 0.85) -> DataFrame:
-    """(a, b, similarity, verdict) of pairs in a block whose token sets are alike; pairs meet by rare tokens, not by the block as a whole.
+    """(a, b, similarity, verdict) of pairs in a block whose token sets are alike. Rows with a null in a block column meet no other row.
 
-    Prefix filter: sets with a Jaccard similarity of t share one of their n - ceil(t n) + 1 rarest tokens, so only those are joined on.
+    Links are found between distinct sets; the ids that have these sets are put in at the end.
     """
-    own = df.select(F.col(id_col).alias("id"), *blocks, tokens(F.col(text_col)).alias("t")).where(F.size("t") > 0)
-    each = own.select("id", *blocks, F.explode("t").alias("w"))
-    seen = each.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    ranked = each.join(seen, "w").withColumn("r", F.row_number().over(W.partitionBy("id").orderBy("df", "w")))
-    kept = ranked.join(own.select("id", F.size("t").alias("n")), "id").where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * least) + 1)
-    a, b = kept.select(*blocks, "w", F.col("id").alias("a"), F.col("n").alias("na")), kept.select(*blocks, "w", F.col("id").alias("b"), F.col("n").alias("nb"))
-    close = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * least)
-    pairs = a.join(b, [*blocks, "w"]).where(close).select("a", "b").distinct()
-    full = pairs.join(own.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(own.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
-    scored = full.withColumn("similarity", jaccard(F.col("ta"), F.col("tb"))).where(F.col("similarity") >= least)
-    return scored.select("a", "b", "similarity", F.when(F.col("similarity") >= remove, "remove").otherwise("warn").alias("verdict"))
+    own = _token_sets(df.where(" and ".join(f"{c} is not null" for c in blocks)) if blocks else df, id_col, text_col, blocks)
+    reps, links = _set_links(own, least)
+    members = own.join(reps, ["block", "t"]).select("rep", "id")
+    x, y = (members.select(F.col("rep").alias(c), F.col("id").alias(f"id_{c}")) for c in "ab")
+    across = links.join(x, "a").join(y, "b").select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), "similarity")
+    within = x.join(y.withColumnRenamed("b", "a"), "a").where("id_a < id_b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.lit(1.0).alias("similarity"))
+    return across.unionByName(within).select("a", "b", "similarity", F.when(F.col("similarity") >= remove, "remove").otherwise("warn").alias("verdict"))
 
 
 def indel_ratio(a: str, b: str) -> float:
@@ -149,20 +180,20 @@ def greedy_clusters(df: DataFrame, id_col: str, lat: str, lon: str, value: str,
 
 
 def greedy_keep(df: DataFrame, id_col: str, text_col: str, block: Sequence[str], least: float = 0.85) -> DataFrame:
-    """Order-dependent dedup in blocks: a row goes if a row kept before it is alike; returns kept rows' ids and what the others fell to."""
-
-    def solve(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in pdfs:
-            pdf = pdf.sort_values("id")
-            kept: list[tuple[int, set[str]]] = []
-            out = []
-            for i, t in zip(pdf["id"], pdf["t"], strict=True):
-                s = set(t)
-                hit = next((k for k, o in kept if s and o and len(s & o) >= least * len(s | o)), None)
-                out.append((i, hit))
-                if hit is None:
-                    kept.append((i, s))
-            yield pd.DataFrame({"id": [i for i, _ in out], "dropped_for": pd.array([h for _, h in out], dtype="Int64")})
-
-    rows = df.select(F.col(id_col).cast("long").alias("id"), *block, tokens(F.col(text_col)).alias("t"))
-    return rows.groupBy(*block).applyInPandas(lambda pdf: next(solve(iter([pdf]))), "id long, dropped_for long")
+    """(id, dropped_for): by rising id within a block, a row goes if a row kept before it is alike, and names the least such row. Nulls are a block of their own.
+
+    The order is settled in rounds over the links of distinct sets: what has no undecided link to a lesser row is kept, and what links to
+    it goes. Each round is a few joins over the links still open, checkpointed; no block has to fit in a task.
+    """
+    own = _token_sets(df.withColumn(id_col, F.col(id_col).cast("long")), id_col, text_col, block)
+    reps, links = _set_links(own, least)
+    links = checkpointed(links.select("a", "b"))
+    edges, rounds = links, []
+    while not edges.isEmpty():
+        kept = edges.select("a").distinct().join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+        rounds.append(checkpointed(edges.join(kept, "a").select("b").distinct()))
+        edges = checkpointed(edges.join(rounds[-1], "b", "left_anti").join(rounds[-1].select(F.col("b").alias("a")), "a", "left_anti"))
+    gone = reduce(DataFrame.union, rounds, links.select("b").limit(0))
+    fell = links.join(gone, "b", "left_semi").join(gone.select(F.col("b").alias("a")), "a", "left_anti").groupBy(F.col("b").alias("rep")).agg(F.min("a").alias("to"))
+    named = own.join(reps, ["block", "t"], "left").join(fell, "rep", "left")
+    return named.select("id", F.coalesce("to", F.when(F.col("id") != F.col("rep"), F.col("rep"))).alias("dropped_for"))

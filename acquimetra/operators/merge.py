@@ -59,7 +59,7 @@ def reconcile_snapshot(state: DataFrame, runs: DataFrame, membership: DataFrame,
     good = runs.where("status in ('completed', 'completed_zero') and scope_complete and not coalesce(limited, false)").select("run_id", "source")
     seen = membership.dropDuplicates(["run_id", "source_id"]).join(good, "run_id").select("source", "source_id").distinct().withColumn("_seen", F.lit(True))
     covered = good.select("source").distinct().withColumn("_covered", F.lit(True))
-    joined = state.join(F.broadcast(covered), "source", "left").join(seen, list(keys), "left")
+    joined = state.join(covered, "source", "left").join(seen, list(keys), "left")
     action = (
         F.when(F.col("_covered").isNull(), "skip").when(F.col("_seen") & ~F.col("source_active"), "reactivate").when(F.col("_seen"), "touch").when(F.col("source_active"), "inactivate").otherwise("still_absent")
     )

@@ -157,20 +157,77 @@ def expected_roi(value: Column, margin: Column, fiscal: Column, cost: Column, p:
     return expected, F.when(win <= 0, "INVIAVEL").when(expected - cost > 0, "OPORTUNIDADE").otherwise("INVESTIMENTO_ESTRATEGICO")
 
 
-# Words of the engineering classifier.
-STRONG = ("pavimentacao", "obra", "reforma", "construcao", "drenagem", "ponte", "engenharia")
-WEAK = ("manutencao", "projeto", "laudo", "topografia", "sondagem")
-EXCLUDED = ("software", "medicamento", "alimenticio", "combustivel", "uniforme")
-RESCUE = ("predial", "edificacao", "infraestrutura")
-
-
-def engineering_class(text: Column, value: Column) -> tuple[Column, Column]:
-    """(score, is_engineering): strong words count three, weak ones one, a large value one; excluded words veto unless a rescue word stands by."""
-    x = fold(text)
-    n = lambda words: sum((F.contains(x, F.lit(w)).cast("int") for w in words), F.lit(0))
-    score = n(STRONG) * 3 + n(WEAK) + F.when(value >= 100_000, 1).otherwise(0)
-    vetoed = (n(EXCLUDED) > 0) & (n(RESCUE) == 0)
-    return F.when(vetoed, 0).otherwise(score), ~vetoed & (score >= 3)
+# Categories of engineering works and services, and the terms that name them.
+WORKS = {
+    "MANUTENCAO_PREDIAL": ("manutencao predial", "manutencao preventiva", "manutencao corretiva"),
+    "INFRAESTRUTURA_URBANA": ("infraestrutura urbana", "urbanizacao", "calcada", "acessibilidade"),
+    "INFRAESTRUTURA_RODOVIARIA": ("rodovia", "estrada", "sinalizacao viaria", "infraestrutura viaria"),
+    "PAVIMENTACAO": ("pavimentacao", "asfalto", "paver", "recapeamento"),
+    "DRENAGEM": ("drenagem", "drenagem pluvial", "galeria pluvial"),
+    "SANEAMENTO": ("saneamento",),
+    "ABASTECIMENTO_DE_AGUA": ("rede de agua", "abastecimento de agua"),
+    "ESGOTAMENTO_SANITARIO": ("rede de esgoto", "esgotamento sanitario"),
+    "PONTES_E_OBRAS_DE_ARTE": ("ponte", "viaduto", "passarela", "obra de arte"),
+    "CONTENCAO_E_GEOTECNIA": ("contencao", "muro de arrimo", "gabiao", "estabilizacao de encosta"),
+    "TERRAPLENAGEM": ("terraplenagem",),
+    "EDIFICACOES_PUBLICAS": ("escola", "hospital", "unidade de saude", "creche", "ginasio", "praca"),
+    "INSTALACOES_ELETRICAS": ("instalacao eletrica", "iluminacao publica", "subestacao", "spda"),
+    "INSTALACOES_HIDROSSANITARIAS": ("instalacao hidraulica", "hidrossanitario"),
+    "CLIMATIZACAO": ("climatizacao", "ar condicionado", "hvac"),
+    "PREVENCAO_CONTRA_INCENDIO": ("ppci", "preventivo contra incendio", "combate a incendio"),
+    "PROJETOS_DE_ENGENHARIA": ("projeto executivo", "projeto basico", "projeto estrutural", "servicos de engenharia"),
+    "FISCALIZACAO_E_SUPERVISAO": ("fiscalizacao de obra", "supervisao de obra", "gerenciamento de obra"),
+    "LAUDOS_E_PERICIAS": ("laudo", "pericia"),
+    "TOPOGRAFIA": ("topografia", "levantamento planialtimetrico"),
+    "SONDAGEM": ("sondagem",),
+    "ENGENHARIA_AMBIENTAL": ("engenharia ambiental", "licenciamento ambiental"),
+    "OUTROS_SERVICOS_DE_ENGENHARIA_CIVIL": ("engenharia civil", "obra", "obras"),
+}
+# Terms that weigh more, terms of other trades and what they are, materials, words of works and services.
+STRONG = (
+    "obra", "obras", "construcao", "reforma", "ampliacao", "pavimentacao", "drenagem", "terraplenagem", "ponte", "rede de agua", "rede de esgoto",
+    "engenharia civil", "servicos de engenharia", "projeto executivo", "fiscalizacao de obra",
+)
+OTHER_TRADES = {
+    "engenharia de software": "software_only", "engenharia de dados": "software_only", "engenharia social": "software_only", "engenharia reversa de software": "software_only", "licenca de software": "software_only",
+    "desenvolvimento de sistemas": "software_only", "sistema informatizado": "software_only", "manutencao de veiculos": "vehicle_only", "equipamento medico": "equipment_only",
+}
+MATERIALS = ("cimento", "brita", "areia", "tinta", "tubos", "cabos", "blocos")
+SERVICES = ("execucao", "fornecimento de material e mao de obra", "mao de obra", "prestacao de servicos", "instalacao", "obra", "reforma", "construcao")
+# Modalities of procurement that score.
+SCORED_MODALITIES = (4, 5, 6, 7, 8, 9, 11, 12)
+
+
+def engineering_class(text: Column, value: Column, modality: Column | None = None, has_items: Column | None = None, has_documents: Column | None = None) -> dict[str, Column]:
+    """score (0 to 100), confidence, engineering, categories (sorted) and exclusion of a notice, from all its texts joined by blanks.
+
+    A category scores 20 where the first of its terms found is a strong one, else 12; up to three strong terms score 12 each; phrases, items, documents,
+    modality and value add to it. A term of another trade without a word of works or services ends it; materials without one reach 25 at most.
+    """
+    x = fold(F.coalesce(text, F.lit("")))
+    has = lambda w: F.contains(x, F.lit(w))
+    some = lambda ws: F.greatest(*[has(w) for w in ws])
+    n = lambda conds: sum((c.cast("int") for c in conds), F.lit(0))
+    points = lambda c, k: F.when(F.coalesce(c, F.lit(False)), k).otherwise(0) if c is not None else F.lit(0)
+    trade = F.coalesce(*[F.when(has(w), F.lit(r)) for w, r in reversed(OTHER_TRADES.items())])  # the last one found names it
+    rescued = some(SERVICES)
+    vetoed = trade.isNotNull() & ~rescued
+    hits = {c: F.coalesce(*[F.when(has(t), F.lit(20 if t in STRONG else 12)) for t in terms], F.lit(0)) for c, terms in WORKS.items()}
+    strong = n(has(t) for t in STRONG)
+    score = sum(hits.values(), F.least(F.lit(36), strong * 12))
+    score = score + points(has("empresa especializada") & (strong > 0), 12) + points((has("execucao") | has("prestacao de servicos")) & (strong > 0), 10) + points(has("fornecimento de material e mao de obra"), 8)
+    score = score + points(has_items, 12) + points(has_documents, 4) + points(modality.isin(*SCORED_MODALITIES) if modality is not None else None, 4)
+    score = score + F.when(value >= 1_000_000, 8).when(value >= 100_000, 4).otherwise(0)
+    bare = some(MATERIALS) & ~rescued & (score < 60)
+    final = F.when(vetoed, 0).otherwise(F.least(F.lit(100), F.when(bare, F.least(score, F.lit(25))).otherwise(score)))
+    categories = F.when(vetoed, F.array().cast("array<string>")).otherwise(F.filter(F.array(*[F.when(hits[c] > 0, F.lit(c)) for c in sorted(WORKS)]), lambda c: c.isNotNull()))
+    matched = n(has(t) for t in sorted({t for ts in WORKS.values() for t in ts}))
+    any_ = F.size(categories) > 0
+    confidence = (
+        F.when((final >= 80) & any_ & (matched >= 2), "engenharia_confirmada").when((final >= 60) & any_, "engenharia_provavel").when((final >= 40) & any_, "revisao_necessaria").otherwise("nao_relacionado")
+    )
+    exclusion = F.when(~vetoed & bare, "material_isolado").otherwise(trade)
+    return {"score": final.cast("int"), "confidence": confidence, "engineering": (final >= 60) & any_, "categories": categories, "exclusion": exclusion}
 
 
 def keyword_class(text: Column, rules: list[tuple[str, tuple[str, ...]]], otherwise: str = "outros") -> Column:

@@ -28,8 +28,9 @@ def any_keyword(c: Column, words: Sequence[str]) -> Column:
 def keyword_rank(c: Column, words: Sequence[str]) -> Column:
     """How often the words stand in the folded text, each as a word of its own."""
     x = F.concat(F.lit(" "), F.regexp_replace(fold(c), "[^a-z0-9]+", "  "), F.lit(" "))
-    n = lambda w: ((F.length(x) - F.length(F.replace(x, F.lit(f" {w} "), F.lit("")))) / (len(w) + 2)).cast("int")
-    return sum((n(w) for w in words), F.lit(0))
+    n = lambda t, w: ((F.length(t) - F.length(F.replace(t, F.lit(f" {w} "), F.lit("")))) / (len(w) + 2)).cast("int")
+    # Through an array of one, so that the text is folded once for all words.
+    return F.get(F.transform(F.array(x), lambda t: sum((n(t, w) for w in words), F.lit(0))), F.lit(0))
 
 
 def search(df: DataFrame, text_col: str, id_col: str, words: Sequence[str], equal: dict[str, Sequence] | None = None, least: dict[str, object] | None = None, most: dict[str, object] | None = None, limit: int = 20, offset: int = 0) -> DataFrame:

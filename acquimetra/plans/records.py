@@ -208,7 +208,7 @@ def snapshot_reconcile(spark: SparkSession, d: str) -> DataFrame:
 SELECT id, array_to_string(f, ',') AS changed, CAST(len(f) AS INTEGER) AS n_changed FROM x WHERE len(f) > 0""")
 def run_diff_changed_fields(spark: SparkSession, d: str) -> DataFrame:
     old, new = _snapshots(spark, d)
-    return M.changed_fields(old.union(old.limit(0)), new, ["id"], ["id", "value"], ["status", "value", "day"])
+    return M.changed_fields(old, new, ["id"], ["id", "value"], ["status", "value", "day"])
 
 
 @query("delta_status", f"""WITH o AS (SELECT id, value, CAST(day + 20 AS DATE) AS due FROM ({_OLD})), n AS (SELECT id, value, CAST(day + 20 AS DATE) AS due FROM ({_NEW})), x AS (SELECT n.*, o.id IS NULL AS fresh, date_diff('day', DATE '1999-06-01', n.due) AS now_days, date_diff('day', DATE '1999-05-20', o.due) AS then_days, abs(CAST(n.value AS DOUBLE) - CAST(o.value AS DOUBLE)) / abs(CAST(o.value AS DOUBLE)) AS moved FROM n LEFT JOIN o ON n.id = o.id)

@@ -129,13 +129,28 @@ def openness_recommendation(spark: SparkSession, d: str) -> DataFrame:
     return t.select(F.col("order_id").alias("id"), R.ladder((due & (F.col("status") == "O"), "apply"), (due, "verify"), otherwise="discard").alias("recommendation"))
 
 
-@query("engineering_classifier", """WITH x AS (SELECT p_partkey AS id, p_name || CASE p_partkey % 5 WHEN 0 THEN ' obra de drenagem' WHEN 1 THEN ' laudo e projeto' WHEN 2 THEN ' software' WHEN 3 THEN ' combustivel para obra predial' ELSE '' END AS s, p_retailprice AS v FROM part), k AS (SELECT id, (contains(s, 'obra')::INT + contains(s, 'drenagem')::INT) * 3 + contains(s, 'laudo')::INT + contains(s, 'projeto')::INT + (v >= 100000)::INT AS raw, (contains(s, 'software') OR contains(s, 'combustivel')) AND NOT contains(s, 'predial') AS veto FROM x)
-SELECT id, CAST(CASE WHEN veto THEN 0 ELSE raw END AS INTEGER) AS score, NOT veto AND raw >= 3 AS engineering FROM k""")
+# Texts and, worked out by hand from the rules, their points without the value's, categories and what excludes them.
+_WORKS = [
+    ("Obra de drenagem", 64, "DRENAGEM,OUTROS_SERVICOS_DE_ENGENHARIA_CIVIL", None),
+    ("laudo e projeto", 12, "LAUDOS_E_PERICIAS", None),
+    ("engenharia de software", None, "", "software_only"),
+    ("fornecimento de cimento", 0, "", "material_isolado"),
+    ("Execução de pavimentação e drenagem por empresa especializada, obra na rodovia", 130, "DRENAGEM,INFRAESTRUTURA_RODOVIARIA,OUTROS_SERVICOS_DE_ENGENHARIA_CIVIL,PAVIMENTACAO", None),
+    ("licença de software para obra", 32, "OUTROS_SERVICOS_DE_ENGENHARIA_CIVIL", "software_only"),
+    ("software", 0, "", None),
+    ("topografia e sondagem, laudo, viaduto", 48, "LAUDOS_E_PERICIAS,PONTES_E_OBRAS_DE_ARTE,SONDAGEM,TOPOGRAFIA", None),
+]
+_WORK_ROWS = ", ".join(f"({i}, {'NULL' if p is None else p}, '{c}', {'NULL' if e is None else repr(e)})" for i, (_, p, c, e) in enumerate(_WORKS))
+
+
+@query("engineering_classifier", f"""WITH w(i, points, categories, exclusion) AS (VALUES {_WORK_ROWS}), x AS (SELECT p_partkey AS id, w.*, CASE WHEN p_retailprice * 1000 >= 1000000 THEN 8 WHEN p_retailprice * 1000 >= 100000 THEN 4 ELSE 0 END + CASE WHEN p_partkey % 14 BETWEEN 4 AND 9 OR p_partkey % 14 IN (11, 12) THEN 4 ELSE 0 END AS more FROM part JOIN w ON p_partkey % 8 = i),
+k AS (SELECT *, CAST(CASE WHEN points IS NULL THEN 0 WHEN exclusion = 'material_isolado' THEN least(points + more, 25) ELSE least(points + more, 100) END AS INTEGER) AS score FROM x)
+SELECT id, score, CASE WHEN categories = '' OR score < 40 THEN 'nao_relacionado' WHEN score < 60 THEN 'revisao_necessaria' WHEN score < 80 THEN 'engenharia_provavel' ELSE 'engenharia_confirmada' END AS confidence, categories <> '' AND score >= 60 AS engineering, categories, exclusion FROM k""")
 def engineering_classifier(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey")
-    tail = F.when(k % 5 == 0, " obra de drenagem").when(k % 5 == 1, " laudo e projeto").when(k % 5 == 2, " software").when(k % 5 == 3, " combustivel para obra predial").otherwise("")
-    score, yes = G.engineering_class(F.concat(F.col("p_name"), tail), F.col("p_retailprice"))
-    return Tables(spark, d).part.select(k.alias("id"), score.cast("int").alias("score"), yes.alias("engineering"))
+    subject = F.get(F.array(*[F.lit(w[0]) for w in _WORKS]), (k % 8).cast("int"))
+    c = G.engineering_class(subject, F.col("p_retailprice") * 1000, (k % 14).cast("int"))
+    return Tables(spark, d).part.select(k.alias("id"), c["score"].alias("score"), c["confidence"].alias("confidence"), c["engineering"].alias("engineering"), F.array_join(c["categories"], ",").alias("categories"), c["exclusion"].alias("exclusion"))
 
 
 @query("stream_ingest")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -15,3 +17,14 @@ class Tables:
         if name.startswith("_"):
             raise AttributeError(name)
         return self._spark.read.parquet(f"{self._folder}/{name}.parquet")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the folder that ``spark.checkpoint.dir`` names; a temporary one only where that is unset and Spark runs on one machine (tests)."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="acquimetra-"))
+    return df.checkpoint()

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from acquimetra.functions import text
-from acquimetra.operators import matching, merge, relational
+from acquimetra.operators import matching, merge, relational, scoring
 
 
 def rows(df, *cols):
@@ -86,6 +86,28 @@ def test_text_functions(spark):
     assert tuple(got) == ("12345678", "12345678000195", "prefeitura  de sao jose", "1/2026")
 
 
+def test_similar_pairs_expands_equal_sets(spark):
+    df = spark.createDataFrame([(i, "alpha beta gamma delta", None if i == 9 else "u") for i in (5, 2, 9, 7)], "id int, t string, block string")
+    assert rows(matching.similar_pairs(df, "id", "t", ["block"]), "a", "b", "similarity") == [(2, 5, 1.0), (2, 7, 1.0), (5, 7, 1.0)]
+
+
+def test_engineering_class_by_hand(spark):
+    cases = {
+        "Engenharia de software": (0, "nao_relacionado", "software_only"),
+        "aquisição de cimento para a escola": (12, "nao_relacionado", "material_isolado"),
+        "reforma da escola e da creche": (12 + 12, "nao_relacionado", None),
+        "fornecimento de material e mão de obra, obra de pavimentação": (20 + 20 + 24 + 8, "engenharia_provavel", None),
+        "execução de obra de drenagem por empresa especializada": (20 + 20 + 24 + 12 + 10, "engenharia_confirmada", None),
+        None: (0, "nao_relacionado", None),
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "i int, t string")
+    c = scoring.engineering_class(F.col("t"), F.lit(None).cast("double"))
+    got = df.select("i", c["score"], c["confidence"], c["exclusion"]).orderBy("i").collect()
+    assert [tuple(r)[1:] for r in got] == list(cases.values())
+    more = scoring.engineering_class(F.col("t"), F.lit(1_000_000.0), F.lit(6), F.lit(True), F.lit(True))
+    assert df.where("t like 'reforma%'").select(more["score"]).first()[0] == 24 + 12 + 4 + 4 + 8
+
+
 def test_indel_ratio():
     assert matching.indel_ratio("abc", "abc") == 1.0
     assert matching.indel_ratio("abcd", "abed") == 0.75

@@ -59,6 +59,22 @@ def test_greedy_dedup(spark):
     assert {r.id: r.dropped_for for r in matching.greedy_keep(df, "id", "t", ["block"]).collect()} == {0: None, 1: 0, 2: None, 3: None, 4: None}
 
 
+def test_greedy_dedup_equals_a_loop(spark):
+    """Chains in which a dropped row must not drop others, equal sets, and a null block."""
+    texts = [" ".join(f"word{(i * 3 // 2 + k) % 60}" for k in range(20 + i % 2)) for i in range(60)] + ["", "word1 word2"]
+    docs = [(i, texts[i % len(texts)], None if i % 5 == 0 else "b") for i in range(150)]
+    want, kept = {}, []
+    for i, t, b in docs:
+        s = set(t.split())
+        want[i] = next((k for k, o, c in kept if c == b and s and o and len(s & o) >= 0.85 * len(s | o)), None)
+        if want[i] is None:
+            kept.append((i, s, b))
+    assert any(k is not None and texts[k % 62] != texts[i % 62] for i, k in want.items())
+    df = spark.createDataFrame(docs, "id long, t string, block string")
+    assert {r.id: r.dropped_for for r in matching.greedy_keep(df, "id", "t", ["block"]).collect()} == want
+    assert matching.greedy_keep(df.limit(0), "id", "t", ["block"]).count() == 0
+
+
 def test_stream_ingest_is_repeatable(spark, sf_dir):
     first, second = (sorted(map(str, QUERIES["stream_ingest"](spark, sf_dir).collect())) for _ in range(2))
     assert first and first == second
