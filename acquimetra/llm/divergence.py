@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, table
+from .shared import cut, drop, table
 
 #: Documents of a language that have to hold a term, the count added to every term, ranks reported of terms.
 LEAST_DOCS, SMOOTH, TOP_TERMS = 30, 5, 50
@@ -132,10 +132,11 @@ def term_values(words: DataFrame) -> DataFrame:
 def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, smooth: int = SMOOTH, top_terms: int = TOP_TERMS) -> DataFrame:
     """(lang, source, part, item, value, rank): part ``pair`` with every other source of the language, part ``term`` with the ``top_terms`` most telling terms."""
     spark = docs.sparkSession
-    terms, _ = cut(kept_terms(docs, least_docs), "kept-terms")
+    terms, terms_path = cut(kept_terms(docs, least_docs), "kept-terms")
     langs, _ = cut(sources_of(docs, terms, smooth), "lang-sources")
     few = langs.agg(F.coalesce(F.sum(F.size("groups")), F.lit(0))).first()[0] <= BROADCAST_GROUPS
     words, _ = cut(wide(terms, F.broadcast(langs) if few else langs.hint("merge"), smooth), "wide-terms")
+    drop(spark, terms_path)
     ranked = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     out = None
     for part, rows, most in (("pair", pair_values(words, langs), None), ("term", term_values(words), top_terms)):
