@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accented letters and what they become.
-ACCENTED = "áàâãäéèêëíìîïóòôõöúùûüçñ"
-PLAIN = "aaaaaeeeeiiiiooooouuuucn"
+#: Accented Latin letters in lower case and what they become, as their canonical decomposition has it; bare accents go.
+_BASES = {c: unicodedata.normalize("NFKD", c)[0] for c in map(chr, [*range(0xDF, 0x250), *range(0x1E00, 0x1F00)]) if c == c.lower() and len(c.upper()) == 1}
+ACCENTED_LETTERS = "".join(c for c, base in _BASES.items() if base.isascii() and base.isalpha())
+PLAIN = "".join(_BASES[c] for c in ACCENTED_LETTERS)
+ACCENTED = ACCENTED_LETTERS + "".join(map(chr, range(0x300, 0x370)))
 # Words that carry no meaning in object descriptions.
 STOPWORDS = ("a", "o", "de", "da", "do", "das", "dos", "e", "em", "no", "na", "para", "por", "com", "the", "of", "and", "to", "in", "is")
 # Abbreviations in agency names and what they stand for.
@@ -39,6 +43,16 @@ def fold(c: Column) -> Column:
     return F.replace(F.translate(F.lower(c), ACCENTED, PLAIN), F.lit("ß"), F.lit("ss"))
 
 
+def fold_in_place(c: Column) -> Column:
+    """Like ``fold``, but every character keeps its place."""
+    return F.translate(F.lower(c), ACCENTED_LETTERS, PLAIN)
+
+
+def collapse(c: Column) -> Column:
+    """Runs of white space become one blank, those at the ends go; ordinal marks become letters; null is empty."""
+    return F.trim(F.regexp_replace(F.translate(F.coalesce(c, F.lit("")), "ºª\u00a0", "oa "), r"\s+", " "))
+
+
 def normalize_name(c: Column) -> Column:
     """Upper case ASCII, punctuation to spaces, without runs of 8 to 14 digits, abbreviations spelled out."""
     x = F.regexp_replace(F.upper(fold(c)), "[^A-Z0-9 ]", " ")
