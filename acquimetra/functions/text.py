@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from pyspark.sql import Column
@@ -21,6 +22,11 @@ ABBREVIATIONS = {
 }
 
 
+#: Endings that a stem does without: a stem keeps three letters or more and loses the longest ending.
+ENDINGS = "amentos|amento|imentos|imento|acoes|acao|icoes|icao|idades|idade|mente|oes|aes|aos|ais|eis|ns|as|os|es|ao|a|e|o|s|m"
+_STEM = f"^(.{{3,}}?)(?:{ENDINGS})$"
+
+
 def digits_only(c: Column) -> Column:
     return F.regexp_replace(c, "[^0-9]", "")
 
@@ -43,6 +49,20 @@ def fold(c: Column) -> Column:
     return F.replace(F.translate(F.lower(c), ACCENTED, PLAIN), F.lit("ß"), F.lit("ss"))
 
 
+def folded(x: str) -> str:
+    """The same for a Python string, such as a query's."""
+    return x.lower().translate({ord(a): (PLAIN[i] if i < len(PLAIN) else None) for i, a in enumerate(ACCENTED)}).replace("ß", "ss")
+
+
+def stem(c: Column) -> Column:
+    """A folded word without its ending."""
+    return F.regexp_replace(c, _STEM, "$1")
+
+
+def stemmed(w: str) -> str:
+    return re.sub(_STEM, r"\1", w)
+
+
 def fold_in_place(c: Column) -> Column:
     """Like ``fold``, but every character keeps its place."""
     return F.translate(F.lower(c), ACCENTED_LETTERS, PLAIN)
