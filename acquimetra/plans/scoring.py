@@ -10,7 +10,7 @@ from acquimetra.operators import relational as R
 from acquimetra.operators import scoring as G
 from acquimetra.sources.canonical import CONTRACTS_SQL as C
 from acquimetra.sources.canonical import contracts, tenders
-from acquimetra.sources.tables import Tables
+from acquimetra.sources.tables import Tables, checkpointed, remove, shared_folder
 
 AS_OF = "1999-06-01"
 
@@ -156,13 +156,13 @@ def engineering_classifier(spark: SparkSession, d: str) -> DataFrame:
 @query("stream_ingest")
 def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     """Events as micro-batches from a file source into a keyed state; what fails the rules goes aside."""
-    import uuid
-
     from acquimetra.streaming import ingest
 
-    home = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')}/ingest-{uuid.uuid4().hex}"
+    home = shared_folder(spark, "ingest")
     landing = f"{home}/landing"
     Tables(spark, d).events.repartition(3, "event_id").write.parquet(landing)
     schema = spark.read.parquet(landing).schema
     ingest.ingest_available(spark, landing, schema, ["user_id", "event_type"], ["ts", "event_id"], {"has_value": "value >= 0", "has_user": "user_id is not null"}, f"{home}/state", f"{home}/checkpoint")
-    return ingest.current(spark, f"{home}/state", ["user_id", "event_type"], ["ts", "event_id"])
+    out = checkpointed(ingest.current(spark, f"{home}/state", ["user_id", "event_type"], ["ts", "event_id"]))
+    remove(spark, home)
+    return out
