@@ -27,6 +27,14 @@ ENDINGS = "amentos|amento|imentos|imento|acoes|acao|icoes|icao|idades|idade|ment
 _STEM = f"^(.{{3,}}?)(?:{ENDINGS})$"
 
 
+# Acronyms of public bodies and what they stand for.
+ACRONYMS = {
+    "PMF": "PREFEITURA MUNICIPAL DE", "FMS": "FUNDO MUNICIPAL DE SAUDE", "FUS": "FUNDO DE URBANIZACAO", "FMAS": "FUNDO MUNICIPAL DE ASSISTENCIA SOCIAL", "FME": "FUNDO MUNICIPAL DE EDUCACAO",
+    "CMDCA": "CONSELHO MUNICIPAL DOS DIREITOS DA CRIANCA E DO ADOLESCENTE", "IPUF": "INSTITUTO DE PLANEJAMENTO URBANO DE", "CASAN": "COMPANHIA CATARINENSE DE AGUAS E SANEAMENTO",
+    "CELESC": "CENTRAIS ELETRICAS DE SANTA CATARINA", "DEINFRA": "DEPARTAMENTO DE INFRAESTRUTURA DE SANTA CATARINA",
+}
+
+
 def digits_only(c: Column) -> Column:
     return F.regexp_replace(c, "[^0-9]", "")
 
@@ -74,22 +82,30 @@ def collapse(c: Column) -> Column:
 
 
 def normalize_name(c: Column) -> Column:
-    """Upper case ASCII, punctuation to spaces, without runs of 8 to 14 digits, abbreviations spelled out."""
-    x = F.regexp_replace(F.upper(fold(c)), "[^A-Z0-9 ]", " ")
-    x = F.regexp_replace(x, r"(^| )[0-9]{8,14}( |$)", " ")
-    x = F.trim(F.regexp_replace(x, " +", " "))
-    x = F.concat(F.lit(" "), x, F.lit(" "))
-    for short, full in sorted(ABBREVIATIONS.items(), key=lambda x: -len(x[0])):  # those of two words first
-        x = F.replace(x, F.lit(f" {short} "), F.lit(f" {full} "))
-    return F.trim(x)
+    """Upper case ASCII, punctuation to spaces, without numbers of 8 to 14 digits, abbreviations and then acronyms spelled out; null is empty."""
+    x = F.regexp_replace(F.upper(fold(F.coalesce(c, F.lit("")))), r"[^\x00-\x7F]", "")
+    x = F.regexp_replace(F.regexp_replace(x, r"[^A-Z0-9_\s]", " "), r"\b[0-9]{8,14}\b", "")
+    x = F.trim(F.regexp_replace(x, r"\s+", " "))
+    for words in (ABBREVIATIONS, ACRONYMS):
+        for short, full in sorted(words.items(), key=lambda kv: -len(kv[0])):  # those of two words first
+            x = F.regexp_replace(x, rf"\b{short}\b", full)
+    return x
 
 
 def aliases(c: Column) -> Column:
-    """Other names under which an agency may sign, from its normalized name."""
-    cut = lambda prefix: F.when(c.startswith(prefix), F.trim(F.substring(c, len(prefix) + 1, 1000)))
-    add = lambda prefix: F.when(~c.startswith(prefix), F.concat(F.lit(prefix), c))
-    made = F.array(cut("PREFEITURA MUNICIPAL DE "), cut("MUNICIPIO DE "), cut("CAMARA MUNICIPAL DE "), add("PREFEITURA MUNICIPAL DE "), add("MUNICIPIO DE "))
-    return F.array_distinct(F.filter(made, lambda x: x.isNotNull() & (x != "")))
+    """Other names under which an agency may sign, from its normalized name; without repeats, in the order of the rules."""
+    after = lambda start: F.when(c.startswith(start), F.substr(c, F.lit(len(start) + 1)))
+    before = lambda end: F.when(c.endswith(end), F.left(c, F.length(c) - len(end)))
+    put = lambda town, start="", end="": F.when(town.isNotNull(), F.trim(F.concat(F.lit(start), town, F.lit(end))))
+    made = F.array(
+        put(after("PREFEITURA MUNICIPAL DE "), "MUNICIPIO DE "),
+        put(after("PREFEITURA DE "), "MUNICIPIO DE "),
+        put(after("CAMARA DE VEREADORES DE "), end=" CAMARA DE VEREADORES"),
+        put(before(" CAMARA DE VEREADORES"), "CAMARA DE VEREADORES DE "),
+        put(after("CAMARA MUNICIPAL DE "), end=" CAMARA MUNICIPAL"),
+        put(after("CAMARA MUNICIPAL DE VEREADORES DE "), end=" CAMARA MUNICIPAL DE VEREADORES"),
+    )
+    return F.array_distinct(F.array_compact(made))
 
 
 def tokens(c: Column, least: int = 3) -> Column:

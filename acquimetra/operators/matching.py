@@ -179,6 +179,19 @@ def greedy_clusters(df: DataFrame, id_col: str, lat: str, lon: str, value: str,
     return rows.groupBy("region").applyInPandas(solve, f"id long, region {kind}, cluster int, km_to_seed double")
 
 
+def settled(links: DataFrame) -> DataFrame:
+    """(b) of the rows that go: links (a, b), a before b, are taken in order; a row goes if it links to a row before it that stays.
+
+    A round keeps what has no open link to an earlier row and drops what links to it.
+    """
+    edges, rounds = links, []
+    while not edges.isEmpty():
+        kept = edges.select("a").distinct().join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+        rounds.append(checkpointed(edges.join(kept, "a").select("b").distinct()))
+        edges = checkpointed(edges.join(rounds[-1], "b", "left_anti").join(rounds[-1].select(F.col("b").alias("a")), "a", "left_anti"))
+    return reduce(DataFrame.union, rounds, links.select("b").limit(0))
+
+
 def greedy_keep(df: DataFrame, id_col: str, text_col: str, block: Sequence[str], least: float = 0.85) -> DataFrame:
     """(id, dropped_for): by rising id within a block, a row goes if a row kept before it is alike, and names the least such row. Nulls are a block of their own.
 
@@ -188,12 +201,7 @@ def greedy_keep(df: DataFrame, id_col: str, text_col: str, block: Sequence[str],
     own = _token_sets(df.withColumn(id_col, F.col(id_col).cast("long")), id_col, text_col, block)
     reps, links = _set_links(own, least)
     links = checkpointed(links.select("a", "b"))
-    edges, rounds = links, []
-    while not edges.isEmpty():
-        kept = edges.select("a").distinct().join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
-        rounds.append(checkpointed(edges.join(kept, "a").select("b").distinct()))
-        edges = checkpointed(edges.join(rounds[-1], "b", "left_anti").join(rounds[-1].select(F.col("b").alias("a")), "a", "left_anti"))
-    gone = reduce(DataFrame.union, rounds, links.select("b").limit(0))
+    gone = settled(links)
     fell = links.join(gone, "b", "left_semi").join(gone.select(F.col("b").alias("a")), "a", "left_anti").groupBy(F.col("b").alias("rep")).agg(F.min("a").alias("to"))
     named = own.join(reps, ["block", "t"], "left").join(fell, "rep", "left")
     return named.select("id", F.coalesce("to", F.when(F.col("id") != F.col("rep"), F.col("rep"))).alias("dropped_for"))

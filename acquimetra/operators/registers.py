@@ -9,13 +9,30 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from acquimetra.functions.text import digits_only
+from acquimetra.sources.tables import checkpointed
 
 # Digits by which a tax id's two check digits are weighed.
 TAX_WEIGHTS = ((5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2), (6, 5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2))
 # The federation's states.
 STATES = "AC AL AP AM BA CE DF ES GO MA MT MS MG PA PB PR PE PI RJ RN RS RO RR SC SP SE TO".split()
-# Words of engineering firms, prefixes of public bodies, legal forms.
-FIRM_WORDS, PUBLIC_PREFIXES, LEGAL_FORMS = "engenharia|construtora|construcoes|obras|pavimentacao|empreiteira|terraplanagem", "^(municipio|prefeitura|estado|fundo|secretaria|camara|governo)", r"\b(ltda|s/?a|eireli|me|epp)\.?$"
+# Parts of words of engineering firms, in lower case; how names of public bodies begin; foundations that are public; and the legal forms of firms, as parts of a name and as its beginning.
+FIRM_WORDS = (
+    "engenh", "constru", "obra", "edific", "paviment", "saneamento", "infraestrutura", "incorporadora", "empreiteira", "construtora", "terraplenagem", "fundacao", "estrutura", "predial", "rodovi", "drenagem", "asfalto", "concreto", "reforma", "arquitet",
+)
+PUBLIC_PREFIXES = (
+    "MUNICIPIO DE", "MUNICÍPIO DE", "PREFEITURA", "SECRETARIA", "CAMARA MUNICIPAL", "CÂMARA MUNICIPAL", "GOVERNO", "MINISTERIO", "MINISTÉRIO", "TRIBUNAL", "ASSEMBLEIA", "ASSEMBLÉIA", "DEFENSORIA", "PROCURADORIA", "POLICIA", "POLÍCIA",
+    "FUNDO MUNICIPAL", "DEPARTAMENTO DE", "SERVICO AUTONOMO", "SERVIÇO AUTÔNOMO", "SERVICO MUNICIPAL", "SERVIÇO MUNICIPAL", "AUTARQUIA", "AGENCIA REGULADORA", "AGÊNCIA REGULADORA", "INSTITUTO MUNICIPAL", "INSTITUTO ESTADUAL",
+    "CONSELHO REGIONAL", "CONSELHO MUNICIPAL", "CORPO DE BOMBEIROS", "ESTADO DE", "SENADO FEDERAL", "UNIAO FEDERAL", "SUPERINTENDENCIA", "COORDENADORIA", "COMANDO", "DELEGACIA", "FUNDO ESTADUAL", "FUNDO NACIONAL",
+)
+PUBLIC_FOUNDATIONS = ("FUNDACAO MUNICIPAL", "FUNDACAO ESTADUAL", "FUNDAÇÃO MUNICIPAL", "FUNDAÇÃO ESTADUAL")
+LEGAL_PARTS = ("LTDA", "S.A.", "S/A", "EIRELI", "ME ", "MEI", "- ME")
+LEGAL_STARTS = ("FUNDACAO", "FUNDAÇÃO", "INSTITUTO", "COOPERATIVA")
+# Categories of notices that a portfolio may hold, and what a correlated one's efficiency is worth.
+ELIGIBLE, CORRELATED = ("QUICK_WIN", "OPORTUNIDADE", "INVESTIMENTO"), 0.7
+# Share of the median discount that a bid leans on, share of the careful bid, cost as a share of the estimate, rows for a benchmark and for high confidence.
+LEAN, CAREFUL, COST, LEAST_ROWS, SURE_ROWS = 0.85, 0.5, 0.80, 3, 5
+# Words that say nothing in notices.
+NOTICE_STOPWORDS = ("de", "da", "do", "das", "dos", "para", "com", "por", "em", "no", "na", "nos", "nas", "ao", "aos", "a", "o", "as", "os", "e", "ou")
 
 
 def capable(sources: DataFrame, capability: str) -> DataFrame:
@@ -99,30 +116,70 @@ def valid_range(begin: Column, end: Column, most_days: int = 365) -> Column:
 
 
 def is_engineering_firm(name: Column) -> Column:
-    """By a word of the trade and a legal form, and not a public body."""
-    n = F.lower(name)
-    return F.coalesce(n.rlike(FIRM_WORDS) & ~n.rlike(PUBLIC_PREFIXES) & n.rlike(LEGAL_FORMS), F.lit(False))
+    """By a word of the trade and a legal form, and not a public body; null is none."""
+    low, up = F.lower(name), F.upper(name)
+    some = lambda tests: F.greatest(*tests)
+    trade = some([F.contains(low, F.lit(w)) for w in FIRM_WORDS])
+    public = some([F.startswith(up, F.lit(p)) for p in (*PUBLIC_PREFIXES, *PUBLIC_FOUNDATIONS)])
+    form = some([*[F.contains(up, F.lit(p)) for p in LEGAL_PARTS], *[F.startswith(up, F.lit(p)) for p in LEGAL_STARTS]])
+    return F.coalesce(trade & ~public & form, F.lit(False))
 
 
-def chosen(df: DataFrame, group: str, id_col: str, score: str, kind: str, capacity: int, discount: float = 0.9) -> DataFrame:
-    """(group, id, pick, value): the best of each group up to its capacity, each further one of a kind worth ``discount`` times as much as the one before.
+def chosen(df: DataFrame, group: str, id_col: str, most: int = 5, most_value: float = 0.0, default_cost: float = 1.0) -> DataFrame:
+    """(group, id, pick, value, roi_expected, roi_cumulative, correlated): the best notices of each group until a count or a total value is reached.
 
-    In a kind the better row is always worth taking first, so a row's worth is its score discounted by its place in its kind, and the
-    greedy choice is the top of that order; picks of equal worth go by id.
+    df: (group, id, category, value, cost, roi_min, roi_max, cluster). Notices of other than ``ELIGIBLE`` categories take no part; the order is return over cost,
+    ties by id; the notice that would bring the total over ``most_value`` (0: no bound) ends the choice. correlated marks
+    notices of a cluster that one was chosen from before; it only tells, at ``CORRELATED`` of its efficiency. Null numbers are 0.
     """
-    place = F.row_number().over(W.partitionBy(group, kind).orderBy(F.desc(score), id_col)) - 1
-    worth = df.where(F.col(score) > 0).select(group, id_col, (F.col(score) * F.pow(F.lit(discount), place)).alias("value"))
-    return worth.withColumn("pick", F.row_number().over(W.partitionBy(group).orderBy(F.desc("value"), id_col))).where(F.col("pick") <= capacity)
-
-
-def suggested_bid(values: DataFrame, keys: Sequence[str], estimate: str, value: str, least: int = 5, lean: float = 0.85) -> DataFrame:
-    """Benchmark of a group: n, median discount (1 - value / estimate), and the factor of the estimate to bid at ``lean`` times that discount; too few rows give none."""
+    num = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    cost = F.when(num("cost") > 0, num("cost")).otherwise(default_cost)
+    best, worst = num("roi_max"), num("roi_min")
+    x = df.where(F.col("category").isin(*ELIGIBLE)).select(
+        group, id_col, "cluster", num("value").alias("value"), (F.when(best > 0, best).otherwise(worst) / cost).alias("efficiency"), F.when(worst != 0, (best + worst) / 2).otherwise(best).alias("roi_expected")
+    )
+    order = W.partitionBy(group).orderBy(F.desc("efficiency"), id_col)
+    first = x.withColumn("pick", F.row_number().over(order)).where(F.col("pick") <= most)  # at most so many rows a group from here on
+    run = W.partitionBy(group).orderBy("pick").rowsBetween(W.unboundedPreceding, 0)
+    total = F.sum("value").over(run)
+    kept = first.withColumn("_total", total).withColumn("_over", F.max(F.col("_total")).over(run))
+    kept = kept.where(F.col("_over") <= most_value) if most_value > 0 else kept
+    seen = F.count(F.lit(1)).over(W.partitionBy(group, "cluster").orderBy("pick").rowsBetween(W.unboundedPreceding, 0)) > 1
+    return kept.select(group, id_col, "pick", "value", "roi_expected", F.sum("roi_expected").over(run).alias("roi_cumulative"), (F.col("cluster").isNotNull() & seen).alias("correlated"))
+
+
+def discount_benchmark(values: DataFrame, keys: Sequence[str], estimate: str, value: str) -> DataFrame:
+    """(keys, n, mean, p25, p50, p75, sample) of the discounts (1 - value / estimate) of each group that lie between -1 and 1, four digits; with fewer than ``LEAST_ROWS`` they are null."""
     from .relational import quantiles
 
-    rows = values.where((F.col(estimate) > 0) & (F.col(value) > 0)).select(*keys, (1 - F.col(value).cast("double") / F.col(estimate).cast("double")).alias("discount"))
+    x = 1 - F.col(value).cast("double") / F.col(estimate).cast("double")
+    rows = values.where((F.col(estimate) > 0) & (F.col(value) > 0)).select(*keys, x.alias("discount")).where("discount between -1 and 1")
     g = quantiles(rows, list(keys), "discount", (0.25, 0.5, 0.75))
-    enough = F.col("n") >= least
-    return g.select(*keys, "n", "p25", "p50", "p75", F.when(enough, 1 - F.col("p50") * lean).alias("bid_factor"), F.when(enough, "OK").otherwise("INSUFFICIENT").alias("status"))
+    mean = rows.groupBy(*keys).agg(F.avg("discount").alias("mean"))
+    enough = F.col("n") >= LEAST_ROWS
+    return g.join(mean, list(keys)).select(*keys, "n", *[F.when(enough, F.round(c, 4)).alias(c) for c in ("mean", "p25", "p50", "p75")], F.when(enough, "OK").otherwise("INSUFFICIENT").alias("sample"))
+
+
+def suggested_bid(tenders: DataFrame, benchmark: DataFrame, keys: Sequence[str], estimate: str) -> DataFrame:
+    """``tenders`` with the range that an agency's discounts suggest and a bid within it.
+
+    least and most are the estimate at the upper and lower quartile; bid leans on ``LEAN`` of the median discount, aggressive on all of it, careful on
+    ``CAREFUL``; margin is what the bid leaves over a cost of ``COST``, in percent. Without a benchmark, an estimate or a median they are null.
+    """
+    b = benchmark.where("sample = 'OK'").select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("n").alias("_n"), F.col("p25").alias("_p25"), F.col("p50").alias("_p50"), F.col("p75").alias("_p75"))
+    x = tenders.join(b, [F.col(k) == F.col(f"_{k}") for k in keys], "left")
+    # Money is reckoned in decimals, so that half a cent is rounded up everywhere.
+    share = lambda c: F.col(c).cast("decimal(10,6)")
+    v, p50 = F.when(F.col(estimate) > 0, F.col(estimate).cast("decimal(18,2)")), F.when(F.col("_p50") != 0, share("_p50"))
+    of = lambda discount, part=1: (discount * F.lit(part).cast("decimal(4,2)")).cast("decimal(12,6)")
+    at = lambda discount: F.round(v * (F.lit(1) - discount), 2).cast("double")
+    lean = of(p50, LEAN)
+    margin = ((F.lit(1) - lean) / F.lit(COST).cast("decimal(4,2)") - 1) * 100
+    x = x.withColumns({
+        "least": at(share("_p75")), "most": at(share("_p25")), "bid": at(lean), "discount_pct": F.when(v.isNotNull(), F.round(lean * 100, 1).cast("double")), "aggressive": at(p50), "careful": at(of(p50, CAREFUL)),
+        "margin_pct": F.when(v.isNotNull(), F.round(margin, 1).cast("double")), "confidence": F.when(v.isNotNull() & p50.isNotNull(), F.when(F.col("_n") >= SURE_ROWS, "ALTA").otherwise("MEDIA")),
+    })
+    return x.drop("_n", "_p25", "_p50", "_p75", *[f"_{k}" for k in keys])
 
 
 def failed_checks(df: DataFrame, id_col: str, checks: dict[str, Column]) -> DataFrame:
@@ -130,23 +187,78 @@ def failed_checks(df: DataFrame, id_col: str, checks: dict[str, Column]) -> Data
     return df.select(id_col, F.explode(F.filter(F.array(*[F.when(~F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in checks.items()]), lambda x: x.isNotNull())).alias("check"))
 
 
-def calibration(outcomes: DataFrame, score: str, won: str, width: int = 20) -> DataFrame:
-    """(bucket, n, wins, rate) of scores from 0 to 100 against what came of them."""
-    b = F.least(F.floor(F.col(score) / width) * width, F.lit(100 - width)).cast("int")
-    g = outcomes.where(F.col(score).isNotNull() & F.col(won).isNotNull()).groupBy(b.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.count_if(won).alias("wins"))
-    return g.withColumn("rate", F.col("wins") / F.col("n"))
-
-
-def similar_notices(df: DataFrame, id_col: str, keys: Sequence[str], value: str, words: Column, spread: float = 0.15, overlap: float = 0.8) -> DataFrame:
-    """(a, b, overlap): rows of one agency and state whose values lie within ``spread`` of each other and whose words overlap (of the smaller set) by more than ``overlap``.
+def calibration(outcomes: DataFrame, group: str) -> DataFrame:
+    """(group, total, wins, losses, no_bids, win_rate, score_wins, score_losses, threshold, proposed, won, recovery) of what came of bids.
 
-    Pairs meet in value bands on a logarithmic scale, own and next, so an agency's rows do not all meet.
+    outcomes: (group, outcome: win, loss or no_bid, score, proposed, won). Scores that are null or 0 don't count; the threshold lies midway between the mean scores of
+    wins and losses, at nine tenths of the least score of wins where no loss has one, and at 0.45 where no win has one. recovery is the value won over the value proposed in wins.
+    """
+    is_ = lambda kind: F.col("outcome") == kind
+    score = lambda kind: F.when(is_(kind) & (F.col("score") != 0), F.col("score").cast("double"))
+    money = lambda c: F.coalesce(F.sum(F.when(is_("win"), F.col(c).cast("double"))), F.lit(0.0))
+    g = outcomes.groupBy(group).agg(
+        F.count(F.lit(1)).alias("total"), F.count_if(is_("win")).alias("wins"), F.count_if(is_("loss")).alias("losses"), F.count_if(is_("no_bid")).alias("no_bids"),
+        F.avg(score("win")).alias("_w"), F.avg(score("loss")).alias("_l"), F.min(score("win")).alias("_least"), money("proposed").alias("proposed"), money("won").alias("won"),
+    )
+    threshold = F.when(F.col("_w").isNotNull() & F.col("_l").isNotNull(), F.round((F.col("_w") + F.col("_l")) / 2, 3)).when(F.col("_w").isNotNull(), F.round(F.col("_least") * 0.9, 3)).otherwise(0.45)
+    return g.select(
+        group, "total", "wins", "losses", "no_bids", F.round(F.col("wins") / F.greatest(F.lit(1), F.col("wins") + F.col("losses")), 3).alias("win_rate"), F.round(F.coalesce("_w", F.lit(0.0)), 3).alias("score_wins"),
+        F.round(F.coalesce("_l", F.lit(0.0)), 3).alias("score_losses"), threshold.alias("threshold"), "proposed", "won", (F.col("won") / F.nullif(F.col("proposed"), F.lit(0.0))).alias("recovery"),
+    )
+
+
+def notice_words(c: Column) -> Column:
+    """Different words of a notice in lower case, of two letters or more, without those that say nothing."""
+    return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"\s+"), lambda w: (F.length(w) > 1) & ~w.isin(*NOTICE_STOPWORDS)))
+
+
+def _alike(df: DataFrame, at: Column, keys: Sequence[str], value: str, text: str, spread: float, overlap: float) -> tuple[DataFrame, DataFrame]:
+    """Members (at, rep: the first with its keys, value and words) and links (ra, rb, overlap), ra before rb, of what is alike.
+
+    Rows of equal words and values are one set. Sets meet by a rare word of theirs: sets so alike share one of their few rarest
+    words within a value band, so that neither an agency's rows nor those with a common word all meet.
+    """
+    v = F.coalesce(F.col(value).cast("double"), F.lit(0.0))
+    step = F.log(F.lit(1 / (1 - spread)))
+    band = F.when(v > 0, F.floor(F.log(v) / step).cast("long")).otherwise(F.lit(-(1 << 40)))
+    rows = df.where(" and ".join(f"{k} is not null" for k in keys)).select(at.alias("at"), F.struct(*keys).alias("k"), F.when(v > 0, v).otherwise(F.lit(0.0)).alias("v"), F.array_sort(notice_words(F.col(text))).alias("w"), band.alias("band")).where(F.size("w") > 0)
+    sets = checkpointed(rows.groupBy("k", "band", "v", "w").agg(F.min("at").alias("rep")))
+    n = F.size("w")
+    each = sets.select("rep", "k", "band", n.alias("n"), F.explode("w").alias("word"))
+    rarity = each.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    ranked = each.join(rarity, "word").groupBy("rep", "k", "band", "n").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("o"))
+    prefix = (F.col("n") - F.ceil(F.col("n") * overlap - 1e-9) + 1).cast("int")
+    first = ranked.select("rep", "k", "band", F.explode(F.slice("o.word", F.lit(1), prefix)).alias("word"))
+    left = first.select("k", "word", F.col("rep").alias("ra"), F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"))
+    right = first.select("k", "word", F.col("rep").alias("rb"), "band")
+    met = left.join(right, ["k", "band", "word"]).where("ra < rb").select("ra", "rb").distinct()
+    of = lambda side: sets.select(F.col("rep").alias(f"r{side}"), F.col("v").alias(f"v{side}"), F.col("w").alias(f"w{side}"))
+    full = met.join(of("a"), "ra").join(of("b"), "rb")
+    shared = F.size(F.array_intersect("wa", "wb"))
+    near = F.when((F.col("va") > 0) & (F.col("vb") > 0), F.least("va", "vb") / F.greatest("va", "vb") >= 1 - spread).otherwise(F.col("va") == F.col("vb"))
+    links = full.where(near).select("ra", "rb", (shared / (F.size("wa") + F.size("wb") - shared)).alias("overlap")).where(F.col("overlap") > overlap)
+    return rows.join(sets, ["k", "band", "v", "w"]).select("at", "rep"), links
+
+
+def similar_notices(df: DataFrame, id_col: str, keys: Sequence[str], value: str, text: str, spread: float = 0.15, overlap: float = 0.8) -> DataFrame:
+    """(a, b, overlap), a < b: rows alike in all ``keys`` (agency, state) whose values lie within ``spread`` of each other, or are both nothing, and whose words
+    are alike: shared ones over all of both, above ``overlap``. Rows with a null key, or without words, are alike to none. All pairs of equal rows are given.
     """
-    step = 1 / (1 - spread)
-    band = F.floor(F.log(F.greatest(F.col(value).cast("double"), F.lit(1.0))) / F.log(F.lit(step))).cast("long")
-    rows = df.select(F.col(id_col), *keys, F.col(value).cast("double").alias("v"), words.alias("w"), band.alias("band")).where("size(w) > 0 and v > 0")
-    a = rows.select(*keys, F.col(id_col).alias("a"), F.col("v").alias("va"), F.col("w").alias("wa"), F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"))
-    b = rows.select(*keys, F.col(id_col).alias("b"), F.col("v").alias("vb"), F.col("w").alias("wb"), "band")
-    near = a.join(b, [*keys, "band"]).where((F.col("a") < F.col("b")) & (F.abs(F.col("va") - F.col("vb")) <= F.greatest("va", "vb") * spread))
-    share = F.size(F.array_intersect("wa", "wb")) / F.least(F.size("wa"), F.size("wb"))
-    return near.withColumn("overlap", share).where(F.col("overlap") > overlap).select("a", "b", "overlap")
+    members, links = _alike(df, F.col(id_col), keys, value, text, spread, overlap)
+    a, b = members.select(F.col("rep").alias("ra"), F.col("at").alias("ia")), members.select(F.col("rep").alias("rb"), F.col("at").alias("ib"))
+    across = links.join(a, "ra").join(b, "rb").select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"), "overlap")
+    within = a.join(b.withColumnRenamed("rb", "ra"), "ra").where("ia < ib").select(F.col("ia").alias("a"), F.col("ib").alias("b"), F.lit(1.0).alias("overlap"))
+    return across.unionByName(within)
+
+
+def without_similar(df: DataFrame, id_col: str, keys: Sequence[str], value: str, text: str, published: str, spread: float = 0.15, overlap: float = 0.8) -> DataFrame:
+    """(id, dropped_for): in the order of publication (unknown days last, ties by id) a notice goes if one kept before it is alike, and names the first such. Equal notices count as one, so many copies cost no more than a few."""
+    from .matching import settled
+
+    at = F.struct(F.coalesce(F.col(published).cast("date"), F.lit("9999-12-31").cast("date")).alias("day"), F.col(id_col).alias("id"))
+    members, found = _alike(df, at, keys, value, text, spread, overlap)
+    links = checkpointed(found.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    gone = settled(links)
+    fell = links.join(gone, "b", "left_semi").join(gone.select(F.col("b").alias("a")), "a", "left_anti").groupBy(F.col("b").alias("rep")).agg(F.min("a").alias("to"))
+    named = members.join(fell, "rep", "left").select(F.col("at.id").alias("_id"), F.coalesce(F.col("to.id"), F.when(F.col("at") != F.col("rep"), F.col("rep.id"))).alias("dropped_for"))
+    return df.select(id_col).join(named, F.col(id_col) == F.col("_id"), "left").select(id_col, "dropped_for")

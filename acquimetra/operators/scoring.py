@@ -159,6 +159,9 @@ def expected_roi(value: Column, margin: Column, fiscal: Column, cost: Column, p:
 
 # Categories of engineering works and services, and the terms that name them.
 WORKS = {
+    "CONSTRUCAO_NOVA": ("construcao", "construir", "implantacao", "edificacao nova"),
+    "REFORMA": ("reforma", "reformar", "revitalizacao", "restauracao", "recuperacao"),
+    "AMPLIACAO": ("ampliacao", "expansao", "acrescimo"),
     "MANUTENCAO_PREDIAL": ("manutencao predial", "manutencao preventiva", "manutencao corretiva"),
     "INFRAESTRUTURA_URBANA": ("infraestrutura urbana", "urbanizacao", "calcada", "acessibilidade"),
     "INFRAESTRUTURA_RODOVIARIA": ("rodovia", "estrada", "sinalizacao viaria", "infraestrutura viaria"),

@@ -182,10 +182,10 @@ def upsert_change_detect(spark: SparkSession, d: str) -> DataFrame:
     return M.upsert_changed(old, new, ["id"], "h").select("id", "status", "value", "action")
 
 
-@query("upsert_first_write_wins", f"""WITH o AS ({_OLD}), n AS ({_NEW}) SELECT coalesce(o.id, n.id) AS id, CASE WHEN o.id IS NOT NULL THEN o.status ELSE n.status END AS status, greatest(o.value, n.value) AS value, coalesce(o.day, n.day) AS day, CASE WHEN o.id IS NULL THEN 'insert' WHEN n.id IS NULL THEN 'keep' ELSE 'update' END AS action FROM o FULL JOIN n ON o.id = n.id""")
+@query("upsert_first_write_wins", f"""WITH o AS ({_OLD}), n AS ({_NEW}) SELECT coalesce(o.id, n.id) AS id, CASE WHEN o.id IS NOT NULL THEN o.status ELSE n.status END AS status, CASE WHEN o.id IS NOT NULL THEN o.value ELSE n.value END AS value, coalesce(o.day, n.day) AS day, CASE WHEN o.id IS NULL THEN 'insert' WHEN n.id IS NULL THEN 'keep' ELSE 'update' END AS action FROM o FULL JOIN n ON o.id = n.id""")
 def upsert_first_write_wins(spark: SparkSession, d: str) -> DataFrame:
     old, new = _snapshots(spark, d)
-    return M.merged(old, new, ["id"], {"status": "keep_old", "value": "max", "day": "coalesce_old"})
+    return M.merged(old, new, ["id"], {"status": "keep_old", "value": "keep_old", "day": "coalesce_old"})
 
 
 @query("upsert_column_policies", f"""WITH o AS ({_OLD}), n AS ({_NEW}) SELECT coalesce(o.id, n.id) AS id, CASE WHEN n.id IS NOT NULL THEN n.status ELSE o.status END AS status, coalesce(n.value, o.value) AS value, coalesce(n.day, o.day) AS day, CASE WHEN o.id IS NULL THEN 'insert' WHEN n.id IS NULL THEN 'keep' ELSE 'update' END AS action FROM o FULL JOIN n ON o.id = n.id""")

@@ -120,26 +120,43 @@ def field_validators(spark: SparkSession, d: str) -> DataFrame:
     return Tables(spark, d).supplier.select(k.alias("id"), G.valid_tax_id(tax).alias("tax_ok"), G.valid_state(uf).alias("state_ok"), G.valid_range(day, F.date_add(day, (k % 800 - 100).cast("int"))).alias("range_ok"))
 
 
-@query("engineering_firms", """WITH x AS (SELECT s_suppkey AS id, CASE s_suppkey % 6 WHEN 0 THEN 'Construtora ' WHEN 1 THEN 'Municipio de obras ' WHEN 2 THEN 'Engenharia ' ELSE 'Padaria ' END || s_name || CASE WHEN s_suppkey % 4 < 2 THEN ' LTDA' ELSE ' filial' END AS name FROM supplier)
-SELECT id, (name LIKE 'Construtora%' OR name LIKE 'Engenharia%') AND name LIKE '% LTDA' AS is_firm FROM x""")
-def engineering_firms(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("s_suppkey")
-    head = F.when(k % 6 == 0, "Construtora ").when(k % 6 == 1, "Municipio de obras ").when(k % 6 == 2, "Engenharia ").otherwise("Padaria ")
-    return Tables(spark, d).supplier.select(k.alias("id"), G.is_engineering_firm(F.concat(head, "s_name", F.when(k % 4 < 2, " LTDA").otherwise(" filial"))).alias("is_firm"))
+# Heads and tails of names, and by hand whether a head is of the trade, a head is a public body's, a tail is a legal form, a head is one.
+_HEADS = {0: ("Construtora", True, False, False), 1: ("Municipio de Obras", True, True, False), 2: ("Engenharia", True, False, False), 3: ("Padaria", False, False, False), 4: ("Fundação Municipal de Obras", True, True, True), 5: ("Cooperativa de Reformas", True, False, True), 6: ("OBRAS & Cia", True, False, False)}
+_TAILS = {"AUTOMOBILE": (" LTDA", True), "BUILDING": (" S.A.", True), "FURNITURE": (" MEI", True), "HOUSEHOLD": (" filial", False), "MACHINERY": ("", False)}
 
 
-@query("portfolio_selection", """WITH x AS (SELECT o_custkey AS g, o_orderkey AS id, o_totalprice AS score, o_orderpriority AS kind FROM orders WHERE o_totalprice > 0), w AS (SELECT g, id, score * power(0.9, row_number() OVER (PARTITION BY g, kind ORDER BY score DESC, id) - 1) AS value FROM x), p AS (SELECT *, CAST(row_number() OVER (PARTITION BY g ORDER BY value DESC, id) AS INTEGER) AS pick FROM w)
-SELECT g, id, round(value, 4) AS value, pick FROM p WHERE pick <= 5""")
-def portfolio_selection(spark: SparkSession, d: str) -> DataFrame:
-    x = Tables(spark, d).orders.select(F.col("o_custkey").alias("g"), F.col("o_orderkey").alias("id"), F.col("o_totalprice").cast("double").alias("score"), F.col("o_orderpriority").alias("kind"))
-    return G.chosen(x, "g", "id", "score", "kind", 5).select("g", "id", F.round("value", 4).alias("value"), "pick")
+@query("engineering_firms", f"""WITH h(i, head, trade, public, form) AS (VALUES {", ".join(f"({i}, '{w}', {str(t).lower()}, {str(p).lower()}, {str(f).lower()})" for i, (w, t, p, f) in _HEADS.items())}), t(seg, tail, form) AS (VALUES {", ".join(f"('{k}', '{w}', {str(f).lower()})" for k, (w, f) in _TAILS.items())})
+SELECT c_custkey AS id, head || ' ' || c_custkey || tail AS name, trade AND NOT public AND (t.form OR h.form) AS is_firm FROM customer JOIN h ON i = c_nationkey % 7 JOIN t ON seg = c_mktsegment""")
+def engineering_firms(spark: SparkSession, d: str) -> DataFrame:
+    head = F.element_at(F.array(*[F.lit(h[0]) for h in _HEADS.values()]), (F.col("c_nationkey") % 7 + 1).cast("int"))
+    tail = F.try_element_at(F.create_map(*[F.lit(x) for k, t in _TAILS.items() for x in (k, t[0])]), F.col("c_mktsegment"))
+    x = Tables(spark, d).customer.select(F.col("c_custkey").alias("id"), F.concat(head, F.lit(" "), F.col("c_custkey").cast("string"), tail).alias("name"))
+    return x.select("id", "name", G.is_engineering_firm(F.col("name")).alias("is_firm"))
 
 
-@query("suggested_bid", f"""WITH {CONTRACTS_SQL}, x AS (SELECT modality, 1 - CAST(value AS DOUBLE) / CAST(estimate AS DOUBLE) AS discount FROM c WHERE estimate > 0 AND value > 0)
-SELECT modality, count(*) AS n, round(quantile_cont(discount, 0.5), 9) AS p50, CASE WHEN count(*) >= 5 THEN round(1 - quantile_cont(discount, 0.5) * 0.85, 9) END AS bid_factor, CASE WHEN count(*) >= 5 THEN 'OK' ELSE 'INSUFFICIENT' END AS status FROM x GROUP BY modality""")
+@query("portfolio_selection", """WITH x AS (SELECT o_custkey AS g, o_orderkey AS id, o_orderpriority AS cluster, o_totalprice AS value, o_totalprice * 0.3 - 20000 AS roi_max, CASE WHEN o_orderstatus = 'F' THEN 0 ELSE o_totalprice * 0.1 - 30000 END AS roi_min, CASE WHEN o_orderpriority <> '5-LOW' THEN 1000 + o_totalprice * 0.01 ELSE 2500 END AS cost FROM orders WHERE o_orderstatus <> 'P'),
+e AS (SELECT *, (CASE WHEN roi_max > 0 THEN roi_max ELSE roi_min END) / cost AS eff, CASE WHEN roi_min <> 0 THEN (roi_max + roi_min) / 2 ELSE roi_max END AS expected FROM x),
+p AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY eff DESC, id) AS pick, sum(value) OVER (PARTITION BY g ORDER BY eff DESC, id) AS total FROM e),
+k AS (SELECT *, sum(expected) OVER (PARTITION BY g ORDER BY pick) AS cumulative, row_number() OVER (PARTITION BY g, cluster ORDER BY pick) > 1 AS correlated FROM p WHERE pick <= 5 AND total <= 900000)
+SELECT g, id, CAST(pick AS INTEGER) AS pick, round(expected, 4) AS roi_expected, round(cumulative, 4) AS roi_cumulative, correlated FROM k""")
+def portfolio_selection(spark: SparkSession, d: str) -> DataFrame:
+    v, c = F.col("o_totalprice").cast("double"), F.col
+    x = Tables(spark, d).orders.select(
+        c("o_custkey").alias("g"), c("o_orderkey").alias("id"), c("o_orderpriority").alias("cluster"), v.alias("value"), (v * 0.3 - 20000).alias("roi_max"), F.when(c("o_orderstatus") == "F", 0.0).otherwise(v * 0.1 - 30000).alias("roi_min"),
+        F.when(c("o_orderpriority") != "5-LOW", 1000 + v * 0.01).alias("cost"), F.when(c("o_orderstatus") == "P", "INACESSIVEL").when(c("o_orderstatus") == "F", "QUICK_WIN").otherwise("OPORTUNIDADE").alias("category"),
+    )
+    return G.chosen(x, "g", "id", 5, 900_000.0, 2500.0).select("g", "id", "pick", F.round("roi_expected", 4).alias("roi_expected"), F.round("roi_cumulative", 4).alias("roi_cumulative"), "correlated")
+
+
+@query("suggested_bid", f"""WITH {CONTRACTS_SQL}, x AS (SELECT modality, status, 1 - CAST(value AS DOUBLE) / CAST(estimate AS DOUBLE) AS discount FROM c WHERE estimate > 0 AND value > 0),
+b AS (SELECT modality, status, count(*) AS n, round(quantile_cont(discount, 0.25), 4) AS p25, round(quantile_cont(discount, 0.5), 4) AS p50, round(quantile_cont(discount, 0.75), 4) AS p75 FROM x WHERE discount BETWEEN -1 AND 1 GROUP BY ALL HAVING count(*) >= 3)
+SELECT o_orderkey AS id, round(v * (1 - p75::DECIMAL(10,6)), 2)::DOUBLE AS least, round(v * (1 - p25::DECIMAL(10,6)), 2)::DOUBLE AS most, round(v * (1 - lean), 2)::DOUBLE AS bid, round(lean * 100, 1)::DOUBLE AS discount_pct, round(v * (1 - p50::DECIMAL(10,6)), 2)::DOUBLE AS aggressive, round(v * (1 - CAST(p50::DECIMAL(10,6) * 0.5 AS DECIMAL(12,6))), 2)::DOUBLE AS careful,
+ round(((1 - lean) * 1.25 - 1) * 100, 1)::DOUBLE AS margin_pct, CASE WHEN b.n >= 5 THEN 'ALTA' WHEN b.n >= 3 THEN 'MEDIA' END AS confidence FROM (SELECT *, CAST(o_totalprice AS DECIMAL(18,2)) AS v FROM orders) LEFT JOIN (SELECT *, CAST(p50::DECIMAL(10,6) * 0.85 AS DECIMAL(12,6)) AS lean FROM b) b ON b.modality = o_orderpriority AND b.status = o_orderstatus""")
 def suggested_bid(spark: SparkSession, d: str) -> DataFrame:
-    g = G.suggested_bid(contracts(Tables(spark, d)), ["modality"], "estimate", "value")
-    return g.select("modality", "n", F.round("p50", 9).alias("p50"), F.round("bid_factor", 9).alias("bid_factor"), "status")
+    t = Tables(spark, d)
+    benchmark = G.discount_benchmark(contracts(t), ["modality", "status"], "estimate", "value")
+    rows = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("modality"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("v"))
+    return G.suggested_bid(rows, benchmark, ["modality", "status"], "v").drop("modality", "status", "v")
 
 
 @query("consistency_checks", """WITH o AS (SELECT o_orderkey AS id, o_totalprice AS total, o_orderstatus AS status, o_orderdate AS made FROM orders), l AS (SELECT l_orderkey AS id, count(*) AS lines, min(l_shipdate) AS ships FROM lineitem GROUP BY 1), x AS (SELECT o.*, l.lines, l.ships FROM o LEFT JOIN l ON o.id = l.id)
@@ -151,17 +168,40 @@ def consistency_checks(spark: SparkSession, d: str) -> DataFrame:
     return G.failed_checks(x, "id", {"has_lines": F.col("lines") > 0, "value_in_range": F.col("o_totalprice").between(2000, 400_000), "ships_after_order": F.col("ships") >= F.col("o_orderdate"), "known_status": F.col("o_orderstatus").isin("O", "F")})
 
 
-@query("win_loss_calibration", """WITH x AS (SELECT CAST(o_orderkey % 101 AS DOUBLE) AS score, o_orderstatus = 'F' AS won FROM orders) SELECT CAST(least(floor(score / 20) * 20, 80) AS INTEGER) AS bucket, count(*) AS n, count(*) FILTER (WHERE won) AS wins, count(*) FILTER (WHERE won) / count(*) AS rate FROM x GROUP BY 1""")
+@query("win_loss_calibration", """WITH x AS (SELECT o_custkey AS g, o_orderstatus AS s, o_totalprice / 499979 AS score, o_totalprice AS v FROM orders),
+a AS (SELECT g, count(*) AS total, count(*) FILTER (WHERE s = 'F') AS wins, count(*) FILTER (WHERE s = 'O') AS losses, count(*) FILTER (WHERE s = 'P') AS no_bids, avg(score) FILTER (WHERE s = 'F') AS w, avg(score) FILTER (WHERE s = 'O') AS l, min(score) FILTER (WHERE s = 'F') AS m, coalesce(sum(v) FILTER (WHERE s = 'F'), 0) AS proposed FROM x GROUP BY 1)
+SELECT g, total, wins, losses, no_bids, round(wins / greatest(1, wins + losses), 3) AS win_rate, round(coalesce(w, 0), 3) AS score_wins, round(coalesce(l, 0), 3) AS score_losses, CASE WHEN w IS NOT NULL AND l IS NOT NULL THEN round((w + l) / 2, 3) WHEN w IS NOT NULL THEN round(m * 0.9, 3) ELSE 0.45 END AS threshold, round(proposed, 2) AS proposed FROM a""")
 def win_loss_calibration(spark: SparkSession, d: str) -> DataFrame:
-    x = Tables(spark, d).orders.select((F.col("o_orderkey") % 101).cast("double").alias("score"), (F.col("o_orderstatus") == "F").alias("won"))
-    return G.calibration(x, "score", "won")
+    v, s = F.col("o_totalprice").cast("double"), F.col("o_orderstatus")
+    x = Tables(spark, d).orders.select(F.col("o_custkey").alias("g"), F.when(s == "F", "win").when(s == "O", "loss").otherwise("no_bid").alias("outcome"), (v / 499979).alias("score"), v.alias("proposed"), (v * 0.9).alias("won"))
+    return G.calibration(x, "g").select("g", "total", "wins", "losses", "no_bids", "win_rate", "score_wins", "score_losses", "threshold", F.round("proposed", 2).alias("proposed"))
+
+
+#: Notices with many words from a few columns: words of an order's lines by ship month, return flag and line number.
+_NOTICES = """SELECT o_orderkey AS id, o_custkey // 10 AS agency, o_orderpriority AS state, CASE WHEN o_orderstatus = 'P' THEN 0 ELSE CAST(o_totalprice AS DOUBLE) END AS v, CAST(o_orderdate AS DATE) AS day,
+ list_distinct(list_filter(['obra', 'de', o_orderstatus || 'x', 'ano' || year(o_orderdate), 'mes' || (month(o_orderdate) // 7), 'tri' || (month(o_orderdate) // 7), 'a', 'servico', 'rua'], lambda w: length(w) > 1 AND w NOT IN ('de', 'a'))) AS w FROM orders"""
+_ALIKE = """p AS (SELECT a.id AS a, b.id AS b, a.day AS day_a, b.day AS day_b, len(list_intersect(a.w, b.w))::DOUBLE / len(list_distinct(a.w || b.w)) AS overlap FROM n a JOIN n b ON a.agency = b.agency AND a.state = b.state AND a.id < b.id
+ WHERE CASE WHEN a.v > 0 AND b.v > 0 THEN least(a.v, b.v) / greatest(a.v, b.v) >= 0.85 ELSE a.v = b.v END AND len(list_intersect(a.w, b.w))::DOUBLE / len(list_distinct(a.w || b.w)) > 0.8)"""
 
 
-@query("similar_notices", """WITH x AS (SELECT o_orderkey AS id, o_custkey AS agency, CAST(o_totalprice AS DOUBLE) AS v, [o_orderstatus, o_orderpriority] AS w FROM orders WHERE o_totalprice > 0)
-SELECT a.id AS a, b.id AS b, CAST(len(list_intersect(a.w, b.w)) AS DOUBLE) / least(len(a.w), len(b.w)) AS overlap FROM x a JOIN x b ON a.agency = b.agency AND a.id < b.id AND abs(a.v - b.v) <= greatest(a.v, b.v) * 0.15 WHERE CAST(len(list_intersect(a.w, b.w)) AS DOUBLE) / least(len(a.w), len(b.w)) > 0.8""")
+def _notices(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col
+    half = F.expr("month(o_orderdate) div 7").cast("string")
+    text = F.concat_ws(" ", F.lit("Obra de"), F.concat(F.lower("o_orderstatus"), F.lit("x")), F.concat(F.lit("ANO"), F.year("o_orderdate").cast("string")), F.concat(F.lit("mes"), half), F.concat(F.lit("tri"), half), F.lit("a servico  rua"))
+    return Tables(spark, d).orders.select(c("o_orderkey").alias("id"), F.expr("o_custkey div 10").alias("agency"), c("o_orderpriority").alias("state"), F.when(c("o_orderstatus") != "P", c("o_totalprice").cast("double")).alias("v"), c("o_orderdate").cast("date").alias("day"), text.alias("text"))
+
+
+@query("similar_notices", f"WITH n AS ({_NOTICES}), {_ALIKE} SELECT a, b, overlap FROM p")
 def similar_notices(spark: SparkSession, d: str) -> DataFrame:
-    x = Tables(spark, d).orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("agency"), "o_totalprice", "o_orderstatus", "o_orderpriority")
-    return G.similar_notices(x, "id", ["agency"], "o_totalprice", F.array("o_orderstatus", "o_orderpriority"))
+    return G.similar_notices(_notices(spark, d), "id", ["agency", "state"], "v", "text")
+
+
+@query("notices_without_similar", f"""WITH RECURSIVE n AS ({_NOTICES}), {_ALIKE}, e AS (SELECT CASE WHEN (day_a, a) < (day_b, b) THEN a ELSE b END AS x, CASE WHEN (day_a, a) < (day_b, b) THEN b ELSE a END AS y FROM p), o AS (SELECT id, row_number() OVER (ORDER BY day, id) AS pos FROM n WHERE id IN (SELECT x FROM e UNION SELECT y FROM e)),
+r AS (SELECT 0::BIGINT AS pos, []::BIGINT[] AS kept UNION ALL SELECT o.pos, CASE WHEN len(list_intersect(r.kept, coalesce((SELECT list(x) FROM e WHERE y = o.id), []))) > 0 THEN r.kept ELSE list_append(r.kept, o.id) END FROM r JOIN o ON o.pos = r.pos + 1),
+k AS (SELECT unnest(kept) AS id FROM (SELECT kept FROM r ORDER BY pos DESC LIMIT 1)), f AS (SELECT e.y AS id, arg_min(e.x, o.pos) AS dropped_for FROM e JOIN k ON k.id = e.x JOIN o ON o.id = e.x WHERE e.y NOT IN (SELECT id FROM k) GROUP BY 1)
+SELECT n.id, f.dropped_for FROM n LEFT JOIN f USING (id)""")
+def notices_without_similar(spark: SparkSession, d: str) -> DataFrame:
+    return G.without_similar(_notices(spark, d), "id", ["agency", "state"], "v", "text", "day")
 
 
 @query("latest_run", """SELECT event_type, event_id, user_id FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) = 1""")
@@ -186,12 +226,32 @@ def status_words(spark: SparkSession, d: str) -> DataFrame:
     return Tables(spark, d).orders.select(F.col("o_orderkey").alias("id"), C.status_word(word, F.col("o_orderstatus") == "F").alias("status"))
 
 
-@query("agency_names", """WITH x AS (SELECT c_custkey AS id, ['Sec. Mun. de Saúde', 'PM de Içara', 'Fund Mun 12345678000199', 'FUNDO MUN Educação', 'CM (Tubarão)'][1 + c_custkey % 5] AS name FROM customer)
-SELECT id, ['SECRETARIA MUNICIPIO DE SAUDE', 'PREFEITURA MUNICIPAL DE ICARA', 'FUNDACAO MUNICIPIO', 'FUNDO MUNICIPAL EDUCACAO', 'CAMARA MUNICIPAL TUBARAO'][1 + id % 5] AS name, [2, 2, 2, 2, 2][1 + id % 5] AS n_aliases FROM x""")
+# Names and, by hand, what they normalize to and their other names.
+_AGENCIES = (
+    ("Sec. Mun. de Saúde", "SECRETARIA MUNICIPIO DE SAUDE", ""),
+    ("PM de Içara", "PREFEITURA MUNICIPAL DE ICARA", "MUNICIPIO DE ICARA"),
+    ("SEC MUN MUN de Foo", "SECRETARIA MUNICIPIO MUNICIPIO DE FOO", ""),
+    ("FUNDO MUN Educação 12345678 12345678000199", "FUNDO MUNICIPAL EDUCACAO", ""),
+    ("Câmara Municipal de Tubarão", "CAMARA MUNICIPAL DE TUBARAO", "TUBARAO CAMARA MUNICIPAL"),
+    ("Câmara de Vereadores de São José", "CAMARA DE VEREADORES DE SAO JOSE", "SAO JOSE CAMARA DE VEREADORES"),
+    ("Åland Ýx - Câmara de Vereadores", "ALAND YX CAMARA DE VEREADORES", "CAMARA DE VEREADORES DE ALAND YX"),
+    ("CM de Vereadores de Laguna", "CAMARA MUNICIPAL DE VEREADORES DE LAGUNA", "VEREADORES DE LAGUNA CAMARA MUNICIPAL|LAGUNA CAMARA MUNICIPAL DE VEREADORES"),
+    ("Prefeitura de Lages", "PREFEITURA DE LAGES", "MUNICIPIO DE LAGES"),
+    ("PMF Florianópolis / IPUF", "PREFEITURA MUNICIPAL DE FLORIANOPOLIS INSTITUTO DE PLANEJAMENTO URBANO DE", "MUNICIPIO DE FLORIANOPOLIS INSTITUTO DE PLANEJAMENTO URBANO DE"),
+    ("FMS", "FUNDO MUNICIPAL DE SAUDE", ""),
+    (None, "", ""),
+)
+
+
+def _texts(texts: tuple) -> str:
+    return "[" + ", ".join("NULL" if x is None else "'" + x + "'" for x in texts) + "]"
+
+
+@query("agency_names", f"""WITH x AS (SELECT c_custkey AS id, 1 + (c_nationkey + CAST(floor(c_acctbal) AS BIGINT) % 7 + 7) % {len(_AGENCIES)} AS i FROM customer) SELECT id, ({_texts(tuple(a[1] for a in _AGENCIES))})[i] AS name, ({_texts(tuple(a[2] for a in _AGENCIES))})[i] AS aliases FROM x""")
 def agency_names(spark: SparkSession, d: str) -> DataFrame:
-    names = F.array(*map(F.lit, ("Sec. Mun. de Saúde", "PM de Içara", "Fund Mun 12345678000199", "FUNDO MUN Educação", "CM (Tubarão)")))
-    x = Tables(spark, d).customer.select(F.col("c_custkey").alias("id"), text.normalize_name(F.get(names, (F.col("c_custkey") % 5).cast("int"))).alias("name"))
-    return x.select("id", "name", F.size(text.aliases(F.col("name"))).alias("n_aliases"))
+    at = (F.col("c_nationkey") + F.floor("c_acctbal") % 7 + 7) % len(_AGENCIES)
+    x = Tables(spark, d).customer.select(F.col("c_custkey").alias("id"), text.normalize_name(F.get(F.array(*[F.lit(a[0]) for a in _AGENCIES]), at.cast("int"))).alias("name"))
+    return x.select("id", "name", F.array_join(text.aliases(F.col("name")), "|").alias("aliases"))
 
 
 @query("cosine_search", """WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings)), s AS (SELECT vec_id, CAST(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST((SELECT e FROM q) AS DOUBLE[])) AS DOUBLE) AS c FROM embeddings) SELECT vec_id, round(c, 6) AS cosine FROM s WHERE c > 0.1 ORDER BY c DESC, vec_id LIMIT 20""")
@@ -226,15 +286,24 @@ def profile_learning(spark: SparkSession, d: str) -> DataFrame:
     return num.join(q, "supplier").join(freq.select("supplier", listed.alias("modalities")), "supplier")
 
 
-@query("cross_portal_hash", """SELECT c_custkey AS id, md5(concat_ws('|', CAST(c_nationkey AS VARCHAR), '', CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS VARCHAR), substr(regexp_replace(lower(c_name), '^(objeto|aviso|customer)[#: -]*', ''), 1, 150))) AS hash FROM customer""")
+@query("cross_portal_hash", """WITH x AS (SELECT c_custkey AS id, CASE WHEN c_nationkey <> 3 THEN 'SC' END AS uf, CASE WHEN c_nationkey <> 4 THEN lower(trim(c_mktsegment)) ELSE '' END AS town, CASE WHEN c_nationkey = 5 THEN 0 ELSE c_acctbal END AS v, lower(c_name) AS name FROM customer)
+SELECT id, sha256(coalesce(uf, '') || '|' || town || '|' || CASE WHEN v = 0 THEN '0' WHEN v = floor(v) THEN CAST(CAST(v AS BIGINT) AS VARCHAR) || '.0' ELSE CAST(v AS VARCHAR) END || '|' || 'compra de ' || name) AS hash FROM x""")
 def cross_portal_hash(spark: SparkSession, d: str) -> DataFrame:
-    return Tables(spark, d).customer.select(F.col("c_custkey").alias("id"), hashing.portal_hash(F.col("c_nationkey"), F.lit(None), F.col("c_acctbal"), F.col("c_name"), "objeto|aviso|customer").alias("hash"))
+    c, n = F.col, F.col("c_nationkey")
+    # The same subject as portals write it: with a prefix, in capitals, with more blanks.
+    subject = F.concat(F.when(n % 2 == 0, "[Portal de Compras Públicas] - ").otherwise(" "), F.when(n % 3 == 0, "Compra   de ").otherwise("COMPRA\tde "), c("c_name"))
+    town = F.when(n != 4, F.concat(F.lit(" "), c("c_mktsegment"), F.lit(" ")))
+    return Tables(spark, d).customer.select(c("c_custkey").alias("id"), hashing.portal_hash(F.when(n != 3, "SC"), town, F.when(n != 5, c("c_acctbal")), subject).alias("hash"))
 
 
-@query("cross_source_key", """SELECT o_orderkey AS id, sha256(concat_ws('|', lower(o_orderpriority), trim(regexp_replace(lower(o_orderstatus || ' Nº' || o_custkey), '[^a-z0-9]+', ' ', 'g')), CAST(o_custkey AS VARCHAR), CAST(CAST(o_orderdate AS DATE) AS VARCHAR), CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR))) AS key FROM orders""")
+@query("cross_source_key", """WITH x AS (SELECT o_orderkey AS id, CASE WHEN o_orderpriority <> '5-LOW' THEN 'pregao ' || lower(o_orderpriority) ELSE '' END AS modality, CASE WHEN o_orderstatus <> 'P' THEN CAST(o_custkey AS VARCHAR) ELSE '' END AS agency, CASE WHEN month(o_orderdate) <> 5 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) ELSE '' END AS day, CASE WHEN month(o_orderdate) <> 6 THEN CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) ELSE '' END AS v, o_custkey FROM orders)
+SELECT id, sha256(modality || '|aquisicao de asfalto no ' || o_custkey || ' a|' || agency || '|' || day || '|' || v) AS key FROM x""")
 def cross_source_key(spark: SparkSession, d: str) -> DataFrame:
-    key = hashing.cross_source(F.col("o_orderpriority"), F.concat("o_orderstatus", F.lit(" Nº"), F.col("o_custkey").cast("string")), F.col("o_custkey").cast("string"), F.col("o_orderdate").cast("date"), F.col("o_totalprice"))
-    return Tables(spark, d).orders.select(F.col("o_orderkey").alias("id"), key.alias("key"))
+    c = F.col
+    modality = F.when(c("o_orderpriority") != "5-LOW", F.concat(F.lit(" Pregão  "), c("o_orderpriority")))
+    subject = F.concat(F.lit("Aquisição de ASFALTO, no. "), c("o_custkey").cast("string"), F.lit(" (à)"))
+    key = hashing.cross_source(modality, subject, F.when(c("o_orderstatus") != "P", c("o_custkey").cast("string")), F.when(F.month("o_orderdate") != 5, c("o_orderdate").cast("date")), F.when(F.month("o_orderdate") != 6, c("o_totalprice")))
+    return Tables(spark, d).orders.select(c("o_orderkey").alias("id"), key.alias("key"))
 
 
 @query("leading_numbers", """SELECT c_custkey AS id, CAST(nullif(regexp_extract((CASE WHEN c_custkey % 3 = 0 THEN c_custkey || ' de 7' WHEN c_custkey % 3 = 1 THEN 'x' || c_custkey ELSE '  ' || c_custkey || '/2024' END), '([0-9]+)', 1), '') AS BIGINT) AS number FROM customer""")

@@ -137,7 +137,7 @@ _WORKS = [
     ("fornecimento de cimento", 0, "", "material_isolado"),
     ("Execução de pavimentação e drenagem por empresa especializada, obra na rodovia", 130, "DRENAGEM,INFRAESTRUTURA_RODOVIARIA,OUTROS_SERVICOS_DE_ENGENHARIA_CIVIL,PAVIMENTACAO", None),
     ("licença de software para obra", 32, "OUTROS_SERVICOS_DE_ENGENHARIA_CIVIL", "software_only"),
-    ("software", 0, "", None),
+    ("Reforma e ampliação com construção de escola", 108, "AMPLIACAO,CONSTRUCAO_NOVA,EDIFICACOES_PUBLICAS,REFORMA", None),
     ("topografia e sondagem, laudo, viaduto", 48, "LAUDOS_E_PERICIAS,PONTES_E_OBRAS_DE_ARTE,SONDAGEM,TOPOGRAFIA", None),
 ]
 _WORK_ROWS = ", ".join(f"({i}, {'NULL' if p is None else p}, '{c}', {'NULL' if e is None else repr(e)})" for i, (_, p, c, e) in enumerate(_WORKS))

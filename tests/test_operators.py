@@ -95,7 +95,8 @@ def test_engineering_class_by_hand(spark):
     cases = {
         "Engenharia de software": (0, "nao_relacionado", "software_only"),
         "aquisição de cimento para a escola": (12, "nao_relacionado", "material_isolado"),
-        "reforma da escola e da creche": (12 + 12, "nao_relacionado", None),
+        "reforma da escola e da creche": (20 + 12 + 12, "revisao_necessaria", None),
+        "Reforma e ampliacao com construcao de escola": (100, "engenharia_confirmada", None),
         "fornecimento de material e mão de obra, obra de pavimentação": (20 + 20 + 24 + 8, "engenharia_provavel", None),
         "execução de obra de drenagem por empresa especializada": (20 + 20 + 24 + 12 + 10, "engenharia_confirmada", None),
         None: (0, "nao_relacionado", None),
@@ -105,7 +106,7 @@ def test_engineering_class_by_hand(spark):
     got = df.select("i", c["score"], c["confidence"], c["exclusion"]).orderBy("i").collect()
     assert [tuple(r)[1:] for r in got] == list(cases.values())
     more = scoring.engineering_class(F.col("t"), F.lit(1_000_000.0), F.lit(6), F.lit(True), F.lit(True))
-    assert df.where("t like 'reforma%'").select(more["score"]).first()[0] == 24 + 12 + 4 + 4 + 8
+    assert df.where("t like 'reforma%'").select(more["score"]).first()[0] == 44 + 12 + 4 + 4 + 8
 
 
 def test_indel_ratio():
