@@ -154,31 +154,6 @@ def resolve_universe(rows: DataFrame, universe: DataFrame) -> DataFrame:
     return j.select(*rows.columns, entity.alias("entity_id"), method.alias("method"))
 
 
-def greedy_clusters(df: DataFrame, id_col: str, lat: str, lon: str, value: str, region: str, km: float = 150.0) -> DataFrame:
-    """(id, region, cluster, km_to_seed): within a region the highest value seeds a cluster of all free points within ``km``; order-dependent, so a region is one group."""
-    import numpy as np
-
-    kind = df.schema[region].dataType.simpleString()
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["value", "id"], ascending=[False, True]).reset_index(drop=True)
-        la, lo = np.radians(pdf["lat"].to_numpy()), np.radians(pdf["lon"].to_numpy())
-        cluster, dist = np.full(len(pdf), -1), np.zeros(len(pdf))
-        n = 0
-        for i in range(len(pdf)):
-            if cluster[i] >= 0:
-                continue
-            a = np.sin((la - la[i]) / 2) ** 2 + np.cos(la) * np.cos(la[i]) * np.sin((lo - lo[i]) / 2) ** 2
-            d = 2 * 6371.0 * np.arcsin(np.minimum(1, np.sqrt(a)))
-            new = (cluster < 0) & (d <= km)
-            cluster[new], dist[new] = n, d[new]
-            n += 1
-        return pdf.assign(cluster=cluster, km_to_seed=dist)[["id", "region", "cluster", "km_to_seed"]]
-
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(region).alias("region"), F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon"), F.col(value).cast("double").alias("value"))
-    return rows.groupBy("region").applyInPandas(solve, f"id long, region {kind}, cluster int, km_to_seed double")
-
-
 def settled(links: DataFrame) -> DataFrame:
     """(b) of the rows that go: links (a, b), a before b, are taken in order; a row goes if it links to a row before it that stays.
 

@@ -11,6 +11,7 @@ from acquimetra.functions.geo import haversine_km
 from acquimetra.functions.vector import dot
 from acquimetra.operators import matching as X
 from acquimetra.operators import merge as M
+from acquimetra.operators import nearby
 from acquimetra.operators import relational as R
 from acquimetra.operators import search as S
 from acquimetra.sources.canonical import MONEY
@@ -249,7 +250,7 @@ def fuzzy_match(spark: SparkSession, d: str) -> DataFrame:
 
 @query("regional_clusters")
 def regional_clusters(spark: SparkSession, d: str) -> DataFrame:
-    return X.greedy_clusters(_places(spark, d), "id", "lat", "lon", "value", "region")
+    return nearby.clusters(_places(spark, d), "id", "lat", "lon", "value", "region")
 
 
 @query("greedy_dedup")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 from __spark_entry__ import QUERIES
-from acquimetra.operators import matching
+from acquimetra.operators import matching, nearby
 from acquimetra.sources.tables import Tables
 
 
@@ -49,7 +49,7 @@ def test_regional_clusters(spark):
                 else:
                     rest.append(p)
             free, cluster = rest, cluster + 1
-    got = matching.greedy_clusters(df, "id", "lat", "lon", "value", "region").collect()
+    got = nearby.clusters(df, "id", "lat", "lon", "value", "region").collect()
     assert {r.id: r.cluster for r in got} == want
 
 
