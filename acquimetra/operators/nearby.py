@@ -57,8 +57,8 @@ def cells_within(lat: Column, lon: Column, km: float) -> Column:
 
 
 def near(left: DataFrame, right: DataFrame, km: float, within: Sequence[str] = ()) -> DataFrame:
-    """Pairs of rows of both tables (columns lat and lon; all columns come as structs a and b) at most ``km`` apart, with their distance, and alike in ``within``, null for null. Rows without a place are near none."""
-    placed = "lat is not null and lon is not null"
+    """Pairs of rows of both tables (columns lat and lon; all columns come as structs a and b) at most ``km`` apart, with their distance, and alike in ``within``, null for null. Rows without a place, or with a latitude that there isn't, are near none."""
+    placed = "lat between -90 and 90 and lon is not null"
     a = left.where(placed).select(F.struct(*left.columns).alias("a"), F.explode(cells_within(F.col("lat").cast("double"), F.col("lon").cast("double"), km)).alias("_a"))
     b = right.where(placed).select(F.struct(*right.columns).alias("b"), cell(F.col("lat").cast("double"), F.col("lon").cast("double"), km).alias("_b"))
     on = F.col("_a") == F.col("_b")
@@ -84,7 +84,7 @@ def clusters(df: DataFrame, id_col: str, lat: str, lon: str, value: str, region:
     c = F.col
     rank = F.struct(F.coalesce(c(value).cast("double"), F.lit(float("-inf"))).alias("v"), (-c(id_col).cast("long")).alias("i"))
     rows = df.select(c(id_col).cast("long").alias("id"), c(region).alias("region"), c(lat).cast("double").alias("lat"), c(lon).cast("double").alias("lon"), rank.alias("rank"))
-    free, settled = checkpointed(rows.where("lat is not null and lon is not null")), []
+    free, settled = checkpointed(rows.where("lat between -90 and 90 and lon is not null")), []
     while not free.isEmpty():
         # Cells of three tenths of the radius are less than the radius across, also where few pieces go around a pole.
         best = free.groupBy("region", cell(c("lat"), c("lon"), 0.3 * km).alias("cell")).agg(F.max("rank").alias("m"), F.max_by(F.struct("id", "lat", "lon"), "rank").alias("p"))

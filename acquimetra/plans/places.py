@@ -10,15 +10,15 @@ from acquimetra.operators import nearby as N
 from acquimetra.sources import files, records
 from acquimetra.sources.tables import Tables, remove, shared_folder
 
-_LAT, _LON = "((n + CAST(floor(bal) AS BIGINT)) % 181 - 90)::DOUBLE", "((n * 37 + CAST(floor(bal) AS BIGINT) * 7) % 361 - 180)::DOUBLE"
+_LAT, _LON = "(((n + CAST(floor(bal) AS BIGINT)) % 181 + 181) % 181 - 90)::DOUBLE", "(((n * 37 + CAST(floor(bal) AS BIGINT) * 7) % 361 + 361) % 361 - 180)::DOUBLE"
 _KM = "2 * 6371.0 * asin(least(1.0, sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))))"
-_POINTS = f"""a AS (SELECT c_custkey AS id, abs({_LAT}) * sign({_LAT}) AS lat, {_LON} AS lon FROM (SELECT c_custkey, c_nationkey AS n, c_acctbal AS bal FROM customer WHERE c_mktsegment <> 'MACHINERY')),
+_POINTS = f"""a AS (SELECT c_custkey AS id, {_LAT} AS lat, {_LON} AS lon FROM (SELECT c_custkey, c_nationkey AS n, c_acctbal AS bal FROM customer WHERE c_mktsegment <> 'MACHINERY')),
 b AS (SELECT s_suppkey AS sid, {_LAT} AS lat, {_LON} AS lon FROM (SELECT s_suppkey, s_nationkey * 3 AS n, s_acctbal AS bal FROM supplier))"""
 
 
 def _place(n: Column, bal: Column) -> tuple[Column, Column]:
     whole = F.floor(bal)
-    return ((n + whole) % 181 - 90).cast("double").alias("lat"), ((n * 37 + whole * 7) % 361 - 180).cast("double").alias("lon")
+    return (F.pmod(n + whole, F.lit(181)) - 90).cast("double").alias("lat"), (F.pmod(n * 37 + whole * 7, F.lit(361)) - 180).cast("double").alias("lon")
 
 
 def _points(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
