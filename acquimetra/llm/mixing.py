@@ -13,6 +13,9 @@ their number; a null doc_id is a document like any other; without labels all rat
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,16 +25,24 @@ from .shared import cut, fresh, table
 BUCKETS, SMOOTH, EVIDENCE = 1 << 16, 0.5, 8
 # Marks that a word loses at both ends, and what separates words.
 MARKS = ".,;:!?*#$%&|\"'()[]{}<>"
+WIDE_SPACES = "\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACES = "[\\s\\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
 
 
+def _words(text: Column) -> Column:
+    """Words between white space. Few texts have other than ASCII white space, and a pattern for that alone is several times as fast."""
+    plain = (F.octet_length(text) == F.length(text)) | ~reduce(or_, [F.contains(text, F.lit(c)) for c in WIDE_SPACES])
+    return F.when(plain, F.split(text, "\\s+")).otherwise(F.split(text, SPACES))
+
+
 def tokenized(docs: DataFrame) -> DataFrame:
     """(doc_id, key, place, bucket): the words of each row, at least one; bucket is null for an empty word, key a hash of id and text.
 
     Words stand between white space of any kind and lose the marks at their ends; one of marks alone stays as it is.
     """
-    words = F.split(F.coalesce("text", F.lit("")), SPACES)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("key"), F.posexplode(words).alias("place", "w"))
+    # Key and words are made before the words become rows, so that no text is hashed or carried once a word.
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("key"), _words(text).alias("words")).select("doc_id", "key", F.posexplode("words").alias("place", "w"))
     bare = F.btrim("w", F.lit(MARKS))
     token = F.when(bare != "", bare).otherwise(F.col("w"))
     return rows.select("doc_id", "key", "place", F.when(F.col("w") != "", F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int")).alias("bucket"))
