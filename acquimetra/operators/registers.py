@@ -55,17 +55,16 @@ def prefix_join(left: DataFrame, right: DataFrame, code: str, prefix: str, lengt
 
 
 def keyed_duplicates(df: DataFrame, id_col: str, keys: Sequence[Column], order: Sequence[Column]) -> DataFrame:
-    """(id, keeper, level): the first of the keys that is not null and held by several rows names the group, its first row by ``order`` the keeper."""
-    rows = df.select("*", *[k.cast("string").alias(f"_k{i}") for i, k in enumerate(keys)])
-    level, keeper = F.lit(None).cast("int"), F.lit(None)
-    for i in reversed(range(len(keys))):
-        # Rows without the key go by their own id, so that they don't meet in one task.
-        w = W.partitionBy(F.coalesce(F.col(f"_k{i}"), F.concat(F.lit("\0"), F.col(id_col).cast("string"))))
-        rows = rows.withColumn(f"_n{i}", F.count(F.lit(1)).over(w)).withColumn(f"_f{i}", F.first(id_col).over(w.orderBy(*order, id_col)))
-    for i in reversed(range(len(keys))):
-        meets = F.col(f"_k{i}").isNotNull() & (F.col(f"_n{i}") > 1)
-        level, keeper = F.when(meets, F.lit(i + 1)).otherwise(level), F.when(meets, F.col(f"_f{i}")).otherwise(keeper)
-    return rows.select(F.col(id_col), F.coalesce(keeper, F.col(id_col)).alias("keeper"), F.coalesce(level, F.lit(0)).alias("level"))
+    """(id, keeper, level): the first of the keys that is not null and held by several rows names the group, its first row by ``order``, then id, the keeper.
+
+    Keys are counted before they are joined back, so rows of a hot key meet only its count. Rows without a shared key keep themselves at level 0.
+    """
+    at = F.struct(*[o.alias(f"_o{i}") for i, o in enumerate(order)], F.col(id_col).alias("id"))
+    rows = df.select(F.col(id_col), at.alias("_at"), F.posexplode_outer(F.array(*[k.cast("string") for k in keys])).alias("_level", "_key"))
+    shared = rows.where("_key is not null").groupBy("_level", "_key").agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("first")).where("n > 1")
+    met = rows.join(shared, ["_level", "_key"], "left")
+    best = F.min(F.when(F.col("n").isNotNull(), F.struct((F.col("_level") + 1).alias("level"), F.col("first.id").alias("keeper")))).alias("b")
+    return met.groupBy(id_col).agg(best).select(id_col, F.coalesce("b.keeper", F.col(id_col)).alias("keeper"), F.coalesce("b.level", F.lit(0)).alias("level"))
 
 
 def merged_fields(df: DataFrame, group: str, order: Sequence[Column], fields: Sequence[str], origin: str) -> DataFrame:
