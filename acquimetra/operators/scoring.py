@@ -106,7 +106,7 @@ def discount_percent(estimate: Column, contracted: Column) -> Column:
 
 def rivals(hhi: Column, fallback: Column | None = None) -> Column:
     """Expected bidders from concentration (0 to 1), from 2 to 20."""
-    n = F.least(F.lit(20.0), F.greatest(F.lit(2.0), F.round(F.lit(1.5) / F.nullif(hhi, F.lit(0.0)))))
+    n = F.when(hhi > 0, F.least(F.lit(20.0), F.greatest(F.lit(2.0), F.round(F.lit(1.5) / hhi))))
     return F.coalesce(n, fallback if fallback is not None else F.lit(5.0))
 
 
@@ -133,7 +133,7 @@ def radar(c: dict[str, Column], weights: dict[str, int]) -> tuple[Column, Column
     w = lambda cond, k: F.when(F.coalesce(cond, F.lit(False)), weights[k]).otherwise(0)
     data = sum((w(c[k], k) for k in ("official", "status_known", "future_deadline", "url", "matched", "fresh")), F.lit(0)) + F.round(F.lit(float(weights["completeness"])) * (7 - c["missing"]) / 7).cast("int")
     words = F.least(F.lit(weights["words"]), c["hits"] * max(1, weights["words"] // 3))
-    near = F.round(weights["distance"] * (0.5 + 0.5 * F.greatest(F.lit(0.0), 1 - c["km"] / c["near_km"]))).cast("int")
+    near = F.when(c["km"].isNotNull(), F.round(weights["distance"] * (0.5 + 0.5 * F.greatest(F.lit(0.0), 1 - c["km"] / c["near_km"]))).cast("int"))
     fit = w(c["object_ok"], "object") + words + F.coalesce(near, F.lit(0)) + w(c["modality_ok"], "modality") + w(c["future_deadline"], "deadline") + w(c["documents"], "documents")
     action = F.when(c["blocked"] | (fit <= 20), "DESCARTAR").when((data >= 70) & (fit >= 55), "PRIORITARIA").otherwise("REVISAR")
     return data, fit, action
@@ -231,14 +231,3 @@ def engineering_class(text: Column, value: Column, modality: Column | None = Non
     )
     exclusion = F.when(~vetoed & bare, "material_isolado").otherwise(trade)
     return {"score": final.cast("int"), "confidence": confidence, "engineering": (final >= 60) & any_, "categories": categories, "exclusion": exclusion}
-
-
-def keyword_class(text: Column, rules: list[tuple[str, tuple[str, ...]]], otherwise: str = "outros") -> Column:
-    """Name of the first rule with a word in the folded text."""
-    x, out = fold(text), F
-    for name, words in rules:
-        any_ = F.lit(False)
-        for w in words:
-            any_ = any_ | F.contains(x, F.lit(w))
-        out = out.when(any_, name)
-    return out.otherwise(otherwise)
