@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import components, cut, drop, table
+from .shared import components, cut, drop, fresh, table
 
 CROWDED, LONG, MASKS, MASK_BITS = 2048, 4, 60, 16
 
@@ -338,9 +338,18 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int =
     ids = links.select(F.col("a").alias("id")).union(links.select("b")).distinct()
     sets = fps.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi").groupBy("id").agg(F.min("sh").alias("sh"))
     linked, _ = components(_verified(links, sets, similarity))
-    named, _ = cut(distinct.join(linked, "id", "left").where("component is null or component = id").select(F.col("id").alias(id_col)).distinct(), "kept")
+    stay = distinct.join(linked, "id", "left").where("component is null or component = id").select("id").distinct()
+    # The ids that go, and those that occur more than once, are few, so texts need not be shuffled to meet them.
+    own = fps.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    named = own.join(stay.withColumnRenamed("id", "doc_id").withColumn("stays", F.lit(True)), "doc_id", "left").where("stays is null or n > 1")
+    (mark,) = fresh(docs, "marked")
+    marked, _ = cut(named.select(F.col("doc_id").alias(mark), F.coalesce("stays", F.lit(False)).alias("again")), "marked")
     drop(docs.sparkSession, path, distinct_path, links_path)
-    return kept.join(named, id_col, "left_semi").dropDuplicates([id_col, text_col]).unionByName(docs.where(F.col(id_col).isNull()))
+    once = kept.join(marked.select(mark), F.col(id_col) == F.col(mark), "left_anti").unionByName(docs.where(F.col(id_col).isNull()))
+    again = marked.where("again").select(mark)
+    if again.isEmpty():
+        return once
+    return once.unionByName(kept.join(again, F.col(id_col) == F.col(mark), "left_semi").dropDuplicates([id_col, text_col]))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
