@@ -50,7 +50,7 @@ k AS (SELECT owner, w AS word, count(*) AS c FROM (SELECT owner, unnest(words) A
 f AS (SELECT b.id, b.line, b.owner, b.value, s.*, b.km AS far, b.words, b.size, b.population, coalesce(m.f, 0.1) AS fm, 0.5 + 0.5 * coalesce(u.f, 0) AS fu, greatest(0.1, coalesce(z.f, 0.1)) AS fz FROM b JOIN s ON s.owner = b.owner LEFT JOIN m ON m.owner = b.owner AND m.modality = b.modality LEFT JOIN u ON u.owner = b.owner AND u.state = b.state LEFT JOIN z ON z.owner = b.owner AND z.size = b.size WHERE b.day > DATE '{AS_OF}'),
 h AS (SELECT f.id, f.line, f.owner, f.value, sum(coalesce(kk.c, 0))::DOUBLE AS met FROM (SELECT id, line, owner, value, unnest(words) AS word FROM (SELECT DISTINCT id, line, owner, value, words FROM f)) f LEFT JOIN kk ON kk.owner = f.owner AND kk.word = f.word GROUP BY 1, 2, 3, 4),
 r AS (SELECT f.id, f.line, f.owner, f.value AS v, exp(-power((f.value - mean) / sd, 2) / 2) * CASE WHEN f.value > most * 3 THEN 0.3 ELSE 1 END AS a, least(1, h.met / f.n / len(words) * 3) AS b, fm, least(1, fu * CASE WHEN coalesce(far, 0) <= 0 THEN 1 WHEN far / f.km > 2 THEN greatest(0.3, 1 - (far / f.km - 2) * 0.2) ELSE 1 END) AS p, CASE WHEN population > 0 THEN fz ELSE 0.4 END AS t FROM f JOIN h ON h.id = f.id AND h.line = f.line AND h.owner = f.owner AND h.value = f.value)
-SELECT id, line, owner, round(v, 2) AS value, round(0.30 * a + 0.25 * b + 0.15 * fm + 0.15 * p + 0.15 * t, 4) AS fit, round(b, 6) AS fit_words, round(p, 6) AS fit_place FROM r""")
+SELECT id, line, owner, round(v, 2) AS value, round(0.30 * a + 0.25 * b + 0.15 * fm + 0.15 * p + 0.15 * t, 4) AS fit, round(b, 10) AS fit_words, round(p, 10) AS fit_place FROM r""")
 def victory_fit_parts(spark: SparkSession, d: str) -> DataFrame:
     t, c = Tables(spark, d), F.col
     w = t.lineitem.join(t.orders, c("l_orderkey") == c("o_orderkey")).join(t.customer, c("c_custkey") == c("o_custkey")).join(t.part, c("p_partkey") == c("l_partkey")).select(
@@ -59,7 +59,7 @@ def victory_fit_parts(spark: SparkSession, d: str) -> DataFrame:
     )
     past = F.col("day") <= F.lit(AS_OF).cast("date")
     x = B.fit(w.where(~past), B.profiles(w.where(past))).where("fit_value is not null")
-    return x.select("id", "line", "owner", F.round("value", 2).alias("value"), "fit", F.round("fit_words", 6).alias("fit_words"), F.round("fit_place", 6).alias("fit_place"))
+    return x.select("id", "line", "owner", F.round("value", 2).alias("value"), "fit", F.round("fit_words", 10).alias("fit_words"), F.round("fit_place", 10).alias("fit_place"))
 
 
 _CANDIDATES = """x AS (SELECT p_brand AS g, l_suppkey AS s, count(*) AS n, sum(CAST(l_extendedprice AS DECIMAL(18,2)))::DOUBLE AS total FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2), k AS (SELECT g, CASE WHEN s % 7 <> 0 THEN lpad(s::VARCHAR, 14, '0') ELSE s::VARCHAR END AS tax_id, n, total, s % 3 <> 0 AS here FROM x WHERE n >= 2 OR s % 2 = 0),
