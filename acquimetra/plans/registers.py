@@ -19,10 +19,13 @@ from acquimetra.sources.tables import Tables
 NOW = "2001-06-30"
 
 
-@query("capability_sources", """SELECT 'dom' AS source, 'gazette' AS capability UNION ALL SELECT 'pncp', 'contracts' UNION ALL SELECT 'pncp', 'tenders' UNION ALL SELECT 'tce', 'contracts'""")
+@query("capability_sources", """WITH s AS (SELECT c_custkey AS source, max(c_acctbal) >= 0 AS enabled FROM customer GROUP BY 1), h AS (SELECT DISTINCT user_id AS source, event_type AS capability FROM events WHERE value > 20) SELECT s.source, capability FROM s JOIN h ON h.source = s.source WHERE enabled AND capability IN ('click', 'view', 'error')""")
 def capability_sources(spark: SparkSession, d: str) -> DataFrame:
-    register = spark.createDataFrame([("pncp", True, ["tenders", "contracts"]), ("dom", True, ["gazette"]), ("tce", True, ["contracts"]), ("old", False, ["tenders"])], "source string, enabled boolean, capabilities array<string>")
-    parts = [G.capable(register, c).withColumn("capability", F.lit(c)) for c in ("tenders", "contracts", "gazette")]
+    """A register of customers as sources, able of what their events show."""
+    t = Tables(spark, d)
+    able = t.events.where("value > 20").groupBy(F.col("user_id").alias("source")).agg(F.collect_set("event_type").alias("capabilities"))
+    register = t.customer.select(F.col("c_custkey").alias("source"), (F.col("c_acctbal") >= 0).alias("enabled")).join(able, "source")
+    parts = [G.capable(register, c).withColumn("capability", F.lit(c)) for c in ("click", "view", "error")]
     return parts[0].union(parts[1]).union(parts[2])
 
 
