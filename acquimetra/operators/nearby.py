@@ -56,8 +56,8 @@ def cells_within(lat: Column, lon: Column, km: float) -> Column:
     return F.flatten(F.transform(bands, of))
 
 
-def near(left: DataFrame, right: DataFrame, km: float, within: Sequence[str] = ()) -> DataFrame:
-    """Pairs of rows of both tables (columns lat and lon; all columns come as structs a and b) at most ``km`` apart, with their distance, and alike in ``within``, null for null. Rows without a place, or with a latitude that there isn't, are near none."""
+def _near_rows(left: DataFrame, right: DataFrame, km: float, within: Sequence[str] = ()) -> DataFrame:
+    """``near`` row by row, for tables whose places are mostly different."""
     placed = "lat between -90 and 90 and lon is not null"
     a = left.where(placed).select(F.struct(*left.columns).alias("a"), F.explode(cells_within(F.col("lat").cast("double"), F.col("lon").cast("double"), km)).alias("_a"))
     b = right.where(placed).select(F.struct(*right.columns).alias("b"), cell(F.col("lat").cast("double"), F.col("lon").cast("double"), km).alias("_b"))
@@ -68,11 +68,45 @@ def near(left: DataFrame, right: DataFrame, km: float, within: Sequence[str] = (
     return a.join(b, on).select("a", "b", d.alias("km")).where(F.col("km") <= km)
 
 
+def _dealt(df: DataFrame, lat: str, lon: str) -> DataFrame:
+    """Dealt by place to a fixed number of tasks, with the hash ``_at``: few small rows here become many, so adaptive execution must not put them into one. The hash keeps Spark from taking an earlier exchange for this one."""
+    return df.withColumn("_at", F.xxhash64(lat, lon)).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_at")
+
+
+def _placed(df: DataFrame, side: str) -> DataFrame:
+    """Rows that have a place, as a struct ``side``, with the place as ``lat_side`` and ``lon_side``."""
+    place = [F.col(c).cast("double").alias(f"{c}_{side}") for c in ("lat", "lon")]
+    return df.where("lat between -90 and 90 and lon is not null").select(F.struct(*df.columns).alias(side), *place)
+
+
+def _near_places(a: DataFrame, b: DataFrame, km: float) -> DataFrame:
+    """(lat_a, lon_a, lat_b, lon_b, km) of different places (lat_a, lon_a) and (lat_b, lon_b) near each other: each pair of places is reckoned once, whatever stands there."""
+    x = _dealt(a.select("lat_a", "lon_a").distinct(), "lat_a", "lon_a").withColumn("_cell", F.explode(cells_within(F.col("lat_a"), F.col("lon_a"), km)))
+    y = b.select("lat_b", "lon_b").distinct().withColumn("_cell", cell(F.col("lat_b"), F.col("lon_b"), km))
+    d = haversine_km(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b"))
+    return x.join(y, "_cell").select("lat_a", "lon_a", "lat_b", "lon_b", d.alias("km")).where(F.col("km") <= km)
+
+
+def near(left: DataFrame, right: DataFrame, km: float) -> DataFrame:
+    """Pairs of rows of both tables (columns lat and lon; all columns come as structs a and b) at most ``km`` apart, with their distance. Rows without a place, or with a latitude that there isn't, are near none.
+
+    Places meet first, then the rows of the right table, then those of the left: what is shuffled is a row for each place and right row, never a pair of rows.
+    """
+    a, b = _placed(left, "a"), _placed(right, "b")
+    around = _near_places(a, b, km).join(b, ["lat_b", "lon_b"]).select("lat_a", "lon_a", "b", "km")
+    return _dealt(around, "lat_a", "lon_a").join(_dealt(a, "lat_a", "lon_a"), ["_at", "lat_a", "lon_a"]).select("a", "b", "km")
+
+
 def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, km: float) -> DataFrame:
-    """(left_id, right_id, km): of every row the nearest one within the radius, the least id at equal distances; null if there is none."""
-    pairs = near(left.select(left_id, "lat", "lon"), right.select(right_id, "lat", "lon"), km)
-    best = pairs.groupBy(F.col(f"a.{left_id}").alias("_id")).agg(F.min(F.struct("km", F.col(f"b.{right_id}").alias("id"))).alias("m"))
-    return left.select(left_id).join(best, F.col(left_id) == F.col("_id"), "left").select(left_id, F.col("m.id").alias(right_id), F.col("m.km").alias("km"))
+    """(left_id, right_id, km): of every row the nearest one within the radius, the least id at equal distances; null if there is none.
+
+    Found once for each different place of the left table, among the least ids of the places of the right one.
+    """
+    a, b = _placed(left.select(left_id, "lat", "lon"), "a"), _placed(right.select(right_id, "lat", "lon"), "b")
+    least = b.groupBy("lat_b", "lon_b").agg(F.min(f"b.{right_id}").alias("id"))
+    best = _near_places(a, least, km).join(least, ["lat_b", "lon_b"]).groupBy("lat_a", "lon_a").agg(F.min(F.struct("km", "id")).alias("m"))
+    found = left.select(left_id, F.col("lat").cast("double").alias("_lat"), F.col("lon").cast("double").alias("_lon"))
+    return found.join(best, (F.col("_lat") == F.col("lat_a")) & (F.col("_lon") == F.col("lon_a")), "left").select(left_id, F.col("m.id").alias(right_id), F.col("m.km").alias("km"))
 
 
 def clusters(df: DataFrame, id_col: str, lat: str, lon: str, value: str, region: str, km: float = 150.0) -> DataFrame:
@@ -89,7 +123,7 @@ def clusters(df: DataFrame, id_col: str, lat: str, lon: str, value: str, region:
         # Cells of three tenths of the radius are less than the radius across, also where few pieces go around a pole.
         best = free.groupBy("region", cell(c("lat"), c("lon"), 0.3 * km).alias("cell")).agg(F.max("rank").alias("m"), F.max_by(F.struct("id", "lat", "lon"), "rank").alias("p"))
         best = best.select("region", "m", "p.*")
-        pairs = checkpointed(near(free, best, km, ["region"]).select(c("a.id").alias("id"), c("a.rank").alias("rank"), c("b.id").alias("seed"), c("b.m").alias("m"), "km"))
+        pairs = checkpointed(_near_rows(free, best, km, ["region"]).select(c("a.id").alias("id"), c("a.rank").alias("rank"), c("b.id").alias("seed"), c("b.m").alias("m"), "km"))
         beaten = pairs.where("rank > m").select("seed").distinct()
         taken = pairs.join(beaten, "seed", "left_anti").groupBy("id").agg(F.max(F.struct("m", "seed", "km")).alias("t"))
         settled.append(checkpointed(taken.select("id", "t.m", "t.seed", "t.km")))

@@ -39,6 +39,17 @@ def test_nearest(spark):
     assert {r.id: r.pid for r in nearby.nearest(a, b, "id", "pid", 100.0).collect()} == {1: 5, 2: None, 3: None}
 
 
+def test_many_rows_of_one_place_meet_once(spark):
+    """3,000 rows of two places each side: the nearest are found without a row for each of the pairs, and no table that makes pairs is in one task."""
+    a = spark.range(3000).selectExpr("id", "double(id % 2) AS lat", "0.0D AS lon").coalesce(1)
+    b = spark.range(3000).selectExpr("id AS pid", "double(id % 2) AS lat", "0.1D AS lon").coalesce(1)
+    assert {(r.id, r.pid) for r in nearby.nearest(a, b, "id", "pid", 50.0).collect()} == {(i, i % 2) for i in range(3000)}
+    plan = nearby.nearest(a, b, "id", "pid", 50.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") >= 3  # both sides' places, and their nearest
+    pairs = nearby.near(a, b, 50.0)
+    assert pairs.count() == 2 * 1500 * 1500 and pairs.rdd.getNumPartitions() == 4
+
+
 @pytest.mark.parametrize("radius", [150.0, 1500.0])
 def test_clusters_equal_a_loop(spark, radius):
     rng = random.Random(5)
