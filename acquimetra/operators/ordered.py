@@ -23,24 +23,26 @@ def _sized(df: DataFrame) -> DataFrame:
 
 
 def spread_quantiles(df: DataFrame, keys: Sequence[str], value: str, at: Sequence[float], prefix: str = "p") -> DataFrame:
-    """Count and exact interpolated percentiles of each group, like ``relational.quantiles``, for groups that no task could hold.
+    """Count and exact interpolated percentiles of each group, like ``relational.quantiles``, for groups that no task could hold. Equal values of a group collapse first.
 
     Groups with a null key are groups; null values are not counted, and a group without others has n 0 and null percentiles.
     """
     group = F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0).alias("_all"))
     rows = df.select(group.alias("g"), F.col(value).cast("double").alias("v"))
-    ordered = rows.where("v is not null").repartitionByRange("g", "v").sortWithinPartitions("g", "v")
-    # The lower 33 bits count a partition's rows in their order.
-    index = F.monotonically_increasing_id()
-    placed = checkpointed(ordered.select("g", "v", F.shiftright(index, 33).alias("part"), index.bitwiseAND(F.lit((1 << 33) - 1)).alias("row")))
-    runs = placed.groupBy("g", "part").agg(F.min("row").alias("start"), F.count(F.lit(1)).alias("c"))
+    counts = rows.where("v is not null").groupBy("g", "v").agg(F.count(F.lit(1)).alias("c"))
+    placed = checkpointed(counts.repartitionByRange("g", "v").select("g", "v", "c", F.spark_partition_id().alias("part")))
+    runs = placed.groupBy("g", "part").agg(F.sum("c").alias("c"))
     by = W.partitionBy("g").orderBy("part").rowsBetween(W.unboundedPreceding, 0)
-    runs = runs.select("g", "part", "start", "c", (F.sum("c").over(by) - F.col("c")).alias("first"), F.sum("c").over(W.partitionBy("g")).alias("n"))
+    runs = runs.select("g", "part", "c", (F.sum("c").over(by) - F.col("c")).alias("first"), F.sum("c").over(W.partitionBy("g")).alias("n"))
     exact = (F.col("n") - 1) * F.col("q.q")
     asked = runs.select("*", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(q)).alias("q")) for i, q in enumerate(at)])).alias("q"))
-    asked = asked.select("g", "part", "start", "c", "first", "n", F.col("q.i").alias("i"), exact.alias("exact"), F.explode(F.array_distinct(F.array(F.floor(exact), F.ceil(exact)))).alias("rank"))
-    wanted = checkpointed(asked.where((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("c"))).select("part", (F.col("start") + F.col("rank") - F.col("first")).alias("row"), "g", "n", "i", "exact", "rank"))
-    found = placed.select("part", "row", "v").join(_sized(wanted), ["part", "row"])
+    asked = asked.select("g", "part", "c", "first", "n", F.col("q.i").alias("i"), exact.alias("exact"), F.explode(F.array_distinct(F.array(F.floor(exact), F.ceil(exact)))).alias("rank"))
+    wanted = checkpointed(asked.where((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("c"))).select("g", "part", (F.col("rank") - F.col("first")).alias("row"), "n", "i", "exact", "rank"))
+    # Only partitions that hold a wanted rank are counted through; each was written by one task.
+    held = placed.join(_sized(wanted.select("part", F.col("g").alias("h")).distinct()).withColumnRenamed("part", "p"), (F.col("part") == F.col("p")) & F.col("g").eqNullSafe(F.col("h")), "left_semi")
+    upto = held.select("g", "part", "v", "c", F.sum("c").over(W.partitionBy("g", "part").orderBy("v").rowsBetween(W.unboundedPreceding, 0)).alias("to"))
+    asking = _sized(wanted.select(F.col("g").alias("h"), F.col("part").alias("p"), "row", "n", "i", "exact", "rank"))
+    found = upto.join(asking, (F.col("part") == F.col("p")) & F.col("g").eqNullSafe(F.col("h")) & (F.col("row") < F.col("to")) & (F.col("row") >= F.col("to") - F.col("c")))
     low, high = F.max(F.when(F.col("rank") == F.floor("exact"), F.col("v"))), F.max(F.when(F.col("rank") == F.ceil("exact"), F.col("v")))
     part = F.max(F.col("exact") - F.floor("exact"))
     each = found.groupBy("g", "n", "i").agg(F.when(part == 0, low).otherwise((1 - part) * low + part * high).alias("p"))

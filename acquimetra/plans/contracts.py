@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from acquimetra.catalog import query
 from acquimetra.functions.brackets import COMPETITION, VALUE_RANGES, bracket
 from acquimetra.operators import relational as R
+from acquimetra.operators.ordered import spread_quantiles
 from acquimetra.operators.scoring import discount_percent
 from acquimetra.sources.canonical import CONTRACTS_SQL as C
 from acquimetra.sources.canonical import MONEY, contracts, tenders
@@ -49,7 +50,8 @@ def category_percentiles(spark: SparkSession, d: str) -> DataFrame:
     t = Tables(spark, d)
     kind = F.when(F.col("p_type").ilike("%eco%"), "basico").when(F.col("p_type").ilike("%promo%") | F.col("p_type").ilike("%large%"), "grande").otherwise("outros")
     c = contracts(t).where("value > 0").join(t.part, F.col("part") == F.col("p_partkey")).withColumn("category", kind)
-    return R.quantiles(c, ["category"], "value", (0.1, 0.25, 0.5, 0.75, 0.9), kind="decimal(18,4)")
+    q = spread_quantiles(c, ["category"], "value", (0.1, 0.25, 0.5, 0.75, 0.9))
+    return q.select("category", "n", *[F.col(p).cast("decimal(18,4)").alias(p) for p in ("p10", "p25", "p50", "p75", "p90")])
 
 
 @query("value_observations_union", f"""WITH {C} SELECT order_id, CAST(NULL AS INTEGER) AS line, buyer, estimate AS value, 'estimado' AS basis FROM (SELECT o_orderkey AS order_id, o_custkey AS buyer, CAST(o_totalprice AS DECIMAL(18,2)) AS estimate FROM orders)
@@ -67,8 +69,9 @@ CAST(quantile_cont(CAST(value AS DOUBLE), 0.25) AS DECIMAL(18,4)) AS p25, CAST(q
 SELECT basis, n, low, high, s1 / n AS mean, CAST(round(CAST(sqrt((s2 - s1 * s1 / n) / (n - 1)) AS DECIMAL(18,6)), 2) AS DECIMAL(18,2)) AS sd, CAST(round(CAST(sqrt((s2 - s1 * s1 / n) / n) * 100 * n / s1 AS DECIMAL(18,6)), 2) AS DECIMAL(18,2)) AS cv, p25, p50, p75 FROM s""")
 def value_statistics(spark: SparkSession, d: str) -> DataFrame:
     v = value_observations_union(spark, d)
-    p = lambda x: F.percentile(F.col("value").cast("double"), F.lit(x)).cast("decimal(18,4)")
-    s = v.groupBy("basis").agg(F.count("value").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"), F.sum("value").cast("double").alias("s1"), F.sum(F.col("value") * F.col("value")).cast("double").alias("s2"), p(0.25).alias("p25"), p(0.5).alias("p50"), p(0.75).alias("p75"))
+    s = v.groupBy("basis").agg(F.count("value").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"), F.sum("value").cast("double").alias("s1"), F.sum(F.col("value") * F.col("value")).cast("double").alias("s2"))
+    q = spread_quantiles(v, ["basis"], "value", (0.25, 0.5, 0.75)).select("basis", *[F.col(p).cast("decimal(18,4)").alias(p) for p in ("p25", "p50", "p75")])
+    s = s.join(q, "basis")
     spread = F.col("s2") - F.col("s1") * F.col("s1") / F.col("n")
     sd, cv = F.sqrt(spread / (F.col("n") - 1)), F.sqrt(spread / F.col("n")) * 100 * F.col("n") / F.col("s1")
     two = lambda x: F.round(x.cast("decimal(18,6)"), 2).cast(MONEY)

@@ -117,3 +117,21 @@ def test_json_is_built_and_appended(spark):
     got = {r.id: r.x for r in df.select("id", records.appended(F.col("h"), F.struct(F.lit(9).alias("a")), "struct<a: int>").alias("x")).collect()}
     assert json.loads(got[1]) == [{"a": 1}, {"a": 9}] and json.loads(got[2]) == [{"a": 9}] and json.loads(got[3])[-1] == {"a": 9}
     assert df.select(records.packed({"x": F.col("id"), "y": F.col("h")}).alias("j")).orderBy("j").first().j == '{"x":1,"y":"[{\\"a\\": 1}]"}'
+
+
+@pytest.mark.parametrize("name", ["value_statistics", "category_percentiles"])
+def test_percentiles_of_large_groups_are_spread(spark, sf_dir, name):
+    """No aggregate that keeps a group's values, and no window over a whole group."""
+    import __spark_entry__
+
+    plan = __spark_entry__.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile(" not in plan and "unboundedfollowing" not in plan.lower()
+
+
+def test_equal_values_collapse_in_spread_quantiles(spark):
+    df = spark.range(4000).selectExpr("id % 2 AS g", "CASE WHEN id < 3000 THEN 7.0D ELSE double(id) END AS v")
+    got = {r.g: (r.n, r.p25, r.p50, r.p90) for r in ordered.spread_quantiles(df, ["g"], "v", (0.25, 0.5, 0.9)).collect()}
+    for g in (0, 1):
+        vs = sorted(7.0 if i < 3000 else float(i) for i in range(4000) if i % 2 == g)
+        at = 0.9 * (len(vs) - 1)
+        assert got[g] == (2000, 7.0, 7.0, pytest.approx(vs[int(at)] * (1 - at % 1) + vs[int(at) + 1] * (at % 1)))
