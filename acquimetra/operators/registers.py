@@ -60,11 +60,17 @@ def keyed_duplicates(df: DataFrame, id_col: str, keys: Sequence[Column], order:
     Keys are counted before they are joined back, so rows of a hot key meet only its count. Rows without a shared key keep themselves at level 0.
     """
     at = F.struct(*[o.alias(f"_o{i}") for i, o in enumerate(order)], F.col(id_col).alias("id"))
-    rows = df.select(F.col(id_col), at.alias("_at"), F.posexplode_outer(F.array(*[k.cast("string") for k in keys])).alias("_level", "_key"))
-    shared = rows.where("_key is not null").groupBy("_level", "_key").agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("first")).where("n > 1")
-    met = rows.join(shared, ["_level", "_key"], "left")
-    best = F.min(F.when(F.col("n").isNotNull(), F.struct((F.col("_level") + 1).alias("level"), F.col("first.id").alias("keeper")))).alias("b")
-    return met.groupBy(id_col).agg(best).select(id_col, F.coalesce("b.keeper", F.col(id_col)).alias("keeper"), F.coalesce("b.level", F.lit(0)).alias("level"))
+    each = F.array(*[F.struct(F.lit(i).alias("level"), k.cast("string").alias("key")) for i, k in enumerate(keys)])
+    rows = df.select(at.alias("_at"), F.explode(F.filter(each, lambda x: x["key"].isNotNull())).alias("_k")).select("_at", F.col("_k.level").alias("_level"), F.col("_k.key").alias("_key"))
+    # Spark sorts to find the least of structs: dealt by key and a part of it first, a task sorts a share of its rows, and a hot key's are in many tasks.
+    parts = rows.select("_level", "_key", "_at", F.pmod(F.xxhash64("_at.id"), F.lit(16)).alias("_part")).repartition("_level", "_key", "_part")
+    some = parts.groupBy("_level", "_key", "_part").agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("first"))
+    shared = some.groupBy("_level", "_key").agg(F.sum("n").alias("n"), F.min("first").alias("first")).where("n > 1").select("_level", "_key", F.col("first.id").alias("keeper"))
+    met = rows.select("_level", "_key", F.col("_at.id").alias("_id")).join(shared, ["_level", "_key"])
+    # The level decides, and a row has one keeper a level: a number for each level keeps the aggregate free of structs.
+    best = met.groupBy("_id").agg(F.min("_level").alias("_level"), *[F.min(F.when(F.col("_level") == i, F.col("keeper"))).alias(f"_k{i}") for i in range(len(keys))])
+    keeper = F.coalesce(*[f"_k{i}" for i in range(len(keys))], F.col(id_col))
+    return df.select(id_col).distinct().join(best, F.col(id_col) == F.col("_id"), "left").select(id_col, keeper.alias("keeper"), (F.coalesce("_level", F.lit(-1)) + 1).alias("level"))
 
 
 def merged_fields(df: DataFrame, group: str, order: Sequence[Column], fields: Sequence[str], origin: str) -> DataFrame:

@@ -113,3 +113,14 @@ def test_indel_ratio():
     assert matching.indel_ratio("abc", "abc") == 1.0
     assert matching.indel_ratio("abcd", "abed") == 0.75
     assert matching.indel_ratio("", "a") == 0.0
+
+
+def test_keyed_duplicates_without_keys_meet_nothing(spark):
+    """Rows without a key aren't shuffled by it; a hot key's rows are dealt to many tasks before their least is sought."""
+    from acquimetra.operators import registers
+
+    df = spark.range(300).selectExpr("id", "CASE WHEN id < 200 THEN 'hot' END AS k", "int(300 - id) AS made")
+    out = registers.keyed_duplicates(df, "id", [F.lit(None).cast("string"), F.col("k")], [F.col("made")])
+    assert {r.id: (r.keeper, r.level) for r in out.collect()} == {i: (199, 2) if i < 200 else (i, 0) for i in range(300)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "_part" in plan and "posexplode_outer" not in plan
