@@ -78,3 +78,14 @@ def test_greedy_dedup_equals_a_loop(spark):
 def test_stream_ingest_is_repeatable(spark, sf_dir):
     first, second = (sorted(map(str, QUERIES["stream_ingest"](spark, sf_dir).collect())) for _ in range(2))
     assert first and first == second
+
+
+def test_links_do_not_depend_on_known_tokens(spark, monkeypatch):
+    """All links are found whether all frequent tokens order the sets or only one does."""
+    rows = [(i, " ".join(f"word{(i // 3 + j * (1 + i % 3 // 2)) % 11}" for j in range(8)), "x") for i in range(30)]
+    df = spark.createDataFrame(rows, "id long, text string, block string")
+    sets = {i: set(t.split()) for i, t, _ in rows}
+    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.75}
+    for known in (1, 100_000):
+        monkeypatch.setattr(matching, "KNOWN", known)
+        assert {(r.a, r.b) for r in matching.similar_pairs(df, "id", "text", ["block"]).collect()} == want
