@@ -54,7 +54,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> tuple[DataFrame, str]:
 
     Every round joins each edge to the least neighbour of one of its ends and rewires it there, so the edge count never
     grows and the number of rounds is logarithmic. Hubs are only ever aggregated by ``min`` or met in a sort-merge
-    join, which adaptive execution splits. Returns (id, component) for the ids that occur in a link, with the path of the written table; component is the
+    join, which adaptive execution splits; the hints keep Spark from a broadcast, since links that lie packed in a small file may be many. Returns (id, component) for the ids that occur in a link, with the path of the written table; component is the
     least id that can be reached. Rows with a null end are ignored; equal rows count once.
     """
     spark = links.sparkSession
@@ -64,10 +64,10 @@ def components(links: DataFrame, max_rounds: int = 60) -> tuple[DataFrame, str]:
         # Large star: each end's larger neighbours move to its least neighbour.
         both = edges.select(F.col("u").alias("x"), F.col("v").alias("y")).union(edges.select(F.col("v").alias("x"), F.col("u").alias("y")))
         least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-        large = both.where("y > x").join(least, "x").select(F.col("y").alias("v"), F.col("m").alias("u"))
+        large = both.where("y > x").join(least.hint("merge"), "x").select(F.col("y").alias("v"), F.col("m").alias("u"))
         # Small star: each node's smaller neighbours, and the node, move to the least of them.
         low = large.groupBy("v").agg(F.min("u").alias("m"))
-        moved = large.join(low, "v")
+        moved = large.join(low.hint("merge"), "v")
         after = moved.select(F.col("u").alias("v"), F.col("m").alias("u")).where("v <> u").union(low.select("v", F.col("m").alias("u"))).distinct()
         new, new_path = cut(after, "links")
         # Done when every node hangs on one root and no root hangs on another.

@@ -218,9 +218,12 @@ def _signed(x: int) -> int:
 
 
 def _shared(nodes: DataFrame, *keys: str) -> DataFrame:
-    """Rows of nodes with two members or more, each node's rows together, with the count ``n``; counted before any node's rows meet."""
+    """Rows of nodes with two members or more, each node's rows together, with the count ``n``; counted before any node's rows meet.
+
+    Spark takes the nodes for as small as the fingerprints' file that they are made from, so without the hint it would broadcast them.
+    """
     counts = nodes.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return nodes.join(counts, list(keys))
+    return nodes.join(counts.hint("merge"), list(keys))
 
 
 def _together(nodes: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
@@ -247,8 +250,8 @@ def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, id_col: str
     fps, _ = cut(with_fingerprints(docs, words, id_col, text_col), "fingerprints")
     distinct = fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id"))
     linked, _ = near_components(distinct, bits)
-    named = distinct.join(linked, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    return fps.join(named, "fp", "left").select(
+    named = distinct.join(linked.hint("merge"), "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
+    return fps.join(named.hint("merge"), "fp", "left").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")
     )
 

@@ -7,6 +7,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from acquimetra.llm import shared, simhash
 
@@ -175,3 +176,15 @@ def test_one_tree_keeps_nodes_apart():
         want = forest(n, near.tolist())
         assert len(set(want)) == len(set(got[at].tolist()))
         assert len({(w, r) for w, r in zip(want, got[at].tolist(), strict=True)}) == len(set(want))
+
+
+def test_nodes_and_links_are_never_broadcast(spark, tmp_path):
+    """Fingerprints in a small file make fifteen times as many rows of nodes, which no driver may have to hold."""
+    fps = spark.range(2000).select(F.xxhash64("id").alias("fp"), "id")
+    fps.write.parquet(str(tmp_path / "fps"))
+    fps = spark.read.parquet(str(tmp_path / "fps"))
+    nodes = fps.select("fp", "id", F.explode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in (255, 65280)])).alias("key"))
+    assert "BroadcastHashJoin" not in simhash._shared(nodes, "key")._jdf.queryExecution().executedPlan().toString()
+    found = simhash.near_duplicates(spark.createDataFrame([(i, "same words all over", None, None, None) for i in range(50)], DOC))
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.component_id for r in found.collect()} == {0}
