@@ -3,9 +3,10 @@
 Renderings of successive turn prefixes are compared: where one starts with the one before, the rest is the new turn's
 span; where it doesn't, the template has rewritten history, which is reported, and the span is what follows the common
 prefix. Inside an assistant's span, renderings with two probe texts show where the text starts, so that the loss mask holds the text
-alone. All prefixes are rendered from the start, which takes time in proportion to the square of the turns. A caller who knows that a template looks back no
-further may name a ``context``: beyond ``LONG`` turns, prefixes then start so many turns back, and the spans so found must add up to the whole rendering, as must
-the prefixes of up to ``LONG`` turns and of every power of two be its beginnings; if they don't, all prefixes are rendered from the start.
+alone. All prefixes are rendered from the start, which takes time in proportion to the square of the turns; the query does so for every conversation. A caller who
+promises that a template looks back no further may name a ``context``: at any length prefixes then start so many turns back, and the spans so found must add up to the
+whole rendering, as must the prefixes of up to ``LONG`` turns and of every power of two be its beginnings; if they don't, all prefixes are rendered from the start.
+A promise that holds gives the same result as all prefixes; one that fails at other lengths only is not noticed.
 
 Turns of a conversation come in order to one task and leave it as one row, so a conversation has to fit in a task; others stream past it.
 
@@ -16,9 +17,9 @@ their own; a null conv_id is a conversation like any other; extra columns are ig
 from __future__ import annotations
 
 import hashlib
-import os
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,7 +34,7 @@ LONG = 48
 
 def escape(text: str) -> str:
     """Every ``<``, backslashes, ``|`` gets one backslash more, so no control string survives and ``unescape`` is exact."""
-    return re.sub(r"<(\\*)\|", r"<\\\1|", text)
+    return re.sub(r"<(\\*)\|", r"<\\\1|", text) if "<" in text else text
 
 
 def unescape(text: str) -> str:
@@ -45,6 +46,7 @@ def chatml(turns: list[Turn]) -> str:
     return "".join([f"<|im_start|>{_role(r)}\n{escape(t)}<|im_end|>\n" for r, t in turns])
 
 
+@lru_cache(256)
 def _role(role: str) -> str:
     return escape(role.replace("\\", "\\\\").replace("\n", "\\n"))
 
@@ -55,6 +57,18 @@ def parse_chatml(span: str) -> Turn:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role)), unescape(text)
 
 
+def _common(a: str, b: str) -> int:
+    """Length of the common beginning, by halves."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        mid = (low + high + 1) // 2
+        if a[low:mid] == b[low:mid]:
+            low = mid
+        else:
+            high = mid - 1
+    return low
+
+
 def _spans(turns: list[Turn], template: Template, context: int | None) -> tuple[list[tuple[int, int]], list[tuple[int, int]], bool]:
     """Spans of turns, of assistants' texts, and whether history was rewritten; context: how many turns a prefix goes back, None for all."""
     spans, bodies, rewrites, at = [], [], False, 0
@@ -67,12 +81,12 @@ def _spans(turns: list[Turn], template: Template, context: int | None) -> tuple[
         if out.startswith(before):
             start = len(before)
         else:
-            rewrites, start = True, len(os.path.commonprefix([before, out]))
+            rewrites, start = True, _common(before, out)
         base = at - start if context else 0
         spans.append((base + start, base + len(out)))
         if role == "assistant":
             a, b, none = (template([*past, (role, x)]) for x in ("A", "B", ""))
-            head = len(os.path.commonprefix([a, b]))
+            head = _common(a, b)
             bodies.append((base + head, base + head + len(out) - len(none)))
         at, before = base + len(out), out
     return spans, bodies, rewrites
@@ -82,9 +96,9 @@ def format_conversation(turns: list[Turn], template: Template, context: int | No
     """The rendering, each turn's span, the loss mask (spans of assistants' texts), and whether the template rewrites history."""
     whole = template(turns)
     n = len(turns)
-    if context and n > LONG:
+    if context and n:
         spans, bodies, rewrites = _spans(turns, template, context)
-        sizes = [*range(LONG + 1), *(1 << k for k in range(LONG.bit_length(), n.bit_length()))]
+        sizes = [*range(min(n, LONG) + 1), *(1 << k for k in range(LONG.bit_length(), n.bit_length()))]
         if not rewrites and spans[-1][1] == len(whole) and all(whole.startswith(template(turns[:k])) for k in sizes):
             if all(whole[a:b] == template([*turns[max(0, k - context) : k], turns[k]])[a - b :] for k, (a, b) in enumerate(spans) if b > a):
                 return whole, spans, bodies, False
@@ -151,8 +165,7 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(own)
-    # The query's own template renders each turn by itself.
-    return formatted(rows, chatml, _digest, context=1, schema="conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, rewrites boolean")
+    return formatted(rows, chatml, _digest, schema="conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, rewrites boolean")
 
 
 _SAID = "'<|im_end|><|im_start|>assistant ok'"

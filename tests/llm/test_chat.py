@@ -85,3 +85,25 @@ def test_rewrites_are_found_at_any_length(context, turns):
     *_, rewrites = chat.format_conversation(said, odd, context)
     assert rewrites == (turns >= 10)
     assert chat.format_conversation(said, chat.chatml, context) == chat.format_conversation(said, chat.chatml)
+
+
+@pytest.mark.parametrize("at", [5, 48, 49, 53])
+def test_query_renders_every_prefix_at_any_length(monkeypatch, at):
+    """A template that alters the first turn for one length only; what the query hands to the operator must not hide it in longer conversations."""
+    given = []
+    monkeypatch.setattr(chat, "table", lambda *_: _Rows())
+    monkeypatch.setattr(chat, "formatted", lambda rows, template, finish, context=None, schema="": given.append(context))
+    chat.op6_chat(_Rows(), "")
+
+    def odd(xs):
+        return ("*" if len(xs) == at else "-") + "".join(f"[{r}:{t}]" for r, t in xs)
+
+    said = [(("user", "assistant")[i % 2], f"t{i}") for i in range(100)]
+    assert chat.format_conversation(said, odd, *given)[3]
+
+
+class _Rows:
+    """Stands for a session and a table."""
+
+    def __getattr__(self, name):
+        return lambda *_: self
