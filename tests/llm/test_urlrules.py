@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from itertools import combinations
 
 import pytest
@@ -100,3 +101,29 @@ def test_repeated_long_urls_and_labels_of_ones_own(spark):
     assert len(got) == len(rows) and all(got[i].verdict == "block" for i in range(500))
     assert got[900].verdict == "block" and got[901].verdict == "block" and got[501].verdict == "allow"
     assert max(len(r.mined.split(" ")) for r in got.values() if r.mined) <= urlrules.MOST
+
+
+def test_long_baskets_are_mined_whole(spark):
+    """Fourteen tokens that mostly occur together, and labels that hang on two of them: all rules against counting over all token sets."""
+    rng, names = random.Random(3), "abcdefghijklmn"
+    sets = [frozenset(t for t in names if rng.random() < 0.75) for _ in range(240)]
+    labelled = [(t, "block" if {"m", "n"} <= t or rng.random() < 0.3 else "allow") for t in sets if t]
+    least, sure = 48, 0.8
+    assert max(map(len, sets)) > urlrules.MOST
+    want = {}
+    for size in range(1, len(names) + 1):
+        for c in combinations(names, size):
+            have = [v for t, v in labelled if t.issuperset(c)]
+            for v in ("allow", "block"):
+                if (n := have.count(v)) >= least and n / len(have) >= sure:
+                    want[c, v] = n / len(have)
+    want = {(c, v): p for (c, v), p in want.items() if not any(want.get((c[:i] + c[i + 1 :], v), 0) >= p for i in range(len(c)))}
+    rows = [(f"{i}", sorted(t), v, 1) for i, (t, v) in enumerate(labelled)]
+    got = urlrules.mine(spark.createDataFrame(rows, "key string, tokens array<string>, label string, n long"), 0.01, sure, least).collect()
+    assert {(tuple(r.tokens), r.verdict) for r in got} == set(want) and any(len(c) > 1 for c, _ in want)
+
+
+def test_a_token_of_one_label_is_a_rule_by_itself(spark):
+    rows = [("1", ["a", "b"], "block", 30), ("2", ["b", "c"], "allow", 30), ("3", ["b"], "allow", 5), ("4", ["d"], "block", 3)]
+    got = urlrules.mine(spark.createDataFrame(rows, "key string, tokens array<string>, label string, n long"), 0.01, 0.8, 20).collect()
+    assert {(r.rule_id, r.verdict, r.confidence, r.support, r.rare) for r in got} == {("a", "block", 1.0, 30 / 68, "a"), ("c", "allow", 1.0, 30 / 68, "c")}
