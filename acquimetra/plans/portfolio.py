@@ -76,7 +76,9 @@ s AS (SELECT *, 'base' AS scenario, p AS q, 'as_is' AS t FROM k UNION ALL SELECT
 SELECT id, line, scenario, CASE WHEN ok THEN t ELSE 'insufficient_data' END AS trigger, count(*) AS n, CAST(sum(CASE WHEN ok THEN CAST(round(v * q * lo - cost) AS BIGINT) ELSE 0 END) AS BIGINT) AS roi_min, CAST(sum(CASE WHEN ok THEN CAST(round(v * q * hi - cost) AS BIGINT) ELSE 0 END) AS BIGINT) AS roi_max FROM s GROUP BY ALL""")
 def bid_scenarios(spark: SparkSession, d: str) -> DataFrame:
     c = F.col
-    x = Tables(spark, d).lineitem.select(
+    # A line's rows meet while there is one row for all three scenarios, and of few columns; the sums then need no other shuffle.
+    lines = Tables(spark, d).lineitem.select("l_orderkey", "l_linenumber", "l_discount", "l_extendedprice", "l_quantity", "l_returnflag", "l_tax").repartition("l_orderkey", "l_linenumber")
+    x = lines.select(
         c("l_orderkey").alias("id"), c("l_linenumber").alias("line"), F.when(c("l_linenumber") != 7, c("l_discount").cast("double") * 3).alias("p"), c("l_extendedprice").cast("double").alias("v"), (c("l_quantity").cast("int") % 15).alias("n"),
         F.when(c("l_returnflag") == "A", 0.1).otherwise(0.0).alias("bonus"), (c("l_tax").cast("double") * 6).alias("top"), F.lit(0.083).alias("lo"), F.lit(0.151).alias("hi"), F.lit(250.25).alias("cost"),
     )

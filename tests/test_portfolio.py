@@ -7,6 +7,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from __spark_entry__ import QUERIES
 from acquimetra.functions import hashing, text
 from acquimetra.operators import portfolio as P
 from acquimetra.operators import registers as G
@@ -118,3 +119,8 @@ def test_names_and_keys(spark):
     plain = hashing.portal_hash(F.lit("SC"), none, F.lit(None).cast("double"), none)
     got = df.select(key, portal, plain).first()
     assert list(got) == [hashlib.sha256(x.encode()).hexdigest() for x in ("pregao|obra n 1||2026-01-01|", "|içara|10.5|obra nova", "SC||0|")]
+
+
+def test_scenarios_are_made_after_the_only_shuffle(spark, sf_dir):
+    plan = QUERIES["bid_scenarios"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("Generate") < plan.index("Exchange")
