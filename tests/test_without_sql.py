@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
+from pyspark.sql import functions as F
+
 from __spark_entry__ import QUERIES
 from acquimetra.operators import matching, nearby
 from acquimetra.sources.tables import Tables
@@ -89,3 +92,18 @@ def test_links_do_not_depend_on_known_tokens(spark, monkeypatch):
     for known in (1, 100_000):
         monkeypatch.setattr(matching, "KNOWN", known)
         assert {(r.a, r.b) for r in matching.similar_pairs(df, "id", "text", ["block"]).collect()} == want
+
+
+def test_equal_names_are_compared_once(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("double")
+    def counted(a: pd.Series, b: pd.Series) -> pd.Series:
+        seen.add(len(a))
+        return pd.Series([matching.indel_ratio(x, y) for x, y in zip(a, b, strict=True)])
+
+    monkeypatch.setattr(matching, "fuzzy_ratio", counted)
+    left = spark.createDataFrame([(i, "b", "red bolt" if i % 2 else "blue rin") for i in range(400)], "id long, block string, name string")
+    right = spark.createDataFrame([(9, "b", "red bolts"), (7, "b", "red bolts"), (3, "b", "blue ring"), (1, "c", "red bolt")], "entity long, block string, name string")
+    got = {r.id: r.entity for r in matching.fuzzy_best(left, right, "id", "entity", "name", "block", 0.75).collect()}
+    assert got == {i: 7 if i % 2 else 3 for i in range(400)} and seen.value <= 8
