@@ -1,6 +1,7 @@
 """Records of one act in several systems, found by eight keys of falling worth.
 
 All keys of all records meet in one join; before it, records of a system that share a key become one row, so that a key with many records on both sides does not multiply them.
+Only keys and names of records go through it; what the few matches are compared by is fetched afterwards.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ def keys(probe: bool) -> list[Column]:
     """The eight keys; as a probe a record with a tax id is not looked for by its agency's name."""
     name = _joined("edital_number", "year", "agency_name")
     whole = _joined("agency_cnpj", "process_number", "year", "modality")
-    hashed = F.sha2(F.concat_ws("|", digits_only(F.col("agency_cnpj")), "process_number", F.col("year").cast("string"), "modality"), 256)
+    hashed = F.concat_ws("|", digits_only(F.col("agency_cnpj")), "process_number", F.col("year").cast("string"), "modality")  # as it is: it is shorter than its hash
     return [
         F.when(F.col("pncp_number").rlike(CONTROL) & ~F.lower(F.trim("pncp_number")).startswith("sc-"), F.col("pncp_number")), _joined("process_number", "agency_cnpj"), _joined("process_number", "year", "modality"), _joined("contract_number", "agency_cnpj"),
         _joined("edital_number", "year", "agency_cnpj"), F.when(F.coalesce(F.col("agency_cnpj"), F.lit("")) == "", name) if probe else name, _joined("sc_id"), F.when(whole.isNotNull(), hashed),
@@ -61,19 +62,21 @@ def matches(left: DataFrame, right: DataFrame) -> DataFrame:
     """(id, rule, score, match, match_system, candidates, conflicts, review) of every record of ``left``; null where nothing is found.
 
     Records: (id, system, ``FIELDS``, ``COMPARED``). Candidates are records of other systems; the first key that has any decides, and of these a record of ``PREFERRED`` and then the
-    least id is the match. Several candidates, serious conflicts, or two of any kind, ask for review. Repeated ids of ``right`` count once, by the least of their rows.
+    least id is the match. Several candidates, serious conflicts, or two of any kind, ask for review. Repeated ids of ``right`` count once, by the least of their rows; so do those of ``left`` for conflicts.
     """
     body = F.struct(*COMPARED)
     one = right.groupBy("id", "system").agg(F.min(F.struct(*[F.col(c) for c in dict.fromkeys((*FIELDS, *COMPARED))])).alias("r")).select("id", "system", "r.*")
-    held = _keyed(one, False, "id", "system", body.alias("b")).groupBy("rule", "key", "system").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"), F.min_by("b", "id").alias("b"))
-    probes = _keyed(left, True, "id", F.col("system").alias("own"), body.alias("a"))
+    held = _keyed(one, False, "id", "system").groupBy("rule", "key", "system").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
+    probes = _keyed(left, True, "id", F.col("system").alias("own"))
     met = probes.join(held, ["rule", "key"]).where("system <> own")
-    place = F.struct((F.col("system") != PREFERRED).alias("other"), F.col("least").alias("id"))
-    found = met.groupBy("id", "rule").agg(F.sum("n").alias("candidates"), F.min(place).alias("first"), F.min_by(F.struct("system", "b"), place).alias("best"), F.first("a").alias("a"))
-    best = found.groupBy("id").agg(F.min_by(F.struct("rule", "candidates", "first", "best", "a"), "rule").alias("m")).select(F.col("id").alias("_id"), "m.*")
+    place = F.struct((F.col("system") != PREFERRED).alias("other"), F.col("least").alias("id"), "system")
+    found = met.select("id", "rule", "n", place.alias("place")).repartition("id").groupBy("id", "rule").agg(F.sum("n").alias("candidates"), F.min("place").alias("first"))
+    best = found.groupBy("id").agg(F.min_by(F.struct("rule", "candidates", "first"), "rule").alias("m")).select(F.col("id").alias("_id"), "m.*")
+    bodies = one.select(F.col("id").alias("_rid"), F.col("system").alias("_rsystem"), body.alias("b"))
+    best = best.join(bodies, (F.col("first.id") == F.col("_rid")) & (F.col("first.system") == F.col("_rsystem"))).drop("_rid", "_rsystem")
     names, scores = F.array(*[F.lit(n) for n, _ in RULES]), F.array(*[F.lit(s) for _, s in RULES])
-    kinds = F.concat(conflicts(F.col("a"), F.col("best.b")), F.when(F.col("candidates") > 1, F.array(F.lit("ambiguous_match"))).otherwise(F.array().cast("array<string>")))
+    kinds = F.concat(conflicts(F.col("a"), F.col("b")), F.when(F.col("candidates") > 1, F.array(F.lit("ambiguous_match"))).otherwise(F.array().cast("array<string>")))
     serious = F.exists("conflicts", lambda c: c.isin("cnpj_conflict", "value_divergence", "status_divergence", "ambiguous_match")) | (F.size("conflicts") >= 2)
-    rows = left.select("id").distinct().join(best, F.col("id") == F.col("_id"), "left")
-    rows = rows.select("id", F.get(names, "rule").alias("rule"), F.get(scores, "rule").alias("score"), F.col("first.id").alias("match"), F.col("best.system").alias("match_system"), F.coalesce("candidates", F.lit(0)).alias("candidates"), F.when(F.col("rule").isNotNull(), kinds).alias("conflicts"))
+    rows = left.groupBy("id").agg(F.min(body).alias("a")).join(best, F.col("id") == F.col("_id"), "left")
+    rows = rows.select("id", F.get(names, "rule").alias("rule"), F.get(scores, "rule").alias("score"), F.col("first.id").alias("match"), F.col("first.system").alias("match_system"), F.coalesce("candidates", F.lit(0)).alias("candidates"), F.when(F.col("rule").isNotNull(), kinds).alias("conflicts"))
     return rows.withColumn("review", F.when(F.col("rule").isNotNull(), serious))

@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from __spark_entry__ import QUERIES
 from acquimetra.operators import judgement as J
 from acquimetra.operators import official as A
 from acquimetra.operators import registers as G
@@ -69,3 +70,8 @@ def test_keyed_duplicates(spark):
     df = spark.createDataFrame(rows, "id int, k1 string, k2 string, at int")
     got = {r.id: (r.keeper, r.level) for r in G.keyed_duplicates(df, "id", [F.col("k1"), F.col("k2")], [F.col("at")]).collect()}
     assert got == {1: (2, 1), 2: (2, 1), 3: (2, 2), 4: (4, 0), 5: (5, 0), 6: (6, 2), 7: (6, 2)}
+
+
+def test_keys_of_official_acts_meet_without_what_is_compared(spark, sf_dir):
+    plan = QUERIES["official_matches"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "min_by(b" not in plan and "sha2(" not in plan
