@@ -223,22 +223,23 @@ def _alike(df: DataFrame, at: Column, keys: Sequence[str], value: str, text: str
     Rows of equal words and values are one set. Sets meet by a rare word of theirs: sets so alike share one of their few rarest
     words within a value band, so that neither an agency's rows nor those with a common word all meet.
     """
+    from .matching import _rarest_first
+
     v = F.coalesce(F.col(value).cast("double"), F.lit(0.0))
     step = F.log(F.lit(1 / (1 - spread)))
     band = F.when(v > 0, F.floor(F.log(v) / step).cast("long")).otherwise(F.lit(-(1 << 40)))
     rows = df.where(" and ".join(f"{k} is not null" for k in keys)).select(at.alias("at"), F.struct(*keys).alias("k"), F.when(v > 0, v).otherwise(F.lit(0.0)).alias("v"), F.array_sort(notice_words(F.col(text))).alias("w"), band.alias("band")).where(F.size("w") > 0)
     sets = checkpointed(rows.groupBy("k", "band", "v", "w").agg(F.min("at").alias("rep")))
-    n = F.size("w")
-    each = sets.select("rep", "k", "band", n.alias("n"), F.explode("w").alias("word"))
-    rarity = each.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    ranked = each.join(rarity, "word").groupBy("rep", "k", "band", "n").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("o"))
-    prefix = (F.col("n") - F.ceil(F.col("n") * overlap - 1e-9) + 1).cast("int")
-    first = ranked.select("rep", "k", "band", F.explode(F.slice("o.word", F.lit(1), prefix)).alias("word"))
-    left = first.select("k", "word", F.col("rep").alias("ra"), F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"))
-    right = first.select("k", "word", F.col("rep").alias("rb"), "band")
-    met = left.join(right, ["k", "band", "word"]).where("ra < rb").select("ra", "rb").distinct()
-    of = lambda side: sets.select(F.col("rep").alias(f"r{side}"), F.col("v").alias(f"v{side}"), F.col("w").alias(f"w{side}"))
-    full = met.join(of("a"), "ra").join(of("b"), "rb")
+    hashed = sets.select("rep", "k", "band", F.transform("w", lambda w: F.xxhash64(w)).alias("t"))
+    n = F.size("t")
+    prefix = (n - F.ceil(n * overlap - 1e-9) + 1).cast("int")
+    first = hashed.select("rep", "k", "band", F.slice(_rarest_first(hashed)("t"), F.lit(1), prefix).alias("t")).select("rep", "k", "band", F.explode("t").alias("word"))
+    # Only hashes of keys, band and word meet; what they let in is compared as it stands. Of neighbouring bands the lower one reaches up.
+    left = first.select(F.col("rep").alias("ra"), "k", "word", F.posexplode(F.array("band", F.col("band") + 1)).alias("up", "band")).select("ra", "up", F.xxhash64("k", "band", "word").alias("key"))
+    right = first.select(F.col("rep").alias("rb"), F.xxhash64("k", "band", "word").alias("key"))
+    met = left.join(right, "key").where((F.col("ra") < F.col("rb")) | ((F.col("up") == 1) & (F.col("ra") != F.col("rb")))).select(F.least("ra", "rb").alias("ra"), F.greatest("ra", "rb").alias("rb")).distinct()
+    of = lambda side: sets.select(F.col("rep").alias(f"r{side}"), F.col("k").alias(f"k{side}"), F.col("v").alias(f"v{side}"), F.col("w").alias(f"w{side}"))
+    full = met.join(of("a"), "ra").join(of("b"), "rb").where("ka = kb")
     shared = F.size(F.array_intersect("wa", "wb"))
     near = F.when((F.col("va") > 0) & (F.col("vb") > 0), F.least("va", "vb") / F.greatest("va", "vb") >= 1 - spread).otherwise(F.col("va") == F.col("vb"))
     links = full.where(near).select("ra", "rb", (shared / (F.size("wa") + F.size("wb") - shared)).alias("overlap")).where(F.col("overlap") > overlap)

@@ -124,3 +124,8 @@ def test_names_and_keys(spark):
 def test_scenarios_are_made_after_the_only_shuffle(spark, sf_dir):
     plan = QUERIES["bid_scenarios"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and plan.index("Generate") < plan.index("Exchange")
+
+
+def test_words_of_notices_are_not_gathered_by_shuffle(spark, sf_dir):
+    plan = QUERIES["similar_notices"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "posexplode(array(band" in plan
