@@ -85,8 +85,8 @@ def build(docs: DataFrame, id_col: str, text_col: str, only: Sequence[str] | Non
 
 
 def frequencies(index: DataFrame) -> DataFrame:
-    """(term, df, occurrences) of every term."""
-    return index.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.size("positions")).alias("occurrences"))
+    """(term, df, occurrences, last) of every term; last is the farthest place that it has in a document."""
+    return index.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.size("positions")).alias("occurrences"), F.max(F.get(F.col("positions"), F.size("positions") - 1)).alias("last"))
 
 
 def _present(p: Phrase, at: dict[str, Column]) -> Column:

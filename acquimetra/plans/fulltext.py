@@ -26,9 +26,7 @@ h AS (SELECT doc_id, sum(idf * list_sum(list_transform(range(1, tf + 1), lambda
 
 @query("index_terms", f"WITH {_POSTINGS}, g AS (SELECT term, doc_id, count(*) AS n, max(pos) AS last FROM p GROUP BY ALL) SELECT term, count(*) AS df, CAST(sum(n) AS BIGINT) AS occurrences, CAST(max(last) AS INTEGER) AS last FROM g GROUP BY term")
 def index_terms(spark: SparkSession, d: str) -> DataFrame:
-    index = X.build(Tables(spark, d).documents, "doc_id", "text")
-    last = index.groupBy("term").agg(F.max(F.array_max("positions")).alias("last"))
-    return X.frequencies(index).join(last, "term").select("term", "df", "occurrences", "last")
+    return X.frequencies(X.build(Tables(spark, d).documents, "doc_id", "text"))
 
 
 @query("text_search", f"WITH {_POSTINGS}, {_HITS} SELECT doc_id, round(rank, 6) AS rank FROM h")

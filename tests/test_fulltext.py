@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+from __spark_entry__ import QUERIES
 from acquimetra.operators import fulltext as X
 
 SHAPE = "id long, text string, day int, e array<double>, rank int"
@@ -64,3 +65,8 @@ def test_find(spark):
     assert sorted(ids(near=("e", [1.0, 0.1], 0.7))) == [1, 3]
     assert [r.id for r in X.find(df, "id", newest="day", limit=2).collect()] == [None, 6]
     assert X.find(df.limit(0), "id", index.limit(0), ask, 0).count() == 0
+
+
+def test_terms_are_counted_in_one_pass(spark, sf_dir):
+    plan = QUERIES["index_terms"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 2
