@@ -9,6 +9,7 @@ from acquimetra.catalog import query
 from acquimetra.operators import bids as B
 from acquimetra.operators import relational as R
 from acquimetra.operators import scoring as G
+from acquimetra.operators.ordered import spread_quantiles
 from acquimetra.sources.canonical import CONTRACTS_SQL as C
 from acquimetra.sources.canonical import contracts
 from acquimetra.sources.tables import Tables
@@ -30,7 +31,7 @@ def bid_simulator(spark: SparkSession, d: str) -> DataFrame:
     owner = c.withColumn("_both", F.concat_ws("|", *both))
     hhi = R.share_concentration(owner, "_both", "supplier").select("_both", "hhi")
     x = c.where("estimate > value").select(*both, (1 - F.col("value").cast("double") / F.col("estimate").cast("double")).alias("d"))
-    q = R.quantiles(x, both, "d", (0.25, 0.5, 0.75)).join(x.groupBy(*both).agg(F.stddev_samp("d").alias("sd")), both).withColumn("_both", F.concat_ws("|", *both)).join(hhi, "_both")
+    q = spread_quantiles(x, both, "d", (0.25, 0.5, 0.75)).join(x.groupBy(*both).agg(F.stddev_samp("d").alias("sd")), both).withColumn("_both", F.concat_ws("|", *both)).join(hhi, "_both")
     code = F.element_at(F.array(*map(F.lit, _CODES)), 1 + F.dayofmonth("o_orderdate") % 5)
     rows = t.orders.join(q, (F.col("o_orderpriority") == F.col("modality")) & (F.col("o_orderstatus") == F.col("status")))
     s = B.simulate(F.col("o_totalprice"), F.when(F.month("o_orderdate") != 1, F.col("hhi")), F.col("n"), F.col("p50"), F.col("p25"), F.col("p75"), F.col("sd"), code)

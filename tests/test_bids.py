@@ -7,6 +7,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from __spark_entry__ import QUERIES
 from acquimetra.operators import bids as B
 
 
@@ -52,3 +53,8 @@ def test_unmatched(spark):
     rows = [(1, None, "1", None, day), (2, None, "", "n", day - dt.timedelta(91)), (3, 5, "1", "n", day), (4, None, None, "", day), (5, None, None, "n", None)]
     df = spark.createDataFrame(rows, "id int, entity int, agency_cnpj string, agency_name string, published date")
     assert {(r.id, r.match_opportunity, r.recency) for r in B.unmatched(df, F.lit(day)).collect()} == {(1, "has_cnpj", "recent"), (2, "name_only", "historical"), (5, "name_only", "historical")}
+
+
+def test_no_window_holds_a_group_of_discounts(spark, sf_dir):
+    plan = QUERIES["bid_simulator"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "windowspecdefinition(_g" not in plan
