@@ -79,14 +79,16 @@ def dead_letters(spark: SparkSession, d: str) -> DataFrame:
     """Events that are too dear fail as often as their value says; a stream of files pushes and replays them, then the rest is replayed and old dead ones go."""
     home = shared_folder(spark, "dead")
     failed = Tables(spark, d).events.where("value > 20").select(F.col("event_type").alias("source"), F.col("event_id").cast("string").alias("record"), F.col("ts").alias("failed_at"), F.lit("value").alias("error_code"), F.format_string("{\"value\": %s}", F.col("value")).alias("payload"))
-    failed.repartition(2, "record").write.parquet(f"{home}/landing")
+    # As many files as the rows need; two micro-batches take half of them each, by several tasks.
+    files = max(2, spark.sparkContext.defaultParallelism, failed.rdd.getNumPartitions())
+    failed.repartition(files, "record").write.parquet(f"{home}/landing")
     as_of = F.lit("2024-04-20 00:00:00").cast("timestamp")
 
     def retry(replayed: DataFrame) -> DataFrame:
         again = replayed.where(F.floor(F.get_json_object("payload", "$.value").cast("double")).cast("int") % 5 >= F.col("retry_count"))
         return again.withColumn("failed_at", F.col("failed_at") + F.expr("interval 1 hour"))
 
-    deadletters.drain(spark, f"{home}/landing", failed.schema, f"{home}/letters", f"{home}/checkpoint", retry, lambda _: as_of, limit=None)
+    deadletters.drain(spark, f"{home}/landing", failed.schema, f"{home}/letters", f"{home}/checkpoint", retry, lambda _: as_of, files_per_batch=(files + 1) // 2, limit=None)
     letters, step = deadletters.DeadLetters(spark, f"{home}/letters"), 1000
     while letters.state().where("status = 'pending'").limit(1).count():
         letters.push(step + 1, retry(letters.replay(step, as_of, "rest", limit=None)))

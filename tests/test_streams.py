@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+import glob
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import QUERIES
 from acquimetra.streaming import deadletters, maintained
 
 NOTICE = "entity int, source string, published date, method string, arrived int"
@@ -124,3 +126,12 @@ def test_drain_is_the_same_after_a_restart(spark, tmp_path):
             d.push(step + 1, again(d.replay(step, at(days=9), "rest")))
         results.append(sorted((r.record, r.pushed, r.retry_count, r.status) for r in d.state().collect()))
     assert results[0] == results[1] and [r for r in results[0] if r[3] == "dead"] == [("x1", 3, 4, "dead"), ("x7", 3, 4, "dead")] and len(results[0]) == 12 + 6
+
+
+def test_failures_land_in_files_for_all_tasks(spark, sf_dir, monkeypatch):
+    """A micro-batch used to be one file, written by one of two tasks, whatever the number of rows."""
+    seen, drain = [], deadletters.drain
+    monkeypatch.setattr(deadletters, "drain", lambda s, landing, *a, **k: (seen.append((len(glob.glob(f"{landing.removeprefix('file:')}/part-*")), k["files_per_batch"])), drain(s, landing, *a, **k)))
+    assert QUERIES["dead_letters"](spark, sf_dir).count()
+    ((files, each),) = seen
+    assert files > 2 and each > 1 and each < files
