@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from .shared import components, cut, drop, fresh, table
 
 CROWDED, LONG, MASKS, MASK_BITS = 2048, 4, 60, 16
+#: Bits of the table of hashed ids that is broadcast, as words of 64: at most 131,072 rows whatever the input.
+HASHED_BITS = 1 << 23
 
 
 def shingle_hashes(parts: list[bytes], words: int) -> np.ndarray:
@@ -269,6 +271,22 @@ def bits_apart(similarity: float, deviations: float) -> int:
     return int(total * share + deviations * math.sqrt(total * share * (1 - share)))
 
 
+def _hashed(ids: DataFrame, rows: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` in two parts: those whose id (not null) may be among the one column of ``ids``, and those whose id surely isn't.
+
+    Each id sets one of ``HASHED_BITS`` bits, so few rows have to be shuffled to meet the ids themselves, however many rows there are.
+    """
+    word, bits = fresh(rows, "word", "bits")
+    at = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(HASHED_BITS))
+    of = lambda c: F.shiftright(at(c), 6)
+    place = lambda c: F.pmod(at(c), F.lit(64)).cast("int")
+    own = F.col(ids.columns[0])
+    words = ids.select(of(own).alias(word), F.call_function("shiftleft", F.lit(1).cast("long"), place(own)).alias("_bit")).groupBy(word).agg(F.bit_or("_bit").alias(bits))
+    marked = rows.join(F.broadcast(words), of(F.col(id_col)) == F.col(word), "left")
+    there = F.coalesce(F.getbit(F.col(bits), place(F.col(id_col))) == 1, F.lit(False))
+    return marked.where(there).drop(word, bits), marked.where(~there).drop(word, bits)
+
+
 def _verified(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The links (a, b) whose shingle sets (id, sh: sorted distinct 32-bit hashes) have that Jaccard similarity."""
 
@@ -339,7 +357,8 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int =
     distinct, distinct_path = cut(fps.groupBy(*longs).agg(F.min("doc_id").alias("id")), "distinct")
     links, links_path = cut(similar_links(distinct, similarity), "near-links")
     ids = links.select(F.col("a").alias("id")).union(links.select("b")).distinct()
-    sets = fps.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi").groupBy("id").agg(F.min("sh").alias("sh"))
+    near, _ = _hashed(ids, fps.select(F.col("doc_id").alias("id"), "sh"), "id")
+    sets = near.join(ids, "id", "left_semi").groupBy("id").agg(F.min("sh").alias("sh"))
     linked, _ = components(_verified(links, sets, similarity))
     stay = distinct.join(linked, "id", "left").where("component is null or component = id").select("id").distinct()
     # The ids that go, and those that occur more than once, are few, so texts need not be shuffled to meet them.
@@ -348,11 +367,12 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int =
     (mark,) = fresh(docs, "marked")
     marked, _ = cut(named.select(F.col("doc_id").alias(mark), F.coalesce("stays", F.lit(False)).alias("again")), "marked")
     drop(docs.sparkSession, path, distinct_path, links_path)
-    once = kept.join(marked.select(mark), F.col(id_col) == F.col(mark), "left_anti").unionByName(docs.where(F.col(id_col).isNull()))
+    maybe, sure = _hashed(marked.select(mark), kept, id_col)
+    once = sure.unionByName(maybe.join(marked.select(mark), F.col(id_col) == F.col(mark), "left_anti")).unionByName(docs.where(F.col(id_col).isNull()))
     again = marked.where("again").select(mark)
     if again.isEmpty():
         return once
-    return once.unionByName(kept.join(again, F.col(id_col) == F.col(mark), "left_semi").dropDuplicates([id_col, text_col]))
+    return once.unionByName(maybe.join(again, F.col(id_col) == F.col(mark), "left_semi").dropDuplicates([id_col, text_col]))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

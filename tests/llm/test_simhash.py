@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -188,3 +189,36 @@ def test_nodes_and_links_are_never_broadcast(spark, tmp_path):
     found = simhash.near_duplicates(spark.createDataFrame([(i, "same words all over", None, None, None) for i in range(50)], DOC))
     assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
     assert {r.component_id for r in found.collect()} == {0}
+
+
+def shuffled(spark, run):
+    """Bytes that ``run`` writes to shuffles."""
+    written = lambda: (time.sleep(2), spark._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite())[1]
+    before, _ = written(), run()
+    return written() - before
+
+
+def test_neither_sets_nor_texts_of_all_documents_are_shuffled(spark):
+    """Without a broadcast of ids, which fits small tables only, what is shuffled stays under a third of the texts."""
+    rng = random.Random(17)
+    texts = [" ".join(f"{rng.getrandbits(40):x}" for _ in range(1500)) for _ in range(240)]
+    rows = [(i, t, "", "", "") for i, t in enumerate(texts)] + [(1000 + i, texts[i] + " end", "", "", "") for i in range(10)]
+    docs = spark.createDataFrame(rows, DOC)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = []
+        moved = shuffled(spark, lambda: got.extend(simhash.drop_near_duplicates(docs).select("doc_id", F.length("text").alias("n")).collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert {tuple(r) for r in got} == {(i, len(t)) for i, t in enumerate(texts)}
+    assert moved < sum(map(len, texts)) / 3
+
+
+def test_hashed_ids_split_rows_whole(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HASHED_BITS", 256)
+    rows = spark.range(-500, 500).select("id", F.lit("w").alias("word"), F.lit("b").alias("bits"))
+    some, none = simhash._hashed(spark.range(0, 500, 25).select(F.col("id").alias("k")), rows, "id")
+    assert some.columns == none.columns == rows.columns
+    some, none = ({r.id for r in x.collect()} for x in (some, none))
+    assert some | none == set(range(-500, 500)) and not some & none and set(range(0, 500, 25)) <= some and len(none) > 500
