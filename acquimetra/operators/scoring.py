@@ -207,27 +207,40 @@ def engineering_class(text: Column, value: Column, modality: Column | None = Non
     A category scores 20 where the first of its terms found is a strong one, else 12; up to three strong terms score 12 each; phrases, items, documents,
     modality and value add to it. A term of another trade without a word of works or services ends it; materials without one reach 25 at most.
     """
-    x = fold(F.coalesce(text, F.lit("")))
-    has = lambda w: F.contains(x, F.lit(w))
-    some = lambda ws: F.greatest(*[has(w) for w in ws])
-    n = lambda conds: sum((c.cast("int") for c in conds), F.lit(0))
+    terms = sorted({t for ws in (*WORKS.values(), STRONG, OTHER_TRADES, MATERIALS, SERVICES, ("empresa especializada", "prestacao de servicos", "fornecimento de material e mao de obra")) for t in ws})
+    # Through arrays of one, so that a row's text is folded once, searched once for each term, and its points are counted once.
+    once = lambda c, then: F.get(F.transform(F.array(c), then), F.lit(0))
+    found = lambda x: F.filter(F.array(*map(F.lit, terms)), lambda t: F.contains(x, t))
+    counted = lambda met: once(_points(met, value, modality, has_items, has_documents), _judged)
+    made = once(fold(F.coalesce(text, F.lit(""))), lambda x: once(found(x), counted))
+    return {k: made[k] for k in ("score", "confidence", "engineering", "categories", "exclusion")}
+
+
+def _points(met: Column, value: Column, modality: Column | None, has_items: Column | None, has_documents: Column | None) -> Column:
+    """What the terms that a text holds (``met``) count for: score, trade, rescued, vetoed, material, categories, matched."""
+    has = lambda w: F.array_contains(met, w)
+    names = lambda ws: F.array(*map(F.lit, ws))
     points = lambda c, k: F.when(F.coalesce(c, F.lit(False)), k).otherwise(0) if c is not None else F.lit(0)
     trade = F.coalesce(*[F.when(has(w), F.lit(r)) for w, r in reversed(OTHER_TRADES.items())])  # the last one found names it
-    rescued = some(SERVICES)
-    vetoed = trade.isNotNull() & ~rescued
+    rescued = F.arrays_overlap(met, names(SERVICES))
     hits = {c: F.coalesce(*[F.when(has(t), F.lit(20 if t in STRONG else 12)) for t in terms], F.lit(0)) for c, terms in WORKS.items()}
-    strong = n(has(t) for t in STRONG)
+    strong = F.size(F.array_intersect(met, names(STRONG)))
     score = sum(hits.values(), F.least(F.lit(36), strong * 12))
     score = score + points(has("empresa especializada") & (strong > 0), 12) + points((has("execucao") | has("prestacao de servicos")) & (strong > 0), 10) + points(has("fornecimento de material e mao de obra"), 8)
     score = score + points(has_items, 12) + points(has_documents, 4) + points(modality.isin(*SCORED_MODALITIES) if modality is not None else None, 4)
     score = score + F.when(value >= 1_000_000, 8).when(value >= 100_000, 4).otherwise(0)
-    bare = some(MATERIALS) & ~rescued & (score < 60)
-    final = F.when(vetoed, 0).otherwise(F.least(F.lit(100), F.when(bare, F.least(score, F.lit(25))).otherwise(score)))
-    categories = F.when(vetoed, F.array().cast("array<string>")).otherwise(F.filter(F.array(*[F.when(hits[c] > 0, F.lit(c)) for c in sorted(WORKS)]), lambda c: c.isNotNull()))
-    matched = n(has(t) for t in sorted({t for ts in WORKS.values() for t in ts}))
+    categories = F.filter(F.array(*[F.when(F.arrays_overlap(met, names(WORKS[c])), F.lit(c)) for c in sorted(WORKS)]), lambda c: c.isNotNull())
+    matched = F.size(F.array_intersect(met, names(sorted({t for ts in WORKS.values() for t in ts}))))
+    return F.struct(score.alias("score"), trade.alias("trade"), rescued.alias("rescued"), (trade.isNotNull() & ~rescued).alias("vetoed"), F.arrays_overlap(met, names(MATERIALS)).alias("material"), categories.alias("categories"), matched.alias("matched"))
+
+
+def _judged(p: Column) -> Column:
+    vetoed, bare = p["vetoed"], p["material"] & ~p["rescued"] & (p["score"] < 60)
+    final = F.when(vetoed, 0).otherwise(F.least(F.lit(100), F.when(bare, F.least(p["score"], F.lit(25))).otherwise(p["score"])))
+    categories = F.when(vetoed, F.array().cast("array<string>")).otherwise(p["categories"])
     any_ = F.size(categories) > 0
     confidence = (
-        F.when((final >= 80) & any_ & (matched >= 2), "engenharia_confirmada").when((final >= 60) & any_, "engenharia_provavel").when((final >= 40) & any_, "revisao_necessaria").otherwise("nao_relacionado")
+        F.when((final >= 80) & any_ & (p["matched"] >= 2), "engenharia_confirmada").when((final >= 60) & any_, "engenharia_provavel").when((final >= 40) & any_, "revisao_necessaria").otherwise("nao_relacionado")
     )
-    exclusion = F.when(~vetoed & bare, "material_isolado").otherwise(trade)
-    return {"score": final.cast("int"), "confidence": confidence, "engineering": (final >= 60) & any_, "categories": categories, "exclusion": exclusion}
+    exclusion = F.when(~vetoed & bare, "material_isolado").otherwise(p["trade"])
+    return F.struct(final.cast("int").alias("score"), confidence.alias("confidence"), ((final >= 60) & any_).alias("engineering"), categories.alias("categories"), exclusion.alias("exclusion"))

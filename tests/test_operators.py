@@ -124,3 +124,10 @@ def test_keyed_duplicates_without_keys_meet_nothing(spark):
     assert {r.id: (r.keeper, r.level) for r in out.collect()} == {i: (199, 2) if i < 200 else (i, 0) for i in range(300)}
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "_part" in plan and "posexplode_outer" not in plan
+
+
+def test_engineering_class_folds_a_text_once(spark):
+    """At most once a column that is asked for, which Spark then shares, not once a term."""
+    c = scoring.engineering_class(F.col("t"), F.lit(None).cast("double"))
+    plan = spark.createDataFrame([("obra",)], "t string").select(*[x.alias(k) for k, x in c.items()])._jdf.queryExecution().optimizedPlan().toString()
+    assert 1 <= plan.count("translate(") <= 5
