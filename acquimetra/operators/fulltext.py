@@ -20,7 +20,7 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from acquimetra.functions.text import STOPWORDS, fold, folded, stem, stemmed
+from acquimetra.functions.text import ENDINGS, STOPWORDS, fold, folded, stem, stemmed
 from acquimetra.functions.vector import cosine
 
 Phrase = tuple[tuple[int, str], ...]
@@ -77,6 +77,9 @@ def build(docs: DataFrame, id_col: str, text_col: str, only: Sequence[str] | Non
     """(term, id, positions): sorted places, from 0, of every stem that is no stop word; with ``only`` of these stems."""
     words = F.filter(F.split(fold(F.col(text_col)), "[^a-z0-9]+"), lambda w: w != "")
     placed = F.transform(words, lambda w, i: F.struct(i.alias("at"), w.alias("word")))
+    if only is not None:  # a stem is its word but for one ending at most, so other words need no stemming
+        able = [t + e for t in only for e in ("", *ENDINGS.split("|"))]
+        placed = F.filter(placed, lambda x: x["word"].isin(*able))
     placed = F.transform(F.filter(placed, lambda x: ~x["word"].isin(*STOPWORDS)), lambda x: F.struct(x["at"].alias("at"), stem(x["word"]).alias("term")))
     if only is not None:
         placed = F.filter(placed, lambda x: x["term"].isin(*only))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 from __spark_entry__ import QUERIES
+from acquimetra.functions.text import ENDINGS
 from acquimetra.operators import fulltext as X
 
 SHAPE = "id long, text string, day int, e array<double>, rank int"
@@ -70,3 +71,12 @@ def test_find(spark):
 def test_terms_are_counted_in_one_pass(spark, sf_dir):
     plan = QUERIES["index_terms"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.count("Exchange") == 2
+
+
+def test_only_words_that_can_have_a_wanted_stem_are_stemmed(spark):
+    text = "obra obras obramento obramentos obrais obraxx xobra ob Óbras as a " + " ".join("obr" + e for e in ENDINGS.split("|"))
+    docs = spark.createDataFrame([(1, text), (2, "nada"), (3, None)], "i long, t string")
+    full, part = X.build(docs, "i", "t"), X.build(docs, "i", "t", ["obr", "obra", "ob"])
+    rows = lambda df: sorted((r.term, r.id, tuple(r.positions)) for r in df.collect())
+    assert rows(part) == [r for r in rows(full) if r[0] in ("obr", "obra", "ob")] and len(rows(part)) >= 2
+    assert "obramentos" in part._jdf.queryExecution().optimizedPlan().toString()
