@@ -54,12 +54,14 @@ r AS (SELECT f.id, f.line, f.owner, f.value AS v, exp(-power((f.value - mean) /
 SELECT id, line, owner, round(v, 2) AS value, round(0.30 * a + 0.25 * b + 0.15 * fm + 0.15 * p + 0.15 * t, 4) AS fit, round(b, 10) AS fit_words, round(p, 10) AS fit_place FROM r""")
 def victory_fit_parts(spark: SparkSession, d: str) -> DataFrame:
     t, c = Tables(spark, d), F.col
-    w = t.lineitem.join(t.orders, c("l_orderkey") == c("o_orderkey")).join(t.customer, c("c_custkey") == c("o_custkey")).join(t.part, c("p_partkey") == c("l_partkey")).select(
+    bought = t.orders.join(t.customer, c("c_custkey") == c("o_custkey"))
+    w = t.lineitem.join(t.part, c("p_partkey") == c("l_partkey")).join(bought, c("l_orderkey") == c("o_orderkey")).select(
         c("l_suppkey").alias("owner"), c("l_extendedprice").cast("double").alias("value"), c("o_orderpriority").alias("modality"), (F.abs("c_acctbal") * 60).alias("population"), c("p_name").alias("subject"),
         F.when(c("c_nationkey") != 3, (c("c_nationkey") * 17 + c("l_suppkey") % 11).cast("double")).alias("km"), F.when(c("c_nationkey") != 4, F.concat(F.lit("N"), c("c_nationkey").cast("string"))).alias("state"), c("o_orderdate").cast("date").alias("day"), c("l_orderkey").alias("id"), c("l_linenumber").alias("line"),
     )
     past = F.col("day") <= F.lit(AS_OF).cast("date")
-    x = B.fit(w.where(~past), B.profiles(w.where(past))).where("fit_value is not null")
+    # dealt by the line's key, so that both sides read the same columns of lineitem and Spark shuffles it once
+    x = B.fit(w.where(~past), B.profiles(w.where(past), ("id", "line"))).where("fit_value is not null")
     return x.select("id", "line", "owner", F.round("value", 2).alias("value"), "fit", F.round("fit_words", 10).alias("fit_words"), F.round("fit_place", 10).alias("fit_place"))
 
 

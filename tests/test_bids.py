@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+import re
 
 from pyspark.sql import functions as F
 
@@ -58,3 +59,37 @@ def test_unmatched(spark):
 def test_no_window_holds_a_group_of_discounts(spark, sf_dir):
     plan = QUERIES["bid_simulator"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "windowspecdefinition(_g" not in plan
+
+
+def test_profiles_of_sparse_owners(spark):
+    shape = "owner string, value double, modality string, population int, subject string, km double, state string"
+    rows = [("a", 0.1, None, None, "ponte escola", None, "")] * 3 + [("a", 0.1, "", 0, "escola muro", -1.0, None)] * 4 + [(None, -5.0, "m", 5000, None, 7.0, "SC"), (None, None, "m", 4999, "", 9.0, "PR")]
+    for deal in (("value", "km", "subject"), ("owner",), ("population", "state")):
+        got = {r.owner: r.asDict() for r in B.profiles(spark.createDataFrame(rows, shape), deal).collect()}
+        a, none = got["a"], got[None]
+        assert len(got) == 2 and (a["n"], a["sd"], a["most"], a["km"]) == (7, 0.0, 0.1, None) and math.isclose(a["mean"], 0.1)
+        assert (a["modalities"], a["sizes"], a["states"]) == (None, None, None) and a["words"] == {"escola": 1.0, "ponte": 3 / 7, "muro": 4 / 7}
+        assert none == {"owner": None, "n": 2, "mean": None, "sd": None, "most": None, "km": 8.0, "modalities": {"m": 1.0}, "sizes": {"micro": 0.5, "pequeno": 0.5}, "states": {"SC": 0.5, "PR": 0.5}, "words": None}
+
+
+def test_words_of_a_profile(spark):
+    shape = "owner string, value double, modality string, population int, subject string, km double, state string"
+    # 60 words twice each and one three times: that one and the first 49 by name stay; a word that occurs once does not
+    rows = [("a", 1.0, "m", 1, " ".join(f"w{i:03d}" for i in range(60)), 1.0, "SC")] * 2 + [("a", 1.0, "m", 1, "zeta", 1.0, "SC")] * 3 + [("a", 1.0, "m", 1, "once", 1.0, "SC")]
+    words = B.profiles(spark.createDataFrame(rows, shape)).first().words
+    assert words == {"zeta": 3 / 6} | {f"w{i:03d}": 2 / 6 for i in range(49)}
+
+
+def test_lines_of_a_fit_are_shuffled_once(spark, sf_dir):
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        df = QUERIES["victory_fit_parts"](spark, sf_dir)
+        df.collect()
+        final = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        spark.conf.set(key, before)
+    # profiles and notices read one shuffle of the lines by order; the rows of profiles then meet by owner once
+    assert len(re.findall(r"- Exchange hashpartitioning\(l_orderkey", final)) == 1 and "ReusedExchange" in final
+    assert len(re.findall(r"- Exchange hashpartitioning\(owner#\d+L, _deal", final)) == 1
