@@ -94,6 +94,21 @@ def test_links_do_not_depend_on_known_tokens(spark, monkeypatch):
         assert {(r.a, r.b) for r in matching.similar_pairs(df, "id", "text", ["block"]).collect()} == want
 
 
+def test_similar_pairs_store_no_tokens(spark, monkeypatch):
+    """Pairs of large sets just at and below the bound, copies of them, null texts and ids; no tokens are checkpointed."""
+    kept = []
+    monkeypatch.setattr(matching, "checkpointed", lambda df, real=matching.checkpointed: kept.append(df.dtypes) or real(df))
+    base = [[f"w{(i * 211 + k * 7) % 1500:04d}" for k in range(210)] for i in range(12)]
+    texts = base + [t[cut:] + [f"new{i}n{k}" for k in range(cut)] for i, t in enumerate(base) for cut in (5, 30, 31)] + base[:3] + [[], ["one", "two", "six"]]
+    docs = [(i, " ".join(t), "xy"[i % 48 // 40]) for i, t in enumerate(texts)] + [(900, None, "x"), (None, " ".join(base[0]), "x")]
+    sets = {i: (set((t or "").split()), b) for i, t, b in docs if i is not None}
+    alike = lambda a, b: a[1] == b[1] and a[0] and 4 * len(a[0] & b[0]) >= 3 * len(a[0] | b[0])
+    want = {(a, b) for a in sets for b in sets if a < b and alike(sets[a], sets[b])}
+    got = matching.similar_pairs(spark.createDataFrame(docs, "id long, text string, block string"), "id", "text", ["block"]).collect()
+    assert len(got) == len(want) and {(r.a, r.b) for r in got} == want and min(r.similarity for r in got) == 0.75 and (0, 48) in want
+    assert kept and not any("array" in kind for columns in kept for _, kind in columns)
+
+
 def test_equal_names_are_compared_once(spark, monkeypatch):
     seen = spark.sparkContext.accumulator(0)
 
